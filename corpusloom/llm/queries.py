@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import linkrank, mixing, ordermin, pii, quality, shards, warc
+from corpusloom.llm import bpe, linkrank, mixing, ordermin, pii, quality, shards, trainorder, warc
 from corpusloom.llm.common import read, scratch
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trainorder.materialise(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -17,6 +28,11 @@ def op3_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+
+
 def op6_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -42,7 +58,7 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_order_minhash, op3_disclosure_sanitising, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust)}
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust)}
 SQL: dict[str, str] = {
     "op8_size_tiered_compaction": "SELECT doc_id, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS text_bytes, lang, source, n_chars FROM documents",
 }
