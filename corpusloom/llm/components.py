@@ -1,0 +1,35 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.common import store
+
+
+def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """links (a long, b long) -> (node, root): root is the least node of the component; nodes without links are absent.
+
+    Large-star and small-star by turns, until no link changes: each round hangs every node's larger, then its smaller
+    neighbours on the least one it sees, and depth shrinks by a factor. Rounds are equi-joins with one row a node on one
+    side; each is written to the shared folder, so nothing is kept on executors and nothing comes to the driver but two
+    numbers.
+    """
+    pairs = store(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links_0")
+    mark = None
+    for i in range(1, rounds + 1):
+        both = pairs.selectExpr("hi as u", "lo as v").union(pairs.selectExpr("lo", "hi"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").selectExpr("v as hi", "m as lo").distinct()
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(small, "hi").selectExpr("case when lo = m then hi else lo end as hi", "m as lo").where("hi <> lo").distinct()
+        pairs = store(small, f"links_{i}")
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError("components did not settle")
+    roots = pairs.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "node")
+    return roots.union(roots.select("root", "root")).distinct()

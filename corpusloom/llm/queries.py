@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, linkrank, mixing, ordermin, pii, quality, shards, trainorder, warc
+from corpusloom.llm import bpe, jaccard, linkrank, mixing, ordermin, pii, quality, shards, trainorder, warc
 from corpusloom.llm.common import read, scratch
 
 
@@ -28,6 +28,10 @@ def op3_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(read(spark, sf_dir, "documents"))
+
+
 def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), path), path)
@@ -58,7 +62,7 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust)}
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust)}
 SQL: dict[str, str] = {
     "op8_size_tiered_compaction": "SELECT doc_id, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS text_bytes, lang, source, n_chars FROM documents",
 }
