@@ -113,23 +113,20 @@ def mentions(docs: DataFrame, reach: int = 48) -> DataFrame:
     return rows.where(F.size("spans") > 0).select("doc_id", "h", F.transform("spans", around).alias("m"))
 
 
-def disclosing(docs: DataFrame, found_: DataFrame, alpha: float = 0.8, support: int = 5, broadcast_terms: int = 50_000) -> DataFrame:
+def disclosing(docs: DataFrame, found_: DataFrame, alpha: float = 0.8, support: int = 5) -> DataFrame:
     """(entity, term) where the term gives the entity away.
 
     With document frequencies n over all N documents, a term discloses an entity if their pointwise mutual information
     ``ln(n(e,t) N / (n(e) n(t)))`` reaches ``alpha`` times the information content ``ln(N / n(e))`` of the entity.
     Pairs need ``support`` different texts, so a passage that is copied does not vouch for itself. Counts are summed
-    before each shuffle; terms are semi-joined by broadcast only when counted to be at most ``broadcast_terms``.
+    before each shuffle and before they are joined.
     """
     pairs = found_.select("h", F.explode(F.array_distinct(F.flatten(F.transform("m", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t["t"].alias("term"))))))).alias("p")).select("h", "p.*")
     # copies of a text count once as support, through a pre-aggregated count for each (pair, text)
     cooc = pairs.groupBy("entity", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
     cooc = store(cooc.where(F.col("texts") >= support), "pii_cooc")
     n_e = found_.select(F.explode(F.array_distinct(F.transform("m", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = cooc.select("term").distinct()
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), 0))).alias("term"))
-    if small(terms, broadcast_terms):
-        said = said.join(F.broadcast(terms), "term", "left_semi")
     n_t = said.groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
     pmi = F.ln(F.col("n_et") * F.lit(float(total)) / (F.col("n_e").cast("double") * F.col("n_t")))
