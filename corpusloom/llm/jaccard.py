@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import store
+from corpusloom.llm.common import small, store
 from corpusloom.llm.components import connected
 
 GRAM, PERCENT = 5, 80
@@ -406,4 +406,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     one doc_id with linked texts, all stay that carry the kept id.
     """
     found = group(docs, **options).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")
+    found = store(found, "jaccard_gone")
+    return docs.join(F.broadcast(found) if small(found, 1_000_000) else found, docs["doc_id"] == found["__gone"], "left_anti")

@@ -76,3 +76,14 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, budge
     edge = rows.where("bucket = last").withColumn("more", (2 * ahead + F.col("size") <= 2 * F.col("rest")).cast("long"))
     both = clear.unionByName(edge)
     return both.select("doc_id", "source", "size", "source_size", "target", "key", ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"), (F.col("epochs") + F.col("more")).alias("copies"))
+
+
+def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as ``mix`` says, none where it takes none; same columns.
+
+    Rows that share doc_id, source and size are taken alike, as often as the luckiest of them.
+    """
+    plan = mix(docs, labels, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
+    on = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (n_words(docs["text"]) == F.col("__size"))
+    rows = docs.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return rows.select(*[docs[c] for c in docs.columns])

@@ -148,7 +148,8 @@ def term_spans(docs: DataFrame, alpha: float = 0.8, support: int = 5, reach: int
 
 def _joined(docs: DataFrame, extra: DataFrame, cols: list[str]) -> DataFrame:
     rows = docs.select(*cols, F.xxhash64("text").alias("__h"), base_spans(F.col("text")).alias("__base"))
-    extra = extra.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__eh"), F.col("extra").alias("__extra"))
+    extra = store(extra.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__eh"), F.col("extra").alias("__extra")), "pii_terms")
+    extra = F.broadcast(extra) if small(extra, 100_000) else extra
     rows = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__eh")), "left")
     spans = F.when(F.col("__extra").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", "__extra")))
     return rows.select(*cols, "__base", spans.alias("__spans"))
