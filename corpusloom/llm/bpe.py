@@ -56,7 +56,7 @@ class Words(dict):
         return ids
 
 
-def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
+def word_counts(docs: DataFrame, most: int = 150_000) -> DataFrame:
     """(word, n) over the whole texts: words lie between spaces and ASCII controls; counted before the shuffle.
 
     A task hands its counts on whenever it holds ``most`` distinct words, so its memory is bounded.
@@ -111,7 +111,7 @@ def word_table(docs: DataFrame, tokenizer: str, most: int = 131_072, longest: in
     return {bytes(r.word): tuple(r.ids) for r in rows.collect()}
 
 
-def encode(docs: DataFrame, path: str, most: int = 131_072, local: int = 500_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, path: str, most: int = 131_072, local: int = 100_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` and ids: the whole text of every row as the tokenizer at ``path`` encodes it, without special tokens.
 
     Words lie between spaces and ASCII controls, which these tokenizers drop, so the ids of a text are those of its
@@ -149,6 +149,17 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator
         start = end
 
 
+def _id_slices(batch: pa.RecordBatch, column: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` ids each."""
+    counts = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        gone = counts[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(counts, gone + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _table(rows: list[str | None]) -> pa.Array:
     return pa.array(rows, pa.string())
 
@@ -191,7 +202,7 @@ def _from_ids(encoded: DataFrame, path: str, schema: str, make) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared.value)
         numbers = pa.array(map(str, range(len(table))), pa.string())
-        for batch in batches:
+        for batch in (part for b in batches for part in _id_slices(b, len(cols))):
             ids = batch.column(len(cols))
             ids = pa.ListArray.from_arrays(ids.offsets, ids.values) if not ids.null_count else pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), *make(ids, table, numbers)], [*cols, *names])
