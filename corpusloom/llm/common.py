@@ -1,59 +1,17 @@
-"""Shared helpers of the corpus operators: scratch tables in the shared folder, let-bindings, word splitting."""
+"""Shared helpers of the corpus operators: let-bindings, word splitting, and the tables of the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.shared import offer, remove, scratch, small, store  # noqa: F401
+
 #: The white space between words: space and the ASCII controls from tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-_roots: dict[str, list[str]] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_root(spark)}/corpusloom/{uuid.uuid4().hex}/{name}"
-    if not _roots:
-        atexit.register(_clean, spark)
-    _roots.setdefault("paths", []).append(path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system, so any store that Spark reads works."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean(spark: SparkSession) -> None:
-    with contextlib.suppress(Exception):
-        for path in _roots.get("paths", []):
-            remove(spark, path.rsplit("/", 1)[0])
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,10 +34,5 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
