@@ -41,17 +41,19 @@ def pieces(text: str) -> list[str | None]:
 
 
 class Words(dict):
-    """word -> ids: the shared table, and beside it the words of this task, each encoded when first seen."""
+    """word -> ids as 32-bit integers: the shared table, and beside it the words of this task, each encoded when first
+    seen. Once the task holds ``most`` of its own, it forgets those."""
 
-    def __init__(self, tokenizer: str, table: dict[bytes, tuple[int, ...]], most: int):
-        super().__init__(table)
+    def __init__(self, tokenizer: str, table: dict[bytes, bytes], most: int):
+        super().__init__()
         self.tokenizer, self.table, self.most = _tokenizer(tokenizer), table, most
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) - len(self.table) >= self.most:
-            self.clear()
-            self.update(self.table)
-        ids = tuple(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.table.get(word)
+        if ids is None:
+            if len(self) >= self.most:
+                self.clear()
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.int32).tobytes()
         self[word] = ids
         return ids
 
@@ -92,7 +94,7 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False)) if least is None else counts.where(F.col("n") >= least)
 
 
-def word_table(docs: DataFrame, tokenizer: str, most: int = 131_072, longest: int = 64) -> dict[bytes, tuple[int, ...]]:
+def word_table(docs: DataFrame, tokenizer: str, most: int = 131_072, longest: int = 64) -> dict[bytes, bytes]:
     """word -> ids of the ``most`` most frequent words of up to ``longest`` bytes, each encoded once, in Spark.
 
     The bounds on words and bytes bound what is brought to the driver and broadcast, whatever the corpus.
@@ -108,16 +110,21 @@ def word_table(docs: DataFrame, tokenizer: str, most: int = 131_072, longest: in
 
     counts = store(word_counts(docs).where((F.octet_length("word") <= longest) & (F.col("n") > 1)), "bpe_counts")
     rows = frequent(counts, most).select("word").mapInArrow(encode, "word binary, ids array<int>")
-    return {bytes(r.word): tuple(r.ids) for r in rows.collect()}
+    return {bytes(r.word): np.array(r.ids, np.int32).tobytes() for r in rows.collect()}
 
 
-def encode(docs: DataFrame, path: str, most: int = 131_072, local: int = 100_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` and ids: the whole text of every row as the tokenizer at ``path`` encodes it, without special tokens.
 
     Words lie between spaces and ASCII controls, which these tokenizers drop, so the ids of a text are those of its
     words in order of position. The ``most`` most frequent words of the corpus are encoded once and broadcast (a bounded
     table); rarer ones are encoded once a task, which keeps at most ``local`` of them. Null and empty texts give no ids.
     """
+    return _encoded(docs, path, most, local, carry, "ids array<int>", lambda batch: [batch])
+
+
+def _encoded(docs: DataFrame, path: str, most: int, local: int, carry: tuple[str, ...], schema: str, after) -> DataFrame:
+    """``encode`` with each batch of ids passed through ``after`` in the same worker."""
     tokenizer = load(path)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((tokenizer, word_table(docs, tokenizer, most)))
@@ -128,14 +135,13 @@ def encode(docs: DataFrame, path: str, most: int = 131_072, local: int = 100_000
         look = words.__getitem__
         for batch in batches:
             for part in _slices(batch, len(cols)):
-                texts = part.column(len(cols))
-                rows = [np.fromiter(chain.from_iterable(map(look, t.as_buffer().to_pybytes().split())), np.int32) if t.is_valid else np.empty(0, np.int32) for t in texts]
-                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), ids], [*cols, "ids"])
+                rows = [b"".join(map(look, t.as_buffer().to_pybytes().split())) if t.is_valid else b"" for t in part.column(len(cols))]
+                ends = np.cumsum([0, *map(len, rows)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+                yield from after(pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), ids], [*cols, "ids"]))
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*cols, "text").mapInArrow(ids_of, f"{kinds}, ids array<int>")
+    return docs.select(*cols, "text").mapInArrow(ids_of, f"{kinds}, {schema}")
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -184,14 +190,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return _from_ids(encoded, path, "decoded string", lambda ids, pieces_, _: [_joined(ids, pieces_)])
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """The columns of ``encoded`` but ``ids``, and n_tokens, ids_sha256 and decoded_sha256."""
+def digests(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_000) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from its ids, by one worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(load(path)))
+    tables: list[pa.Array] = []
     sha = lambda texts: pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
 
-    def make(ids: pa.ListArray, pieces_: pa.Array, numbers: pa.Array) -> list[pa.Array]:
-        return [pc.cast(pc.list_value_length(ids), pa.int64()), sha(_joined(ids, numbers)), sha(_joined(ids, pieces_))]
+    def digest(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            tables.extend([_table(shared.value), pa.array(map(str, range(len(shared.value))), pa.string())])
+        for batch in _id_slices(whole, 1):
+            ids = batch.column(1)
+            columns = [batch.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), sha(_joined(ids, tables[1])), sha(_joined(ids, tables[0]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _from_ids(encoded, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _encoded(docs, path, most, local, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
 
 
 def _from_ids(encoded: DataFrame, path: str, schema: str, make) -> DataFrame:

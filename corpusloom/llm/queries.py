@@ -33,8 +33,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("word_bpe_49k.json")
-    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return bpe.digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op6_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
