@@ -53,7 +53,7 @@ STOP = ", ".join(f"'{w}'" for w in CLUSTER_STOP)
 def cluster_names(spark, d):
     found = similarity.clusters(similarity.cosine_pairs(vectors(spark, d), 0.40), 0.40)
     texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("member"), "text")
-    return similarity.cluster_names(found.join(texts, "member").select("cluster", "text"))
+    return similarity.cluster_names(found.join(texts, "member", "left").select("cluster", "text"))
 
 
 @query(f"WITH {UNIT} SELECT vec_id AS id, round(sqrt(list_dot_product(e, e)), 6) AS norm, 1.0::DOUBLE AS unit FROM v JOIN embeddings ON id = vec_id")
