@@ -71,9 +71,9 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, budge
     plan = store(plan.join(ends, "skey", "left").select("skey", "source_size", "target", "epochs", "rest", F.coalesce("end.bucket", F.lit(buckets)).alias("last"), F.coalesce("end.before", F.lit(0)).alias("before")), "mix_plan")
 
     rows = slim.join(F.broadcast(plan) if small(plan, broadcast_sources) else plan, "skey")
-    clear = rows.where("bucket <> last").withColumn("more", (F.col("bucket") < F.col("last")).cast("long"))
+    clear = rows.where("bucket <> last").withColumn("more", ((F.col("bucket") < F.col("last")) & (F.col("size") > 0)).cast("long"))
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
-    edge = rows.where("bucket = last").withColumn("more", (2 * ahead + F.col("size") <= 2 * F.col("rest")).cast("long"))
+    edge = rows.where("bucket = last").withColumn("more", ((2 * ahead + F.col("size") <= 2 * F.col("rest")) & (F.col("size") > 0)).cast("long"))
     both = clear.unionByName(edge)
     return both.select("doc_id", "source", "size", "source_size", "target", "key", ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"), (F.col("epochs") + F.col("more")).alias("copies"))
 

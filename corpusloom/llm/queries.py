@@ -29,7 +29,7 @@ def op3_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.group(read(spark, sf_dir, "documents"))
+    return jaccard.group(read(spark, sf_dir, "documents")).drop("set_id")
 
 
 def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op8_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_efraimidis_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
 
 
 def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,35 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust)}
+_MIX = """
+WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
+d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id),
+k AS (SELECT *, -ln((('0x' || substring(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / w AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+o AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total, row_number() OVER r AS rn, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM s WINDOW r AS (ORDER BY cap / weight, source NULLS FIRST)),
+v AS (SELECT *, (total - capped) / room AS level FROM o),
+f AS (SELECT min(rn) AS rn, arg_min(level, rn) AS level FROM v WHERE cap >= level * weight),
+t AS (SELECT source, source_size, CASE WHEN v.rn >= f.rn THEN least(cap, f.level * weight) ELSE cap END AS target FROM v, f),
+e AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END::BIGINT AS epochs FROM t),
+p AS (SELECT k.doc_id, k.source, size, source_size, target, epochs, target - epochs * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, size, source_size, target, ((epochs + m) * size)::BIGINT AS taken, (epochs + m)::BIGINT AS copies FROM (SELECT *, CASE WHEN 2 * ahead + size <= 2 * rest AND size > 0 THEN 1 ELSE 0 END AS m FROM p)"""
+_JACCARD = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s"""
+_WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM m"""
+
+#: The rest have no SQL: hashes that SQL engines don't share, tokenizers, span positions, or iteration. Tests hold them
+#: against brute force.
 SQL: dict[str, str] = {
+    "op4_ngram_jaccard": _JACCARD,
+    "op7_warc_segments": _WARC,
     "op8_size_tiered_compaction": "SELECT doc_id, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS text_bytes, lang, source, n_chars FROM documents",
+    "op9_efraimidis_mixing": _MIX,
 }

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, jaccard
+from corpusloom.llm import jaccard
+from corpusloom.operators import components
 from tests.llm import awkward
 
 
