@@ -57,10 +57,9 @@ def mask_secrets(text: Column) -> Column:
 
 
 def leading_comment(content: Column, lines: int = 20, kept: int = 3, most: int = 200) -> Column:
-    """First comment lines of a file's beginning, without their marks."""
-    head = F.slice(F.split(content, "\n"), 1, lines)
-    marked = F.filter(head, lambda x: x.rlike("^\\s*(//|/\\*|\\*|#)"))
-    bare = F.filter(F.transform(marked, lambda x: F.trim(F.regexp_replace(x, "^\\s*(//+|/\\*+|\\*+/?|#+)|\\*/\\s*$", ""))), lambda x: x != "")
+    """First lines of a file that aren't blank, without comment marks; empty without content."""
+    head = F.slice(F.split(F.coalesce(content, F.lit("")), "\n"), 1, lines)
+    bare = F.filter(F.transform(head, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(//+|/\*+|\*+/?|#)\s?", ""))), lambda x: x != "")
     return F.substring(F.array_join(F.slice(bare, 1, kept), " "), 1, most)
 
 
