@@ -86,6 +86,35 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM m"""
 
+
+
+def _links_sql(iterations: int = 20, damping: float = 0.85) -> str:
+    """The rules as CASE, and the rounds of the link scores one after another."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    host = lambda u: f"coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}'), '')"
+    fits = lambda h: f"(host = '{h}' OR ends_with(host, '.{h}'))"
+    by_length = sorted(linkrank.RULES, key=lambda r: -len(r[1]))
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r.partition('/')[0])} AND starts_with(path, '/{r.partition('/')[2]}') THEN '{value(v, r)}'" for v, r in by_length) + " END"
+    by_host = sorted(linkrank.RULES, key=lambda r: -len(r[1].partition("/")[0]))
+    seed = "CASE " + " ".join(f"WHEN {fits(r.partition('/')[0])} THEN '{'trust' if v == 'allow' else 'distrust'}'" for v, r in by_host if v == "allow" or not r.partition("/")[2]) + " END"
+    sql = f"""
+WITH p AS (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+u AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS u FROM p),
+e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host('u')} AS dst FROM u WHERE contains(u, '://')) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+h AS (SELECT host FROM p UNION SELECT dst FROM e),
+k AS (SELECT host, {seed} AS kind FROM h),
+sd AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM k WHERE kind IS NOT NULL),
+b AS (SELECT 'trust' AS kind, src AS frm, dst AS too, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
+mv AS (SELECT *, n / sum(n) OVER (PARTITION BY kind, frm) AS w FROM b),
+s0 AS (SELECT kind, host, seed AS score FROM sd)"""
+    for i in range(1, iterations + 1):
+        sql += f", s{i} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, seed * {1 - damping} AS score FROM sd UNION ALL SELECT m.kind, m.too, s.score * m.w * {damping} FROM mv m JOIN s{i - 1} s ON s.kind = m.kind AND s.host = m.frm) GROUP BY kind, host)"
+    return sql + f""",
+bad AS (SELECT host FROM s{iterations} GROUP BY host HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 12) > round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 12)),
+r AS (SELECT page_id, host, path, {case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS ruled FROM p)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' ELSE 'links' END AS judged_by FROM r"""
+
+
 #: The rest have no SQL: hashes that SQL engines don't share, tokenizers, span positions, or iteration. Tests hold them
 #: against brute force.
 SQL: dict[str, str] = {
@@ -93,4 +122,5 @@ SQL: dict[str, str] = {
     "op7_warc_segments": _WARC,
     "op8_size_tiered_compaction": "SELECT doc_id, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS text_bytes, lang, source, n_chars FROM documents",
     "op9_efraimidis_mixing": _MIX,
+    "op10_link_trust": _links_sql(),
 }
