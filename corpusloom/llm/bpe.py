@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import store
+from corpusloom.llm.common import store, tidy
 
 
 def load(path: str) -> str:
@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame, most: int = 150_000) -> DataFrame:
                         seen.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -109,7 +109,7 @@ def word_table(docs: DataFrame, tokenizer: str, most: int = 131_072, longest: in
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     counts = store(word_counts(docs).where((F.octet_length("word") <= longest) & (F.col("n") > 1)), "bpe_counts")
-    rows = frequent(counts, most).select("word").mapInArrow(encode, "word binary, ids array<int>")
+    rows = frequent(counts, most).select("word").mapInArrow(tidy(encode), "word binary, ids array<int>")
     return {bytes(r.word): np.array(r.ids, np.int32).tobytes() for r in rows.collect()}
 
 
@@ -141,7 +141,7 @@ def _encoded(docs: DataFrame, path: str, most: int, local: int, carry: tuple[str
                 yield from after(pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), ids], [*cols, "ids"]))
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*cols, "text").mapInArrow(ids_of, f"{kinds}, {schema}")
+    return docs.select(*cols, "text").mapInArrow(tidy(ids_of), f"{kinds}, {schema}")
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -221,6 +221,6 @@ def _from_ids(encoded: DataFrame, path: str, schema: str, make) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), *make(ids, table, numbers)], [*cols, *names])
 
     kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in cols)
-    return encoded.select(*cols, "ids").mapInArrow(work, f"{kinds + ', ' if kinds else ''}{schema}")
+    return encoded.select(*cols, "ids").mapInArrow(tidy(work), f"{kinds + ', ' if kinds else ''}{schema}")
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch, store
+from corpusloom.llm.common import scratch, store, tidy
 
 #: One index record for each slot of a shard: where its tokens begin, how many there are, whose they are.
 INDEX = np.dtype([("begin", "<u8"), ("tokens", "<u8"), ("doc_id", "<i8"), ("has_id", "<u8")])
@@ -102,7 +102,7 @@ def sequences(docs: DataFrame, vocabulary: str, key: int) -> tuple[DataFrame, in
                 columns = [pa.array(slots.astype(np.int64)), pa.array(ids, pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), pa.array([pack.compress(t.tobytes()) for t in tokens], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "n_tokens", "tokens"])
 
-    return rows.mapInArrow(tokenise, "slot long, doc_id long, n_tokens long, tokens binary"), total
+    return rows.mapInArrow(tidy(tokenise), "slot long, doc_id long, n_tokens long, tokens binary"), total
 
 
 def write(docs: DataFrame, root: str, vocabulary: str, key: int = 20_260_101, stride: int = 4096, shards_a_task: int = 1) -> DataFrame:
@@ -153,7 +153,7 @@ def write(docs: DataFrame, root: str, vocabulary: str, key: int = 20_260_101, st
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[3] for d in done], pa.int64()), pa.array([width] * len(done), pa.int32())], ["shard", "path", "sequences", "tokens", "width"])
 
     ordered = rows.repartitionById(partitions, "part").sortWithinPartitions("slot").select("slot", "doc_id", "n_tokens", "tokens")
-    made = store(ordered.mapInArrow(put, "shard long, path string, sequences long, tokens long, width int"), "order_shards")
+    made = store(ordered.mapInArrow(tidy(put), "shard long, path string, sequences long, tokens long, width int"), "order_shards")
     written = made.agg(F.coalesce(F.sum("sequences"), F.lit(0)).alias("n")).first().n
     if written != total:
         raise RuntimeError(f"{written} of {total} sequences were written")
@@ -186,7 +186,7 @@ def read_back(shards: DataFrame, stride: int = 4096) -> DataFrame:
                     rows.append((doc, shard * stride + i, shard, len(tokens), hashlib.sha256(b" ".join(b"%d" % t for t in tokens.tolist())).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return shards.select("shard", "path", "width").repartition(F.col("shard")).mapInArrow(get, "doc_id long, slot long, shard long, n_tokens long, tokens_sha256 string")
+    return shards.select("shard", "path", "width").repartition(F.col("shard")).mapInArrow(tidy(get), "doc_id long, slot long, shard long, n_tokens long, tokens_sha256 string")
 
 
 def materialise(docs: DataFrame, vocabulary: str, key: int = 20_260_101, stride: int = 4096) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch, store
+from corpusloom.llm.common import scratch, store, tidy
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -159,7 +159,7 @@ def write_archives(pages: DataFrame, root: str, segment_bytes: int = 32 << 10, a
     rows = pages.select("page_id", "url", "html", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256).alias("digest"))
     rows = rows.join(revisits.withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select("page_id", "url", "html", "digest", "refers_to", F.col("_digest").isNotNull().alias("revisit"))
-    return rows.mapInArrow(_writer(root, segment_bytes, archive_bytes, level), "path string, records long, bytes long")
+    return rows.mapInArrow(tidy(_writer(root, segment_bytes, archive_bytes, level)), "path string, records long, bytes long")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +230,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
     checked against the total length; then chunked framing is undone. A record that fails a check keeps its row, with
     null digest and the reason in ``error``.
     """
-    pieces = store(archives.select("path").repartition(F.col("path")).mapInArrow(_parse, PIECE), "warc_records")
+    pieces = store(archives.select("path").repartition(F.col("path")).mapInArrow(tidy(_parse), PIECE), "warc_records")
     whole = pieces.where("segment is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
     grouped = pieces.where("segment is not null").groupBy("origin").agg(F.first("page_id").alias("page_id"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"))
     grouped = grouped.select("page_id", F.col("s.segment").alias("numbers"), "total", F.col("s.block").alias("blocks"))
-    return whole.unionByName(grouped.mapInArrow(_reassemble, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"))
+    return whole.unionByName(grouped.mapInArrow(tidy(_reassemble), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
