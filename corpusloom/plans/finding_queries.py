@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import paths as P
 from corpusloom.functions import text as T
 from corpusloom.operators import caches, extract, findings, patch, search, semantic
-from corpusloom.plans import code_rows as C
 from corpusloom.plans.build_queries import FILES, LINES, files
 from corpusloom.plans.registry import literal, query, values
 from corpusloom.plans.tables import NODES, nodes, table
