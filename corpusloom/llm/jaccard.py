@@ -11,8 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small, store
-from corpusloom.llm.components import connected
+from corpusloom.llm.common import offer, small, store, tidy
+from corpusloom.operators.components import connected
 
 GRAM, PERCENT = 5, 80
 BLOCK = 1 << 16
@@ -22,7 +22,7 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB
 class Hashes(dict):
     """word -> 64-bit hash, kept for at most ``most`` words."""
 
-    def __init__(self, seed: int, most: int = 500_000):
+    def __init__(self, seed: int, most: int = 200_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -80,7 +80,7 @@ def describe_sets(docs: DataFrame, seed: int, sketch_bits: int) -> DataFrame:
                 rows.append((len(tokens), *_ids(tokens)))
                 held.append(tokens)
                 size += len(tokens)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     flush()
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             n = batch.num_rows
@@ -92,7 +92,7 @@ def describe_sets(docs: DataFrame, seed: int, sketch_bits: int) -> DataFrame:
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array(data, pa.binary())], ["doc_id", "n", "sid", "twin", "block", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, sid long, twin long, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), "doc_id long, n long, sid long, twin long, block int, counts binary")
 
 
 def sketch(described: DataFrame, sketch_bits: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def sketch(described: DataFrame, sketch_bits: int) -> np.ndarray:
 
     blocks = described.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
     counts = np.zeros(1 << sketch_bits, np.uint16)
-    for r in blocks.mapInArrow(add, "block int, counts binary").collect():
+    for r in blocks.mapInArrow(tidy(add), "block int, counts binary").collect():
         counts[r.block * BLOCK : r.block * BLOCK + min(BLOCK, len(counts))] = np.frombuffer(r.counts, np.uint16)
     return counts
 
@@ -177,7 +177,7 @@ def index(docs: DataFrame, counts: np.ndarray, seed: int, frequent: int, most_co
             if rows:
                 yield out()
 
-    return docs.select("text").mapInArrow(work, "key long, kind byte, narrow boolean, n int, sid long")
+    return docs.select("text").mapInArrow(tidy(work), "key long, kind byte, narrow boolean, n int, sid long")
 
 
 def lists(entries: DataFrame, longest: int) -> DataFrame:
@@ -240,7 +240,7 @@ def lists(entries: DataFrame, longest: int) -> DataFrame:
         yield process(held, True)[1]
 
     ordered = entries.repartition("key").sortWithinPartitions("key", "kind", "narrow", "n", "sid")
-    return ordered.select("key", "kind", "narrow", "n", "sid").mapInArrow(work, "a long, b long, list long")
+    return ordered.select("key", "kind", "narrow", "n", "sid").mapInArrow(tidy(work), "a long, b long, list long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -258,7 +258,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     """Sizes of all intersections, by products of incidence matrices over the tokens that both sides hold."""
-    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    if left is right:
+        shared, times = np.unique(np.concatenate(left), return_counts=True)
+        shared = shared[times > 1]
+    else:
+        shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
     out = np.zeros((len(left), len(right)), np.float32)
 
     def incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +279,8 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 81
                 inside = (k >= c) & (k < c + width)
                 m[r[inside], k[inside] - c] = 1
             out += a @ b.T
+    if left is right:  # a set's own tokens count even where no other set holds them
+        np.fill_diagonal(out, [len(x) for x in left])
     return out
 
 
@@ -296,26 +302,40 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
-def _blocks(key, pdf):
-    """The links between two chunks of a cluster, thinned to a forest: no more rows than sets."""
-    import pandas as pd
-
-    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    if right.empty:
-        right = left
-    sets = lambda p: [np.frombuffer(t, np.uint64) for t in p.tokens]
-    ls, rs = sets(left), sets(right)
-    both = _overlaps(ls, rs).astype(np.int64)
-    nl, nr = np.array([len(s) for s in ls])[:, None], np.array([len(s) for s in rs])[None, :]
+def _meet(sids: list[list[int]], sets: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The links within one chunk of sets or between two, thinned to a forest: fewer rows than sets."""
+    left, right = sets[0], sets[1] or sets[0]
+    both = _overlaps(left, right).astype(np.int64)
+    nl, nr = np.array([len(s) for s in left])[:, None], np.array([len(s) for s in right])[None, :]
     i, j = np.nonzero(100 * both >= PERCENT * (nl + nr - both))
-    a, b = left.sid.to_numpy()[i], right.sid.to_numpy()[j]
+    a, b = np.array(sids[0])[i], np.array(sids[1] or sids[0])[j]
     keep = _forest(a, b)
-    return pd.DataFrame({"a": a[keep], "b": b[keep]})
+    return a[keep], b[keep]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, sid, tokens) sorted by block -> the links of each block; one block is held at a time."""
+    now, sids, sets = None, [[], []], [[], []]
+
+    def out() -> pa.RecordBatch:
+        a, b = _meet(sids, sets)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for block, side, sid, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if block != now:
+                if sids[0]:
+                    yield out()
+                now, sids, sets = block, [[], []], [[], []]
+            sids[side].append(sid)
+            sets[side].append(np.frombuffer(tokens.as_buffer().to_pybytes(), np.uint64))
+    if sids[0]:
+        yield out()
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, seed: int, filter_bits: int = 1 << 23) -> DataFrame:
     """(sid, n, tokens) of the wanted sets (sid, doc_id): texts are hashed anew, and only of documents that a bitmap of
-    bounded size names; an exact join follows."""
+    bounded size names; an exact join follows. Rows that repeat one doc_id and text give their set as often."""
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(filter_bits))
     bits = wanted.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     named = {r.bucket: bytes(r.bits) for r in bits.collect()}
@@ -335,10 +355,12 @@ def _fetch(docs: DataFrame, wanted: DataFrame, seed: int, filter_bits: int = 1 <
                     rows.append(i)
             texts = batch.column(0).take(pa.array(rows, pa.int32()))
             sets = [shingles(t, hashes) for t in _texts(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array([_ids(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_ids(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(2).take(pa.array(rows, pa.int32()))], ["sid", "n", "tokens", "doc_id"])
 
-    found = docs.select("text", hashed.alias("h")).mapInArrow(work, "sid long, n int, tokens binary")
-    return found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    found = docs.select("text", hashed.alias("h"), "doc_id").mapInArrow(tidy(work), "sid long, n int, tokens binary, doc_id long")
+    named_by = wanted.select("sid", F.col("doc_id").alias("named"))
+    on = (found["sid"] == named_by["sid"]) & found["doc_id"].eqNullSafe(F.col("named"))
+    return found.join(offer(named_by, 1_000_000), on, "left_semi").select("sid", "n", "tokens")
 
 
 def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int, longest: int, most_combined: int, chunk_sets: int, chunk_tokens: int) -> DataFrame:
@@ -347,29 +369,49 @@ def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int,
     found = store(lists(index(docs, counts, seed, frequent, most_combined), longest), "jaccard_lists")
     pairs = found.where("b is not null").select("a", "b").distinct()
     members = found.where("b is null").select(F.col("a").alias("sid"), "list").distinct()
+    pairs = store(pairs, "jaccard_pairs")
     first = members.groupBy("list").agg(F.min("sid").alias("first"))
-    clusters = store(connected(members.join(first, "list").selectExpr("sid as a", "first as b")), "jaccard_clusters").selectExpr("node as sid", "root as cluster")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(clusters.select("sid")).distinct()
+    meeting = pairs.union(members.join(first, "list").selectExpr("sid", "first"))
+    clusters = store(connected(meeting), "jaccard_clusters").selectExpr("node as sid", "root as cluster")
     ids = described.where("block is null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    sets = store(_fetch(docs, store(wanted.join(ids, "sid"), "jaccard_wanted"), seed), "jaccard_sets")
-
-    side = lambda s: sets.select(F.col("sid").alias(s), F.col("tokens").alias(f"{s}_tokens"))
-    cold = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify, "a long, b long")
-
-    # long lists: clusters are cut into chunks of sets of like size, and chunks are compared as wholes
-    hot = sets.join(clusters, "sid").select("sid", "n", "cluster", "tokens", F.floor(F.ln("n") / 0.05).cast("int").alias("step"))
+    sets = store(_fetch(docs, store(clusters.join(ids, "sid").select("sid", "doc_id"), "jaccard_wanted"), seed), "jaccard_sets")
+
+    # sets that may link at all are in one cluster; a small one is compared as a whole, its sets sent once
+    large = clusters.groupBy("cluster").agg(F.count("*").alias("sets")).where(F.col("sets") > chunk_sets).select("cluster")
+    large = offer(store(large, "jaccard_large"))
+    hot_ids = members.select("sid").distinct().withColumn("hot", F.lit(True))
+    placed = clusters.join(large.withColumn("large", F.lit(True)), "cluster", "left").join(hot_ids, "sid", "left")
+    placed = store(placed.select("sid", "cluster", F.coalesce("large", F.lit(False)).alias("large"), F.coalesce("hot", F.lit(False)).alias("hot")), "jaccard_placed")
+    here = sets.join(offer(placed, 1_000_000), "sid")
+    whole = here.where("not large").select(F.col("cluster").alias("block"), F.lit(0).alias("side"), "sid", "tokens")
+
+    # of a large one, sets of long lists are cut into chunks of like size, and chunks are compared
+    hot = here.where("large and hot").select("sid", "n", "cluster", "tokens", F.floor(F.ln("n") / 0.05).cast("int").alias("step"))
     parts = hot.groupBy("cluster", "step").agg(F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum("n") / chunk_tokens)).cast("int").alias("parts"), F.min("n").alias("low"), F.max("n").alias("high"))
     parts = store(parts, "jaccard_parts")
     chunks = parts.select("cluster", "step", "low", "high", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     x, y = chunks.alias("x"), chunks.alias("y")
     near = (F.col("x.cluster") == F.col("y.cluster")) & ((F.col("x.step") < F.col("y.step")) | ((F.col("x.step") == F.col("y.step")) & (F.col("x.part") <= F.col("y.part")))) & (100 * F.col("x.high") >= PERCENT * F.col("y.low"))
     meet = x.join(y, near).select(F.col("x.cluster").alias("cluster"), F.struct("x.step", "x.part").alias("p"), F.struct("y.step", "y.part").alias("q"))
-    each = meet.select("cluster", "p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array(F.struct(F.lit(0).alias("side"), F.col("p").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("p").alias("at")), F.struct(F.lit(1).alias("side"), F.col("q").alias("at"))))).alias("s"))
+    at = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("at"))
+    each = meet.select("cluster", "p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array(at(0, "p"))).otherwise(F.array(at(0, "p"), at(1, "q")))).alias("s"))
     each = each.select("cluster", F.xxhash64("cluster", "p.step", "p.part", "q.step", "q.part").alias("block"), "s.side", F.col("s.at.step").alias("step"), F.col("s.at.part").alias("part"))
-    placed = hot.join(parts.select("cluster", "step", "parts"), ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    dealt = placed.join(each, ["cluster", "step", "part"]).select("block", "side", "sid", "tokens")
-    warm = dealt.groupBy("block").applyInPandas(_blocks, "a long, b long")
-    return store(cold.union(warm), "jaccard_links")
+    dealt = hot.join(offer(parts.select("cluster", "step", "parts")), ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    dealt = dealt.join(offer(store(each, "jaccard_chunks")), ["cluster", "step", "part"]).select("block", "side", "sid", "tokens")
+    blocks = whole.union(dealt).repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_blocks), "a long, b long")
+
+    # and its pairs of short lists are verified one by one, but those that chunks compare anyhow
+    of = placed.where("large").select("sid", "hot")
+    rest = pairs.join(offer(of.selectExpr("sid as a", "hot as hot_a"), 1_000_000), "a").join(offer(of.selectExpr("sid as b", "hot as hot_b"), 1_000_000), "b").where("not (hot_a and hot_b)").select("a", "b")
+    rest = store(rest, "jaccard_rest")
+
+    def side(s: str) -> DataFrame:
+        """The sets on one side of the pairs; those of the other side alone stay out of its shuffle."""
+        named = offer(rest.select(F.col(s).alias("sid")).distinct(), 1_000_000)
+        return sets.join(named, "sid", "left_semi").select(F.col("sid").alias(s), F.col("tokens").alias(f"{s}_tokens"))
+
+    single = rest.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(tidy(_verify), "a long, b long")
+    return store(blocks.union(single), "jaccard_links")
 
 
 def group(docs: DataFrame, sketch_bits: int = 22, longest: int = 32, most_combined: int = 24, chunk_sets: int = 256, chunk_tokens: int = 1 << 20, seed: int = 7) -> DataFrame:
