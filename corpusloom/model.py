@@ -15,9 +15,9 @@ RULES = {
 
 #: Ordered import extensions.
 IMPORT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".java")
-#: Source extensions, ignored directories and files of a scan.
+#: Source extensions, ignored directories (the last holds an engine's own state) and files of a scan.
 SOURCE_EXTENSIONS = tuple(".ts .tsx .js .jsx .mjs .cjs .py .java .go .rs .rb .php .cpp .c .h .hpp .cs .swift .kt .scala .sh .bash".split())
-IGNORED_DIRS = tuple("node_modules .git dist build out coverage .nyc_output .cache .tmp vendor .venv venv __pycache__ .repair-agent".split())
+IGNORED_DIRS = tuple("node_modules .git dist build out coverage .nyc_output .cache .tmp vendor .venv venv __pycache__ .corpusloom".split())
 IGNORED_FILES = tuple(".DS_Store package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock".split())
 
 #: Stop words of the plan cache, of recommendations and of cluster names.
