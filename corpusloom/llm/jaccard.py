@@ -256,7 +256,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int32())) for i in (0, 1)], ["a", "b"])
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of all intersections, by products of incidence matrices over the tokens that both sides hold."""
     if left is right:
         shared, times = np.unique(np.concatenate(left), return_counts=True)
@@ -373,11 +373,13 @@ def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int,
     first = members.groupBy("list").agg(F.min("sid").alias("first"))
     meeting = pairs.union(members.join(first, "list").selectExpr("sid", "first"))
     clusters = store(connected(meeting), "jaccard_clusters").selectExpr("node as sid", "root as cluster")
-    ids = described.where("block is null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    sets = store(_fetch(docs, store(clusters.join(ids, "sid").select("sid", "doc_id"), "jaccard_wanted"), seed), "jaccard_sets")
+    ids = described.where("block is null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    wanted = store(clusters.join(ids, "sid").select("sid", "cluster", "doc_id", "n"), "jaccard_wanted")
+    sets = store(_fetch(docs, wanted.select("sid", "doc_id"), seed), "jaccard_sets")
 
     # sets that may link at all are in one cluster; a small one is compared as a whole, its sets sent once
-    large = clusters.groupBy("cluster").agg(F.count("*").alias("sets")).where(F.col("sets") > chunk_sets).select("cluster")
+    size = wanted.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    large = size.where((F.col("sets") > chunk_sets) | (F.col("tokens") > 4 * chunk_tokens)).select("cluster")
     large = offer(store(large, "jaccard_large"))
     hot_ids = members.select("sid").distinct().withColumn("hot", F.lit(True))
     placed = clusters.join(large.withColumn("large", F.lit(True)), "cluster", "left").join(hot_ids, "sid", "left")
@@ -414,7 +416,7 @@ def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int,
     return store(blocks.union(single), "jaccard_links")
 
 
-def group(docs: DataFrame, sketch_bits: int = 22, longest: int = 32, most_combined: int = 24, chunk_sets: int = 256, chunk_tokens: int = 1 << 20, seed: int = 7) -> DataFrame:
+def group(docs: DataFrame, sketch_bits: int = 22, longest: int = 32, most_combined: int = 24, chunk_sets: int = 1024, chunk_tokens: int = 1 << 20, seed: int = 7) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id for every document.
 
     A document's set is its distinct five-word shingles (A-Z lower-cased); with fewer words the whole sequence is its
