@@ -92,76 +92,85 @@ def _entity(x: Column) -> Column:
     return F.concat_ws(":", x["k"].cast("string"), plain)
 
 
-def _context(text: Column, spans: Column, x: Column, reach: int) -> Column:
-    """The whole terms within ``reach`` code points before or after a span that lie outside all spans."""
-    begin = F.greatest(F.lit(0), x["start"] - reach)
-    before = F.substring(text, begin + 1, x["start"] - begin)
-    after = F.substring(text, x["end"] + 1, F.lit(reach))
-    cut_before = lambda s: (s["start"] == 0) & (begin > 0)
-    cut_after = lambda s: (s["end"] == reach) & (x["end"] + reach < F.length(text))
-    left = F.transform(F.filter(found(before, TERM), lambda s: ~cut_before(s)), lambda s: F.struct(F.lower(s["s"]).alias("t"), (s["start"] + begin).alias("start"), (s["end"] + begin).alias("end")))
-    right = F.transform(F.filter(found(after, TERM), lambda s: ~cut_after(s)), lambda s: F.struct(F.lower(s["s"]).alias("t"), (s["start"] + x["end"]).alias("start"), (s["end"] + x["end"]).alias("end")))
+def _terms(text: Column, spans: Column) -> Column:
+    """The whole terms of a text that lie outside all spans, lower-case and with their places."""
     clear = lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))
-    return F.filter(F.concat(left, right), clear)
+    return F.transform(F.filter(found(text, TERM), clear), lambda t: F.struct(F.lower(t["s"]).alias("t"), t["start"].alias("start"), t["end"].alias("end")))
 
 
-def mentions(docs: DataFrame, reach: int = 48) -> DataFrame:
-    """doc_id, h (hash of the text), m: for each base span its entity and the terms around it; only texts with spans."""
+def mentions(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), entities, and terms of the whole text; only texts with base spans."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.where(F.col("text").rlike("[0-9@]")).select("*", base_spans(F.col("text")).alias("spans"))
-    around = lambda x: F.struct(_entity(x).alias("entity"), _context(F.col("text"), F.col("spans"), x, reach).alias("terms"))
-    return rows.where(F.size("spans") > 0).select("doc_id", "h", F.transform("spans", around).alias("m"))
+    return rows.where(F.size("spans") > 0).select("doc_id", "h", F.array_distinct(F.transform("spans", _entity)).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("terms"))
 
 
-def disclosing(docs: DataFrame, found_: DataFrame, alpha: float = 0.8, support: int = 5) -> DataFrame:
+def counted(near: DataFrame) -> DataFrame:
+    """doc_id, h, terms, es: the entities of a text with their document frequency n_e.
+
+    Entities that no other document holds have the same counts with every term, so one of them stands for all.
+    """
+    each = near.select("doc_id", "h", F.explode("entities").alias("entity"))
+    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e"))
+    alone = F.when(F.col("n_e") == 1, F.col("entity"))
+    shared = F.when(F.col("n_e") > 1, F.struct("entity", "n_e"))
+    one = F.struct(F.min(alone).alias("entity"), F.lit(1).cast("long").alias("n_e"))
+    of = each.join(n_e, "entity").groupBy("doc_id", "h").agg(F.concat(F.collect_set(shared), F.when(F.min(alone).isNull(), F.array().cast("array<struct<entity:string,n_e:bigint>>")).otherwise(F.array(one))).alias("es"))
+    of = of.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "es")
+    return near.join(of, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h"))).select("doc_id", "h", "es", "terms")
+
+
+def disclosing(docs: DataFrame, near: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
     """(entity, term) where the term gives the entity away.
 
     With document frequencies n over all N documents, a term discloses an entity if their pointwise mutual information
-    ``ln(n(e,t) N / (n(e) n(t)))`` reaches ``alpha`` times the information content ``ln(N / n(e))`` of the entity.
-    Pairs need ``support`` different texts, so a passage that is copied does not vouch for itself. Counts are summed
-    before each shuffle and before they are joined.
+    ``ln(n(e,t) N / (n(e) n(t)))`` reaches ``alpha`` times the information content ``ln(N / n(e))`` of the entity. This
+    holds for entities of any frequency; ``support`` over 1 asks for so many different texts as well. As n(e,t) is at
+    most n(e), no term with n(t) over ``N (n(e) / N) ** alpha`` can reach it, and such terms go before pairs are made.
     """
-    pairs = found_.select("h", F.explode(F.array_distinct(F.flatten(F.transform("m", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t["t"].alias("term"))))))).alias("p")).select("h", "p.*")
-    # copies of a text count once as support, through a pre-aggregated count for each (pair, text)
-    cooc = pairs.groupBy("entity", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
-    cooc = store(cooc.where(F.col("texts") >= support), "pii_cooc")
-    n_e = found_.select(F.explode(F.array_distinct(F.transform("m", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), 0))).alias("term"))
-    n_t = said.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count()
-    pmi = F.ln(F.col("n_et") * F.lit(float(total)) / (F.col("n_e").cast("double") * F.col("n_t")))
-    information = F.ln(F.lit(float(max(total, 1))) / F.col("n_e"))
-    joined = cooc.join(n_e, "entity").join(n_t, "term")
-    return joined.where((information > 0) & (F.round(pmi, 9) >= F.round(alpha * information, 9))).select("entity", "term")
-
-
-def term_spans(docs: DataFrame, alpha: float = 0.8, support: int = 5, reach: int = 48) -> DataFrame:
-    """doc_id, h, extra: the disclosing terms that stand near the entity they disclose, as spans of kind term."""
-    near = store(mentions(docs, reach), "pii_mentions")
+    total = float(max(docs.count(), 1))
+    top = near.agg(F.max(F.array_max(F.transform("es", lambda e: e["n_e"])))).first()[0] or 0
+    at_most = lambda n_e: F.lit(total) * F.pow(n_e / F.lit(total), F.lit(alpha)) * F.lit(1 + 1e-6)
+    n_t = said.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= at_most(F.lit(float(top))))
+    words = near.select("h", "es", F.explode(F.array_distinct(F.transform("terms", lambda t: t["t"]))).alias("term")).join(n_t, "term")
+    pairs = words.select("h", "term", "n_t", F.explode("es").alias("e")).select("h", "term", "n_t", "e.*").where(F.col("n_t") <= at_most(F.col("n_e")))
+    texts = [F.count_distinct("h").alias("texts")] if support > 1 else [F.lit(1).alias("texts")]
+    cooc = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"), *texts).where(F.col("texts") >= support)
+    pmi = F.ln(F.col("n_et") * F.lit(total) / (F.col("n_e").cast("double") * F.col("n_t")))
+    information = F.ln(F.lit(total) / F.col("n_e"))
+    return cooc.where((information > 0) & (F.round(pmi, 9) >= F.round(alpha * information, 9))).select("entity", "term")
+
+
+def term_spans(docs: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
+    """doc_id, h, extra: the disclosing terms in the texts that hold the entity they disclose, as spans of kind term."""
+    near = store(counted(store(mentions(docs), "pii_mentions")), "pii_counted")
     reveals = store(disclosing(docs, near, alpha, support), "pii_reveals")
-    each = near.select("doc_id", "h", F.explode("m").alias("x")).select("doc_id", "h", "x.entity", F.explode("x.terms").alias("t"))
-    each = each.select("doc_id", "h", "entity", F.col("t.t").alias("term"), "t.start", "t.end")
-    hit = each.join(F.broadcast(reveals) if small(reveals, 50_000) else reveals, ["entity", "term"], "left_semi")
+    each = near.select("doc_id", "h", "es", F.explode("terms").alias("t")).select("doc_id", "h", "t.*", F.explode("es.entity").alias("entity"))
+    hit = each.withColumnRenamed("t", "term").join(F.broadcast(reveals) if small(reveals, 50_000) else reveals, ["entity", "term"], "left_semi")
     span = F.struct("start", F.lit(4).alias("k"), "end", F.col("term").alias("s"))
     return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("extra"))
 
 
 def _joined(docs: DataFrame, extra: DataFrame, cols: list[str]) -> DataFrame:
-    rows = docs.select(*cols, F.xxhash64("text").alias("__h"), base_spans(F.col("text")).alias("__base"))
-    extra = store(extra.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__eh"), F.col("extra").alias("__extra")), "pii_terms")
-    extra = F.broadcast(extra) if small(extra, 100_000) else extra
-    rows = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__eh")), "left")
+    """``cols`` of every document with its base spans and all its spans; texts without base spans are never moved."""
+    base = base_spans(F.col("text"))
+    extra = extra.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__eh"), F.col("extra").alias("__extra"))
+    held = docs.where(F.size(base) > 0).select(*cols, F.xxhash64("text").alias("__h"), F.col("doc_id").alias("__id"), base.alias("__base"))
+    held = held.join(extra, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__eh")), "left")
     spans = F.when(F.col("__extra").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", "__extra")))
-    return rows.select(*cols, "__base", spans.alias("__spans"))
+    none = F.array().cast("array<struct<start:int,k:int,end:int,s:string>>")
+    plain = docs.where(F.size(base) == 0).select(*cols, none.alias("__base"), none.alias("__spans"))
+    return held.select(*cols, "__base", spans.alias("__spans")).union(plain)
 
 
-def find(docs: DataFrame, alpha: float = 0.8, support: int = 5, reach: int = 48) -> DataFrame:
+def find(docs: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
     """doc_id, counts of the base kinds and of terms, base_sha256 and all spans, for every document.
 
-    Null texts count as empty and have no spans. Repeated rows have equal results. Only short spans cross a shuffle;
-    texts are scanned and never moved.
+    Null texts count as empty and have no spans. Repeated rows have equal results. Only texts with base spans cross a
+    shuffle, to meet their terms; the others are scanned and never moved.
     """
-    rows = _joined(docs, term_spans(docs, alpha, support, reach), ["doc_id"])
+    rows = _joined(docs, term_spans(docs, alpha, support), ["doc_id"])
     count = lambda k: F.size(F.filter("__spans", lambda x: x["k"] == k)).cast("long")
     return rows.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(span_text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("__spans")).alias("spans"))
 
@@ -187,9 +196,9 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(merged, build))
 
 
-def sanitise(docs: DataFrame, alpha: float = 0.8, support: int = 5, reach: int = 48) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
     """``docs`` with the same columns, personal data generalised to its kind in the text and n_chars brought up to date."""
-    rows = _joined(docs, term_spans(docs, alpha, support, reach), docs.columns)
+    rows = _joined(docs, term_spans(docs, alpha, support), docs.columns)
     rows = rows.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans"))))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast("long"))

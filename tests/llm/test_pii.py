@@ -103,6 +103,19 @@ def test_disclosing_terms_match_brute_force(spark):
     assert all(clean[i] == t for i, t in rows[:200])
 
 
+def test_rare_entities_have_terms_by_default(spark):
+    rows = [(i, f"the letter number {'abcdefghij'[i % 10] * 5} came late from home") for i in range(400)]
+    rows += [(400, "the xylograph came late " + "the letter came late " * 9 + "from rare@one.example.org"), (401, "the theremin came from +1 555 010 9999"), (402, "the theremin came late from +1 555 010 9999")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, x.start, x.end) for r in pii.term_spans(docs).collect() for x in r.extra}
+    assert {dict(rows)[i][s:e] for i, s, e in got} == {"xylograph", "theremin"}
+    assert got == terms_brute(rows, 0.8, 1, 10**9)
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, x.start, x.end) for r in pii.term_spans(real).collect() for x in r.extra}
+    assert got == terms_brute([tuple(r) for r in real.collect()], 0.8, 1, 10**9) and got
+    assert pii.find(real).agg(F.sum("n_term")).first()[0] == len(got)
+
+
 def test_digest_and_awkward_tables(spark):
     docs = awkward.documents(spark)
     rows = pii.find(docs).collect()
