@@ -208,7 +208,10 @@ def lists(entries: DataFrame, longest: int) -> DataFrame:
             ends = np.r_[starts[1:], len(key)]
             a, b, members, keys = [], [], [], []
             keep = len(key)
-            for s, e in zip(starts[(multi := (ends - starts) > 1) | (ends == len(key))], ends[multi | (ends == len(key))], strict=True):
+            some = ((ends - starts) > 1) | (ends == len(key))  # a single entry counts where its list goes on, or may go on
+            if len(key):
+                some[0] |= (int(key[0]), int(kind[0])) == long_key
+            for s, e in zip(starts[some], ends[some], strict=True):
                 this = (int(key[s]), int(kind[s]))
                 if e == len(key) and not last and e - s <= longest and this != long_key:
                     keep = s

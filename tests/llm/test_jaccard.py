@@ -109,3 +109,21 @@ def test_components(spark):
     found = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {x: find(x) for x in parent}
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_lists_cut_at_every_position(spark):
+    rows = [(key, kind, False, 50, 100 * key + i) for key, kind, size in ((1, 0, 2), (2, 1, 11), (3, 0, 1), (4, 2, 9), (5, 1, 2), (6, 0, 1)) for i in range(size)]
+    entries = spark.createDataFrame(rows, "key long, kind byte, narrow boolean, n int, sid long")
+    batch, parts = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.shuffle.partitions")
+    before = spark.conf.get(batch)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        for records in range(1, len(rows) + 1):
+            spark.conf.set(batch, str(records))
+            found = jaccard.lists(entries, 4).collect()
+            assert {(r.a, r.b) for r in found if r.list is None} == {(100, 101), (500, 501)}, records
+            members = {(r.list, r.a) for r in found if r.list is not None}
+            assert members == {(key ^ kind, sid) for key, kind, _, _, sid in rows if key in (2, 4)}, records
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set(batch, before)
