@@ -311,6 +311,13 @@ def strip_pages(spark, d):
     return p.select("page_id", F.md5(T.strip_tags(p.html)).alias("text_md5"))
 
 
+@query("SELECT page_id, md5(trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' '))) AS text_md5 FROM pages")
+def strip_pages_whole(spark, d):
+    """Every page, those with entities too."""
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.md5(T.strip_tags(p.html)).alias("text_md5"))
+
+
 # ---- patches
 
 EDITS = [("p1", "a\nb\nc", "a\nx\nc\nd"), ("p2", "same", "same"), ("p3", "one\ntwo", "one")]

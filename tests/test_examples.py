@@ -1,8 +1,11 @@
 """Worked examples with known numbers."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
 from corpusloom.functions import text, tokens, vector
 from corpusloom.model import NODE_TYPES, rule_rows
 from corpusloom.operators import caches, extend, extract, graph, metrics, patch, propagation, semantic, similarity, sync
@@ -169,3 +172,13 @@ def test_recorder_and_review(spark):
 def test_lru(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3), ("z", 0)], "k string, t int")
     assert [tuple(r) for r in caches.lru(a, "k", "t", 2).orderBy("k").collect()] == [("x", 3), ("y", 2)]
+
+
+def test_strip_pages_whole_has_every_page(spark, tmp_path):
+    rows = [(1, "<p>plain</p>"), (2, "<b>a &lt;b&gt; &amp;quot; &quot;c&#39;s&#x27;</b>&nbsp;"), (3, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r.page_id: r.text_md5 for r in catalog.QUERIES["strip_pages_whole"](spark, str(tmp_path)).collect()}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert found == {1: md5("plain"), 2: md5("a <b> &quot; \"c's'"), 3: None}
+    real = "/root/testdata/sf0.01"
+    assert catalog.QUERIES["strip_pages_whole"](spark, real).count() == spark.read.parquet(f"{real}/pages.parquet").count()
