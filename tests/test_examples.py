@@ -182,3 +182,12 @@ def test_strip_pages_whole_has_every_page(spark, tmp_path):
     assert found == {1: md5("plain"), 2: md5("a <b> &quot; \"c's'"), 3: None}
     real = "/root/testdata/sf0.01"
     assert catalog.QUERIES["strip_pages_whole"](spark, real).count() == spark.read.parquet(f"{real}/pages.parquet").count()
+
+
+def test_mask_secrets_whole_has_every_document(spark, tmp_path):
+    texts = {1: 'TOKEN = "9233A8ECAB"', 2: "Bearer abcdefgh12", 3: "PASSWORD: abcdefgh", 4: "sk-abcdefgh", 5: "plain", 6: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.masked_md5 for r in catalog.QUERIES["mask_secrets_whole"](spark, str(tmp_path)).collect()}
+    assert found == {i: hashlib.md5((t if i > 4 else "[masked]").encode()).hexdigest() for i, t in texts.items()}
+    real = "/root/testdata/sf0.01"
+    assert catalog.QUERIES["mask_secrets_whole"](spark, real).count() == spark.read.parquet(f"{real}/documents.parquet").count()
