@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from corpusloom.functions import text as T
 
@@ -36,18 +40,25 @@ def semantic_edges(candidates: DataFrame) -> DataFrame:
 
 def batches(candidates: DataFrame, most_pairs: int = 25, most_functions: int = 15) -> DataFrame:
     """(path, a, b, batch): pairs of a file in order, packed greedily; a batch closes before a pair that would exceed
-    ``most_pairs`` pairs or ``most_functions`` functions. The fold runs over a file's own pairs, inside the JVM."""
-    listed = candidates.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ps"))
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("fs"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        more = F.array_union(acc["fs"], F.array(p["a"], p["b"]))
-        full = (acc["n"] > 0) & ((acc["n"] >= most_pairs) | (F.size(more) > most_functions))
-        k = F.when(full, acc["k"] + 1).otherwise(acc["k"])
-        return F.struct(k.alias("k"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, F.array_distinct(F.array(p["a"], p["b"]))).otherwise(more).alias("fs"), F.concat(acc["out"], F.array(k)).alias("out"))
-
-    packed = listed.select("path", "ps", F.aggregate("ps", start, step)["out"].alias("ks"))
-    return packed.select("path", F.explode(F.arrays_zip("ps", "ks")).alias("x")).select("path", "x.ps.a", "x.ps.b", F.col("x.ks").alias("batch"))
+    ``most_pairs`` pairs or ``most_functions`` functions. Pairs are read as a sorted stream, so a file of any number of
+    pairs takes the memory of one batch."""
+
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, k, n, names = None, 0, 0, None  # names is None before the first pair
+        for frame in frames:
+            ks = []
+            for p, a, b in zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True):
+                if names is None or p != path:
+                    path, k, n, names = p, 0, 0, set()
+                if n and (n >= most_pairs or len(names | {a, b}) > most_functions):
+                    k, n, names = k + 1, 0, set()
+                n += 1
+                names |= {a, b}
+                ks.append(k)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(ks, pa.int32())], ["path", "a", "b", "batch"])
+
+    sorted_ = candidates.select("path", "a", "b").repartition("path").sortWithinPartitions("path", "a", "b")
+    return sorted_.mapInArrow(work, types.StructType([*sorted_.schema.fields, types.StructField("batch", types.IntegerType())]))
 
 
 def summary(kind: Column, name: Column, path: Column) -> Column:

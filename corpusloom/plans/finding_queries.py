@@ -225,7 +225,7 @@ def semantic_edges(spark, d):
 
 @query(None)
 def pair_batches(spark, d):
-    p = table(spark, d, "lineitem").where("l_orderkey < 40").select(F.lit("x").alias("path"), F.col("l_partkey").cast("string").alias("a"), F.col("l_suppkey").cast("string").alias("b")).distinct()
+    p = table(spark, d, "lineitem").select(F.concat(F.lit("supplier-"), "l_suppkey").alias("path"), F.col("l_partkey").cast("string").alias("a"), F.col("l_suppkey").cast("string").alias("b")).distinct()
     return semantic.batches(p)
 
 

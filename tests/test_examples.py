@@ -191,3 +191,31 @@ def test_mask_secrets_whole_has_every_document(spark, tmp_path):
     assert found == {i: hashlib.md5((t if i > 4 else "[masked]").encode()).hexdigest() for i, t in texts.items()}
     real = "/root/testdata/sf0.01"
     assert catalog.QUERIES["mask_secrets_whole"](spark, real).count() == spark.read.parquet(f"{real}/documents.parquet").count()
+
+
+def test_batches_go_on_from_one_arrow_batch_to_the_next(spark):
+    pairs = [(p, f"a{i * s % 97:02}", f"b{i % m:02}") for p, s, m in (("p", 1, 97), ("q", 5, 2), ("r", 3, 1)) for i in range(90)]
+    want = set()
+    for path in "pqr":
+        k, n, names = 0, 0, set()
+        for p, a, b in sorted(x for x in pairs if x[0] == path):
+            if n and (n >= 25 or len(names | {a, b}) > 15):
+                k, n, names = k + 1, 0, set()
+            n, names = n + 1, names | {a, b}
+            want.add((p, a, b, k))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for records in (1, 7, 10_000):
+            spark.conf.set(key, str(records))
+            assert {tuple(r) for r in semantic.batches(spark.createDataFrame(pairs, "path string, a string, b string")).collect()} == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_pair_batches_takes_every_pair(spark):
+    real = "/root/testdata/sf0.01"
+    found = catalog.QUERIES["pair_batches"](spark, real)
+    every = spark.read.parquet(f"{real}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct()
+    assert {(int(r.a), int(r.b)) for r in found.collect()} == {tuple(r) for r in every.collect()} and found.count() == every.count()
+    assert found.select("path").distinct().count() > 1 and found.agg(F.max("batch")).first()[0] > 0
