@@ -199,6 +199,14 @@ def token_estimate_by_model(spark, d):
     return rows.select("model", r.alias("chars_per_token"), K.estimate(F.col("text"), r).alias("tokens"), F.lower("model").startswith("gpt-4.5").alias("deprecated"))
 
 
+@query(f"WITH {values('m', 'model', MODELS)} SELECT item_id, model, {RATIO} AS chars_per_token, {_estimate_sql('b.text', RATIO)} AS tokens, starts_with(lower(model), 'gpt-4.5') AS deprecated FROM m, benchmark b")
+def token_estimate_by_model_whole(spark, d):
+    """Every benchmark text by every model."""
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.explode(F.array(*[F.lit(m) for (m,) in MODELS])).alias("model"))
+    r = K.ratio(F.col("model"))
+    return rows.select("item_id", "model", r.alias("chars_per_token"), K.estimate(F.col("text"), r).alias("tokens"), F.lower("model").startswith("gpt-4.5").alias("deprecated"))
+
+
 def _tokens_sql(text: str, stop) -> str:
     names = ", ".join(f"'{w}'" for w in stop)
     return f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({names})))"

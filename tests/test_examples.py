@@ -219,3 +219,11 @@ def test_pair_batches_takes_every_pair(spark):
     every = spark.read.parquet(f"{real}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct()
     assert {(int(r.a), int(r.b)) for r in found.collect()} == {tuple(r) for r in every.collect()} and found.count() == every.count()
     assert found.select("path").distinct().count() > 1 and found.agg(F.max("batch")).first()[0] > 0
+
+
+def test_token_estimate_by_model_whole_has_every_text(spark):
+    real = "/root/testdata/sf0.01"
+    items = {r.item_id for r in spark.read.parquet(f"{real}/benchmark.parquet").select("item_id").collect()}
+    found = catalog.QUERIES["token_estimate_by_model_whole"](spark, real).collect()
+    models = {r.model for r in found}
+    assert len(models) == 13 and len(found) == 13 * len(items) and {(r.item_id, r.model) for r in found} == {(i, m) for i in items for m in models}
