@@ -35,8 +35,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids of every document."""
-    return bpe.encode(docs, tokenizer("word_bpe_49k.json"), carry=("doc_id", "source"))
+    """doc_id, source, ids of every document, and decoded_sha256 of the text that its ids decode to."""
+    return bpe.round_trip(docs, tokenizer("word_bpe_49k.json"), carry=("doc_id", "source"))
 
 
 STAGES = [

@@ -206,6 +206,21 @@ def digests(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_00
     return _encoded(docs, path, most, local, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
 
 
+def round_trip(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``encode`` with decoded_sha256, the digest of what ``decode`` makes of the ids; the encoding worker decodes them."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(load(path)))
+    tables: list[pa.Array] = []
+
+    def digest(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            tables.append(_table(shared.value))
+        for batch in _id_slices(whole, len(carry)):
+            texts = _joined(batch.column(len(carry)), tables[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())], [*carry, "ids", "decoded_sha256"])
+
+    return _encoded(docs, path, most, local, carry, "ids array<int>, decoded_sha256 string", digest)
+
+
 def _from_ids(encoded: DataFrame, path: str, schema: str, make) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(load(path)))
     cols = [c for c in encoded.columns if c != "ids"]

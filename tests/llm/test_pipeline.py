@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import public_tokenizers
@@ -5,7 +6,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from corpusloom.llm import jaccard, mixing, pii, quality
+from corpusloom.llm import bpe, jaccard, mixing, pii, quality
 from corpusloom.llm.common import store
 from tests.llm import awkward
 from tests.llm.test_jaccard import brute as jaccard_brute
@@ -50,3 +51,12 @@ def test_stages_bear_awkward_rows(spark, tmp_path):
             assert f(spark, frame, str(tmp_path)).columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() == frame.count()
     assert pii.sanitise(docs).count() == docs.count() and jaccard.keep_one(docs).count() < docs.count()
+
+
+def test_token_ids_are_decoded(spark):
+    docs = awkward.documents(spark).select("doc_id", "source", "text").union(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "source", "text"))
+    ids = corpus_pipeline.token_ids(spark, docs, DIR)
+    assert ids.columns == ["doc_id", "source", "ids", "decoded_sha256"]
+    back = bpe.decode(bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")), public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((r.doc_id, hashlib.sha256(r.decoded.encode()).hexdigest()) for r in back.collect())
+    assert Counter((r.doc_id, r.decoded_sha256) for r in ids.collect()) == want and sum(want.values()) == docs.count()
