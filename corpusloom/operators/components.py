@@ -12,24 +12,29 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a, b of one ordered type) -> (node, root): root is the least node of the component; only linked nodes.
 
     Large-star and small-star by turns, until no link changes: each round hangs every node's larger, then its smaller
-    neighbours on the least one it sees, and depth shrinks by a factor. Rounds are equi-joins with one row a node on one
-    side; each is written to the shared folder, so nothing is kept on executors and nothing comes to the driver but two
-    numbers.
+    neighbours on the least one it sees, and depth shrinks by a factor. A root is never looked up, and the table of
+    parents is dealt by itself, so links that all end in one root are a skewed side that AQE splits. Each round is
+    written to the shared folder, so nothing is kept on executors and nothing comes to the driver but two numbers.
+    Links with a null end, and of a node with itself, join nothing; repeated links count once.
     """
-    pairs = store(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links_0")
-    mark = None
+    pairs = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    pairs, mark = _marked(pairs, "links_0")
     for i in range(1, rounds + 1):
-        both = pairs.selectExpr("hi as u", "lo as v").union(pairs.selectExpr("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").selectExpr("v as hi", "m as lo").distinct()
-        small_ = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small_ = large.join(small_, "hi").selectExpr("case when lo = m then hi else lo end as hi", "m as lo").where("hi <> lo").distinct()
-        pairs = store(small_, f"links_{i}")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        up = pairs.groupBy("hi").agg(F.min("lo").alias("up")).repartition("hi").withColumnRenamed("hi", "at")
+        large = pairs.join(up, F.col("lo") == F.col("at"), "left").select("hi", F.coalesce("up", "lo").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small_ = large.join(least, "hi").selectExpr("case when lo = m then hi else lo end as hi", "m as lo").where("hi <> lo").distinct()
+        pairs, now = _marked(small_, f"links_{i}")
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError("components did not settle")
     roots = pairs.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "node")
-    return roots.union(roots.select("root", "root")).distinct()
+    return roots.union(roots.select("root", "root").distinct())
+
+
+def _marked(pairs: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """``pairs`` written and read again, with their number and a sum of their hashes."""
+    pairs = store(pairs, name)
+    return pairs, tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
