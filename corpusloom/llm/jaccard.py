@@ -287,33 +287,31 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 40
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """The positions of links that join what earlier ones left apart."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p] if p in parent else p
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            parent[rx] = ry
-            keep.append(i)
-    return keep
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least node it reaches) that connect what the links (a, b) connect: fewer rows than nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(nodes))
+    x, y = at[: len(a)], at[len(a) :]
+    while True:
+        least = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
 
 
 def _meet(sids: list[list[int]], sets: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The links within one chunk of sets or between two, thinned to a forest: fewer rows than sets."""
+    """The links within one chunk of sets or between two, thinned to stars: fewer rows than sets."""
     left, right = sets[0], sets[1] or sets[0]
     both = _overlaps(left, right).astype(np.int64)
     nl, nr = np.array([len(s) for s in left])[:, None], np.array([len(s) for s in right])[None, :]
     i, j = np.nonzero(100 * both >= PERCENT * (nl + nr - both))
-    a, b = np.array(sids[0])[i], np.array(sids[1] or sids[0])[j]
-    keep = _forest(a, b)
-    return a[keep], b[keep]
+    off = i != j if left is right else np.ones(len(i), bool)
+    return _stars(np.array(sids[0], np.int64)[i[off]], np.array(sids[1] or sids[0], np.int64)[j[off]])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,8 +380,12 @@ def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int,
 
     # sets that may link at all are in one cluster; a small one is compared as a whole, its sets sent once
     size = wanted.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    large = size.where((F.col("sets") > chunk_sets) | (F.col("tokens") > 4 * chunk_tokens)).select("cluster")
-    large = offer(store(large, "jaccard_large"))
+    large = store(size.where((F.col("sets") > chunk_sets) | (F.col("tokens") > 4 * chunk_tokens)).select("cluster"), "jaccard_large")
+    blocked = lambda rows: rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_blocks), "a long, b long")
+    if small(large, 0):  # no cluster needs more
+        whole = sets.join(offer(wanted.select("sid", F.col("cluster").alias("block")), 1_000_000), "sid")
+        return store(blocked(whole.select("block", F.lit(0).alias("side"), "sid", "tokens")), "jaccard_links")
+    large = offer(large)
     hot_ids = members.select("sid").distinct().withColumn("hot", F.lit(True))
     placed = clusters.join(large.withColumn("large", F.lit(True)), "cluster", "left").join(hot_ids, "sid", "left")
     placed = store(placed.select("sid", "cluster", F.coalesce("large", F.lit(False)).alias("large"), F.coalesce("hot", F.lit(False)).alias("hot")), "jaccard_placed")
@@ -403,7 +405,7 @@ def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int,
     each = each.select("cluster", F.xxhash64("cluster", "p.step", "p.part", "q.step", "q.part").alias("block"), "s.side", F.col("s.at.step").alias("step"), F.col("s.at.part").alias("part"))
     dealt = hot.join(offer(parts.select("cluster", "step", "parts")), ["cluster", "step"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     dealt = dealt.join(offer(store(each, "jaccard_chunks")), ["cluster", "step", "part"]).select("block", "side", "sid", "tokens")
-    blocks = whole.union(dealt).repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_blocks), "a long, b long")
+    blocks = blocked(whole.union(dealt))
 
     # and its pairs of short lists are verified one by one, but those that chunks compare anyhow
     of = placed.where("large").select("sid", "hot")

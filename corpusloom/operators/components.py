@@ -12,8 +12,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a, b of one ordered type) -> (node, root): root is the least node of the component; only linked nodes.
 
     Large-star and small-star by turns, until no link changes: each round hangs every node's larger, then its smaller
-    neighbours on the least one it sees, and depth shrinks by a factor. A root is never looked up, and the table of
-    parents is dealt by itself, so links that all end in one root are a skewed side that AQE splits. Each round is
+    neighbours on the least one it sees, and depth shrinks by a factor. A root is never looked up, and the tables of
+    parents are dealt by themselves, so links that all end in one node are a skewed side that AQE splits. Each round is
     written to the shared folder, so nothing is kept on executors and nothing comes to the driver but two numbers.
     Links with a null end, and of a node with itself, join nothing; repeated links count once.
     """
@@ -21,8 +21,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     pairs, mark = _marked(pairs, "links_0")
     for i in range(1, rounds + 1):
         up = pairs.groupBy("hi").agg(F.min("lo").alias("up")).repartition("hi").withColumnRenamed("hi", "at")
-        large = pairs.join(up, F.col("lo") == F.col("at"), "left").select("hi", F.coalesce("up", "lo").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = pairs.join(up, F.col("lo") == F.col("at"), "left").select("hi", F.coalesce("up", "lo").alias("lo"))
+        least = large.groupBy("hi").agg(F.min("lo").alias("m")).repartition("hi")
         small_ = large.join(least, "hi").selectExpr("case when lo = m then hi else lo end as hi", "m as lo").where("hi <> lo").distinct()
         pairs, now = _marked(small_, f"links_{i}")
         if now == mark:
