@@ -46,20 +46,33 @@ def _seeds(hosts: DataFrame, rules) -> DataFrame:
     return found.join(F.broadcast(total), "kind").select("kind", "host", (1 / F.col("n")).alias("seed"))
 
 
+#: Where a link leads: an absolute or scheme-relative reference names a host, any other stays on the page's own.
+HREF = "(?i)href\\s*=\\s*[\"']?([^\"'\\s>]+)"
+TARGET = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): absolute links between different hosts, pre-aggregated before the shuffle."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("(?i)href\\s*=\\s*[\"']?([^\"'\\s>]+)"), 1)
-    out = pages.select(host(F.col("url")).alias("src"), F.explode(F.filter(links, lambda u: u.contains("://"))).alias("u"))
-    out = out.select("src", host(F.col("u")).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
-    return out.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """(src, dst, n): links between different hosts, pre-aggregated before the shuffle.
+
+    References are resolved against the page: ``scheme://host`` and ``//host`` lead to that host, whatever stands in
+    paths and queries; all others lead to the page's own host and make no edge. Null html has no links; a page whose
+    url is null or has no ``://`` has no host and links nowhere; repeated rows count as often as they stand there.
+    """
+    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)
+    out = pages.select(host(F.col("url")).alias("src"), F.explode(links).alias("u"))
+    to = ascii_lower(F.regexp_extract(F.replace("u", F.lit("&amp;"), F.lit("&")), TARGET, 1))
+    return out.select("src", to.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
-    """(host, trust, distrust) by personalised PageRank.
+    """(host, trust, distrust) by personalised PageRank, each adding up to 1 where it has a seed.
 
     Trust starts at the trusted seeds and follows links; distrust starts at the blocked seeds and follows links
-    backwards. Each round is one equi-join and one pre-aggregated sum over hosts, both kinds together; lineage is cut
-    by a written table every ``cut_every`` rounds. Hosts that no seed reaches are absent.
+    backwards. What hosts without links to follow hold goes back to the seeds: as that only scales the scores of a kind,
+    they are scaled once, at the end. Each round is one equi-join and one pre-aggregated sum over hosts, both kinds
+    together; the edges are dealt by their start once and kept so (executors that are lost build theirs again from a
+    written table), and lineage is cut by a written table every ``cut_every`` rounds. Hosts that no seed reaches are
+    absent; without seeds or links the table is empty or holds the seeds alone.
     """
     edges = store(host_edges(pages), "host_edges")
     hosts = pages.select(host(F.col("url")).alias("host")).distinct().union(edges.select("dst")).distinct()
@@ -67,6 +80,7 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, iterations
     both = forward.union(edges.selectExpr("'distrust'", "dst", "src", "n"))
     out = both.groupBy("kind", "frm").agg(F.sum("n").alias("total"))
     moves = store(both.join(out, ["kind", "frm"]).selectExpr("kind", "frm", "to", "n / total as w"), "host_moves")
+    moves = moves.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "frm").persist()
     seeds = store(_seeds(hosts, rules), "host_seeds")
     start = seeds.selectExpr("kind", "host", f"seed * {1 - damping} as score")
     state = seeds.selectExpr("kind", "host", "seed as score")
@@ -76,6 +90,9 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, iterations
         state = start.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % cut_every == 0 or i == iterations:
             state = store(state, f"host_state_{i}")
+    moves.unpersist()
+    whole = state.groupBy("kind").agg(F.sum("score").alias("whole"))  # two rows
+    state = state.join(F.broadcast(whole), "kind").selectExpr("kind", "host", "score / whole as score")
     pick = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 12).alias(k)
     return state.groupBy("host").agg(pick("trust"), pick("distrust"))
 

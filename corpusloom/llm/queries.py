@@ -47,7 +47,7 @@ def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    kept = shards.ingest(docs, scratch(spark, "shards")).read()
+    kept = shards.ingest(docs, scratch(spark, "shards"), hours=0).read()  # the store is this query's own
     if kept is None:
         kept = docs.limit(0)
     return kept.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("text_bytes"), "lang", "source", "n_chars")
@@ -100,7 +100,7 @@ def _links_sql(iterations: int = 20, damping: float = 0.85) -> str:
     sql = f"""
 WITH p AS (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 u AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS u FROM p),
-e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host('u')} AS dst FROM u WHERE contains(u, '://')) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, translate(regexp_extract(replace(u, '&amp;', '&'), '{linkrank.TARGET}', 1), '{upper}', '{lower}') AS dst FROM u) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
 h AS (SELECT host FROM p UNION SELECT dst FROM e),
 k AS (SELECT host, {seed} AS kind FROM h),
 sd AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM k WHERE kind IS NOT NULL),
@@ -110,7 +110,8 @@ s0 AS (SELECT kind, host, seed AS score FROM sd)"""
     for i in range(1, iterations + 1):
         sql += f", s{i} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, seed * {1 - damping} AS score FROM sd UNION ALL SELECT m.kind, m.too, s.score * m.w * {damping} FROM mv m JOIN s{i - 1} s ON s.kind = m.kind AND s.host = m.frm) GROUP BY kind, host)"
     return sql + f""",
-bad AS (SELECT host FROM s{iterations} GROUP BY host HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 12) > round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 12)),
+sn AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM s{iterations}),
+bad AS (SELECT host FROM sn GROUP BY host HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 12) > round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 12)),
 r AS (SELECT page_id, host, path, {case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS ruled FROM p)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' ELSE 'links' END AS judged_by FROM r"""
 

@@ -26,8 +26,9 @@ def brute_scores(rows, iterations=20, d=0.85):
         src = parts(url)[0]
         hosts.add(src)
         for u in re.findall(r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", html or ""):
-            dst = parts(u)[0]
-            if "://" in u and src and dst and src != dst:
+            m = re.match("(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", u.replace("&amp;", "&"))
+            dst = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]) if m else ""
+            if src and dst and src != dst:
                 edges[src, dst] += 1
                 hosts.add(dst)
     kind = {}
@@ -52,7 +53,7 @@ def brute_scores(rows, iterations=20, d=0.85):
                     if a in score:
                         new[b] = new.get(b, 0) + d * score[a] * n / sum(bs.values())
             score = new
-        out[k] = score
+        out[k] = {h: s / sum(score.values()) for h, s in score.items()}
     return out
 
 
@@ -87,6 +88,19 @@ def test_small_graph(spark):
     assert verdicts["farm.info"] == "block" == verdicts["feeder.biz"] and verdicts["friend.com"] == "allow" == verdicts["x.com"]
 
 
+def test_links_are_resolved(spark):
+    html = a("/go?u=http://evil.net/y", "//CDN.io/z", "rel/x", "https://far.org?q=1&amp;r=//no.net", "#top", "mailto:x@y.z", "http://h.com:80/", "://odd.com/") + "<A HREF=//bare.io>"
+    pages = spark.createDataFrame([(1, "http://here.com/a/b", html), (1, "http://here.com/a/b", html), (2, "http://ruled.net/x", None), (3, None, html)], "page_id long, url string, html string")
+    assert sorted(map(tuple, linkrank.host_edges(pages).collect())) == [("here.com", d, 2) for d in ("bare.io", "cdn.io", "far.org", "h.com:80")]
+    assert {(r.page_id, r.verdict) for r in linkrank.judge_urls(pages).collect()} == {(1, "allow"), (2, "block"), (3, "allow")}
+
+
+def test_scores_add_up(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    total = linkrank.host_scores(pages).groupBy().sum("trust", "distrust").first()
+    assert abs(total[0] - 1) < 1e-9 and abs(total[1] - 1) < 1e-9
+
+
 def test_real_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     assert judged(pages) == expect([(r.page_id, r.url, r.html) for r in pages.collect()])
