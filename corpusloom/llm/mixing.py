@@ -81,9 +81,20 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, budge
 def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as ``mix`` says, none where it takes none; same columns.
 
-    Rows that share doc_id, source and size are taken alike, as often as the luckiest of them.
+    Rows that share doc_id, source and size stand in for each other: as many of them are taken as often as ``mix``
+    says. Only where the budget ends among such rows are they ranked, by their texts; all other rows meet their count
+    in one equi-join. Null ids and sources meet null ones.
     """
-    plan = mix(docs, labels, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (n_words(docs["text"]) == F.col("__size"))
-    rows = docs.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return rows.select(*[docs[c] for c in docs.columns])
+    plan = mix(docs, labels, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    plan = plan.agg(F.min("copies").alias("__least"), F.max("copies").alias("__most"), F.sum("copies").alias("__all"), F.count("*").alias("__rows")).where("__most > 0")
+    plan = store(plan, "mix_copies")
+    size = n_words(F.col("text"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
+    sized = docs.withColumn("__n", size)
+    even = sized.join(plan.where("__least = __most"), on).withColumn("__copies", F.col("__most"))
+    split = plan.where("__least <> __most")
+    split = sized.join(F.broadcast(split) if small(split, 100_000) else split, on)
+    rank = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
+    split = split.withColumn("__copies", F.col("__least") + (rank <= F.col("__all") - F.col("__least") * F.col("__rows")).cast("long"))
+    rows = even.unionByName(split).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return rows.select(*docs.columns)

@@ -62,6 +62,19 @@ def test_takes_the_smallest_keys(spark):
             before += r.size
 
 
+def test_repeated_rows_across_the_end_of_the_budget(spark):
+    rows = [(7, " ".join(["w"] * 10), "c")] * 60 + [(7, " ".join(["v"] * 10), "c")] * 3 + [(i, "z " * 9, "a") for i in range(60)] + [(None, "x y z", None)] * 40 + [(i, f"t{i} u", "b") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan, out = mixing.mix(docs).collect(), mixing.mixed(docs).collect()
+    taken, got = defaultdict(int), defaultdict(int)
+    for r in plan:
+        taken[r.doc_id, r.source] += r.taken
+    for r in out:
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert {k: n for k, n in taken.items() if n} == got
+    assert len({r.copies for r in plan if r.doc_id == 7 and r.source == "c"}) == 2
+
+
 def test_empty(spark):
     docs = awkward.documents(spark)
     assert mixing.mix(docs.limit(0), awkward.labels(spark)).count() == 0
