@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import remove
 
 
+#: Schemes of stores without a rename in one step, where creating an object is one.
+OBJECT_STORES = ("s3a", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn")
+
+
 @dataclass(frozen=True)
 class Shard:
     name: str
@@ -24,9 +31,11 @@ class Shard:
 class ShardStore:
     """A folder of immutable Parquet shards and one JSON manifest a version.
 
-    A commit writes the new manifest under a name of its own and renames it to ``v<n>.json``; the rename fails if
-    another writer took that version, so a version is either wholly there or not at all. Readers see the shards of one
-    version; files that no manifest names (of a job that died) are never read and go at the next ``vacuum``.
+    A commit writes the new manifest under a name of its own and gives it the name ``v<n>.json`` in one step that fails
+    if another writer took that version: by a hard link on a local file system, by a rename that never replaces on HDFS
+    and its like, by an exclusive create on object stores. So a version is either wholly there or not at all, and of
+    two writers one is told to retry. Readers see the shards of one version; files that no manifest names (of a job
+    that died) are never read, and go at a ``vacuum`` once they are old enough.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -58,20 +67,43 @@ class ShardStore:
     def _commit(self, shards: list[Shard], base: int) -> int:
         version = base + 1
         final, temp = (self._path(f"{self.root}/manifest/{n}") for n in (f"v{version:08d}.json", f".{uuid.uuid4().hex}"))
-        out = self._fs.create(temp, False)
-        out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.seq)]}).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, False)
-            raise RuntimeError(f"version {version} was committed by another writer; read again and retry")
+        text = bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.seq)]}).encode())
+        try:
+            if self._fs.getUri().getScheme() in OBJECT_STORES:  # a created object shows when it is whole, and only one creation wins
+                self._put(final, text)
+            else:
+                self._put(temp, text)
+                try:
+                    self._publish(temp, final)
+                finally:
+                    self._fs.delete(temp, False)
+        except (Py4JJavaError, FileExistsError) as e:
+            if not self._fs.exists(final):
+                raise
+            raise RuntimeError(f"version {version} was committed by another writer; read again and retry") from e
         return version
 
+    def _put(self, path, text: bytearray) -> None:
+        out = self._fs.create(path, False)
+        out.write(text)
+        out.close()
+
+    def _publish(self, temp, final) -> None:
+        """Give a whole file its final name unless that is taken, in one step."""
+        if self._fs.getUri().getScheme() == "file":
+            os.link(temp.toUri().getPath(), final.toUri().getPath())
+            return
+        jvm = self.spark._jvm
+        options = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, final, options)
+
     def _measure(self, name: str, seq: int) -> Shard:
         files = [s for s in self._fs.listStatus(self._path(f"{self.root}/data/{name}")) if s.getPath().getName().startswith("part-")]
         return Shard(name, seq, sum(s.getLen() for s in files), len(files))
 
     def append(self, df: DataFrame, by: str | None = None) -> int:
-        """Commit ``df`` as one new shard, or, with ``by``, as one shard for each value of that column, in one job."""
+        """Commit ``df`` as one new shard, or, with ``by``, one after another as a shard for each value of that column, all
+        written by one job. An empty ``df`` with ``by`` gives no shard; rows, nulls and repeats stay as they are."""
         base, job = self.version(), uuid.uuid4().hex
         have = self.shards(base)
         seq = max((s.seq for s in have), default=-1) + 1
@@ -81,7 +113,10 @@ class ShardStore:
         else:
             df.write.partitionBy(by).parquet(f"{self.root}/data/{job}")
             names = sorted(f"{job}/{s.getPath().getName()}" for s in self._fs.listStatus(self._path(f"{self.root}/data/{job}")) if s.isDirectory())
-        return self._commit(have + [self._measure(n, seq + i) for i, n in enumerate(names)], base)
+        for i, n in enumerate(names):
+            have = have + [self._measure(n, seq + i)]
+            base = self._commit(have, base)
+        return base
 
     def compact(self, target_bytes: int = 128 << 20, fanout: int = 4, smallest: int = 1 << 20) -> int:
         """Merge runs of at least ``fanout`` neighbouring shards of one size tier, until no tier holds such a run.
@@ -119,21 +154,23 @@ class ShardStore:
                 run.append(s)
         return run if len(run) >= fanout else []
 
-    def vacuum(self) -> None:
-        """Remove what the newest version does not name; older versions can't be read after it."""
-        now = self.version()
-        named = {s.name for s in self.shards(now)}
+    def vacuum(self, hours: float = 24.0) -> None:
+        """Remove what is over ``hours`` old and what the newest version does not name: shards, files of jobs that died,
+        and older manifests. Younger files stay, as readers of an older version or an unfinished writer may need them."""
+        now, limit = self.version(), (time.time() - 3600 * hours) * 1000
+        old = lambda s: s.getModificationTime() <= limit
+        stale = [v for v in self._versions() if v < now and old(self._fs.getFileStatus(self._path(f"{self.root}/manifest/v{v:08d}.json")))]
+        for v in stale:
+            remove(self.spark, f"{self.root}/manifest/v{v:08d}.json")
+        named = {s.name for v in self._versions() for s in self.shards(v)}
         data = self._path(f"{self.root}/data")
         for top in self._fs.listStatus(data) if self._fs.exists(data) else []:
             name = top.getPath().getName()
-            if name in named:
+            if name in named or not old(top):
                 continue
             inner = [f"{name}/{s.getPath().getName()}" for s in self._fs.listStatus(top.getPath())]
             for x in [n for n in inner if n not in named] if any(n in named for n in inner) else [name]:
                 remove(self.spark, f"{self.root}/data/{x}")
-        for v in self._versions():
-            if v < now:
-                remove(self.spark, f"{self.root}/manifest/v{v:08d}.json")
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version with the shard of each; null for a store without shards."""
@@ -144,8 +181,9 @@ class ShardStore:
         return rows.withColumn("shard_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def ingest(docs: DataFrame, root: str, arrivals: int = 16, target_bytes: int = 128 << 20, fanout: int = 4) -> ShardStore:
-    """Append ``docs`` as ``arrivals`` small shards, compact them and vacuum; the store holds every row once.
+def ingest(docs: DataFrame, root: str, arrivals: int = 16, target_bytes: int = 128 << 20, fanout: int = 4, hours: float = 24.0) -> ShardStore:
+    """Append ``docs`` as ``arrivals`` small shards, a version each, compact them, and vacuum what is over ``hours`` old; the
+    newest version holds every row once.
 
     Nulls and repeated rows are kept as they are; an empty table gives a store without shards.
     """
@@ -153,5 +191,5 @@ def ingest(docs: DataFrame, root: str, arrivals: int = 16, target_bytes: int = 1
     batch = F.pmod(F.xxhash64(*[c for c in ("doc_id",) if c in docs.columns]), F.lit(arrivals)).cast("int")
     store.append(docs.withColumn("__arrival", batch), by="__arrival")
     store.compact(target_bytes, fanout)
-    store.vacuum()
+    store.vacuum(hours)
     return store

@@ -1,5 +1,6 @@
 import json
 import os
+import threading
 
 import pytest
 
@@ -31,6 +32,8 @@ def test_versions_are_whole_and_immutable(spark, tmp_path):
     spark.range(3).write.parquet(orphan)
     assert store.read().count() == 50
     store.vacuum()
+    assert os.path.exists(orphan) and store._versions() == [1, 2, 3, 4, 5, 6] and store.read(5).count() == 50
+    store.vacuum(hours=0)
     assert not os.path.exists(orphan) and store.read().count() == 50 and store._versions() == [6]
 
 
@@ -42,6 +45,32 @@ def test_two_writers(spark, tmp_path):
     assert store.version() == 1 and json.load(open(tmp_path / "s/manifest/v00000001.json"))["version"] == 1
 
 
+def test_concurrent_writers(spark, tmp_path):
+    root = str(tmp_path / "s")
+    shards.ShardStore(spark, root).append(spark.range(1))
+    won, lost = [], []
+
+    def write(i):
+        store = shards.ShardStore(spark, root)
+        try:
+            won.append(store._commit(store.shards(1) + [shards.Shard(f"w{i}", i, 1, 1)], 1))
+        except RuntimeError:
+            lost.append(i)
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    store = shards.ShardStore(spark, root)
+    assert won == [2] and len(lost) == 7 and store._versions() == [1, 2] and len(store.shards()) == 2
+    assert sorted(os.listdir(f"{root}/manifest")) == sorted(n for n in os.listdir(f"{root}/manifest") if n.endswith(".json") and n.startswith(("v", ".v")) or n.endswith(".crc"))
+
+
+def test_arrivals_are_versions(spark, tmp_path):
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.range(100).selectExpr("id", "id % 5 as batch"), by="batch")
+    assert store.version() == 5 and [store.read(v).count() for v in range(1, 6)] == [20, 40, 60, 80, 100]
+
+
 def test_runs():
     mb = 1 << 20
     s = lambda seq, size, files=1: shards.Shard(f"s{seq}", seq, size * mb, files)
