@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import store, tidy
+from corpusloom.llm.common import store, tidy, words
 
 
 def load(path: str) -> str:
@@ -99,17 +99,22 @@ def word_table(docs: DataFrame, tokenizer: str, most: int = 131_072, longest: in
     The bounds on words and bytes bound what is brought to the driver and broadcast, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    counts = store(word_counts(docs).where((F.octet_length("word") <= longest) & (F.col("n") > 1)), "bpe_counts")
+    rows = _encode_words(frequent(counts, most).select("word"), shared)
+    return {bytes(r.word): np.array(r.ids, np.int32).tobytes() for r in rows.collect()}
+
+
+def _encode_words(rows: DataFrame, tokenizer) -> DataFrame:
+    """(word, ids) of distinct words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(shared.value)
+        t = _tokenizer(tokenizer.value)
         for batch in batches:
             words = batch.column(0).to_pylist()
             ids = [e.ids for e in t.encode_batch([w.decode() for w in words], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    counts = store(word_counts(docs).where((F.octet_length("word") <= longest) & (F.col("n") > 1)), "bpe_counts")
-    rows = frequent(counts, most).select("word").mapInArrow(tidy(encode), "word binary, ids array<int>")
-    return {bytes(r.word): np.array(r.ids, np.int32).tobytes() for r in rows.collect()}
+    return rows.mapInArrow(tidy(encode), "word binary, ids array<int>")
 
 
 def encode(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -190,7 +195,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_000) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from its ids, by one worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from its ids, by one worker.
+
+    Null and empty texts have no ids and decode to an empty text; repeated rows have equal results; an empty table
+    gives no row. A text of any length is hashed as it is encoded, one text at a time in memory.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(pieces(load(path)))
     tables: list[pa.Array] = []
     sha = lambda texts: pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
@@ -206,6 +215,32 @@ def digests(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_00
     return _encoded(docs, path, most, local, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
 
 
+def encode_by_join(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``encode`` by joins of Spark alone: (row, position, word) of every place meets the table of distinct words, each
+    encoded once in the corpus, and ids come back by position. Same ids; see the README for what it moves.
+
+    Frequent words are a skewed side of the join, which AQE splits; a text's ids are collected in one row, as in a text.
+    """
+    rows = store(docs.select(F.monotonically_increasing_id().alias("__row"), *carry, "text"), "bpe_rows")
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    table = store(_encode_words(word_counts(docs).select("word"), shared), "bpe_distinct")
+    places = rows.select("__row", F.posexplode(words(F.col("text"))).alias("at", "w")).select("__row", "at", F.col("w").cast("binary").alias("word"))
+    met = places.join(table, "word").groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    none = F.array().cast("array<int>")
+    return rows.join(met, "__row", "left").select(*carry, F.coalesce("ids", none).alias("ids"))
+
+
+def decode_by_join(encoded: DataFrame, path: str) -> DataFrame:
+    """``decode`` by a join of ids to the table of pieces, which is as large as the vocabulary and is broadcast."""
+    spark = encoded.sparkSession
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(pieces(load(path))) if p is not None], "id int, piece string")
+    cols = [c for c in encoded.columns if c != "ids"]
+    rows = store(encoded.withColumn("__row", F.monotonically_increasing_id()), "bpe_ids")
+    met = rows.select("__row", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id").groupBy("__row")
+    met = met.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ").alias("decoded"))
+    return rows.join(met, "__row", "left").select(*cols, F.coalesce("decoded", F.lit("")).alias("decoded"))
+
+
 def round_trip(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``encode`` with decoded_sha256, the digest of what ``decode`` makes of the ids; the encoding worker decodes them."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces(load(path)))

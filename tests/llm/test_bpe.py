@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe
@@ -38,6 +39,14 @@ def test_small_tables_do_not_change_ids(spark):
     check(spark, docs, most=0, local=1)
 
 
+def test_joins_give_the_same(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY * 2)], "doc_id long, text string").repartition(3).unionByName(awkward.documents(spark).where("doc_id > 9").select(F.col("doc_id") + 100, "text").toDF("doc_id", "text"))
+    plain = bpe.encode(docs, PATH).orderBy("doc_id").collect()
+    by_join = bpe.encode_by_join(docs, PATH)
+    assert by_join.orderBy("doc_id").collect() == plain
+    assert bpe.decode_by_join(by_join, PATH).orderBy("doc_id").collect() == bpe.decode(bpe.encode(docs, PATH), PATH).orderBy("doc_id").collect()
+
+
 def test_awkward_tables(spark):
     docs = awkward.documents(spark)
     assert bpe.digests(docs, PATH).count() == docs.count()
