@@ -8,6 +8,8 @@ import functools
 import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path that Spark wrote or reads, for workers, and the path in it.
+
+    Workers open files through pyarrow, which knows s3a and s3n as s3; what it doesn't know raises ValueError.
+    """
+    scheme, found, rest = uri.partition("://")
+    try:
+        return fs.FileSystem.from_uri(f"s3://{rest}" if found and scheme in ("s3a", "s3n") else uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"workers can't open {uri}: name a folder of file, hdfs, s3, gs or abfs in spark.checkpoint.dir") from e
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over as many tasks as the session shuffles to, however few bytes they hold: each row is much work."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(n, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``work`` over Arrow batches; at its end the worker gives its free memory back, as it may idle for long."""
 
@@ -50,8 +70,6 @@ def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
         try:
             yield from work(batches)
         finally:
-            import pyarrow as pa
-
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):

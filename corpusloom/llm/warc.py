@@ -6,19 +6,22 @@ import gzip
 import hashlib
 import io
 import posixpath
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch, store, tidy
+from corpusloom.llm.common import dealt, filesystem, offer, scratch, store, tidy
 
+#: A header of our own, beside the standard ones.
+PAGE_ID = "X-Page-Id"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string"
 PIECE = f"{RECORD}, origin string, segment int, total long, block binary, error string"
 
 
@@ -58,13 +61,19 @@ def record(kind: str, rid: str, block: bytes, headers: dict[str, str]) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(page_id: int | None, serial: str, url: str | None, html: str | None, digest: str, refers_to: int | None, revisit: bool, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, a response, or a response and its continuation segments."""
+def page_records(page_id: int | None, serial: str, url: str | None, html: str | None, digest: str, revisit: bool, segment_bytes: int, date: str) -> Iterator[bytes]:
+    """The records of one page: a revisit, a response, or a response and its continuation segments.
+
+    Record ids are UUIDs of page, payload digest and place in the archives: unique, and the same when a task is retried.
+    A revisit is of the profile that names its response by the payload digest.
+    """
     payload = (html or "").encode()
-    rid = f"urn:page:{'' if page_id is None else page_id}:{serial}"
-    headers = {"WARC-Target-URI": quote(url or "", safe=":/?#[]@!$&'()*+,;=%-._~"), "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Bytes": str(len(payload))}
+    name = lambda part: f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}:{serial}:{part}')}"
+    rid = name(1)
+    headers = {"WARC-Date": date, "WARC-Target-URI": quote(url or "", safe=":/?#[]@!$&'()*+,;=%-._~"), "Content-Type": "application/http;msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}"}
+    headers |= {} if page_id is None else {PAGE_ID: str(page_id)}
     if revisit:
-        yield record("revisit", rid, b"", headers | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"})
+        yield record("revisit", rid, HTTP_HEAD, headers | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Date": date})
         return
     block = HTTP_HEAD + chunked(payload)
     if len(block) <= segment_bytes:
@@ -72,12 +81,12 @@ def page_records(page_id: int | None, serial: str, url: str | None, html: str |
         return
     pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     for n, piece in enumerate(pieces, 1):
-        own = {"WARC-Segment-Number": str(n)}
+        own = {"WARC-Segment-Number": str(n), "WARC-Date": date}
         if n == 1:
             yield record("response", rid, piece, headers | own)
         else:
             own |= {"WARC-Segment-Origin-ID": f"<{rid}>"} | ({"WARC-Segment-Total-Length": str(len(block))} if n == len(pieces) else {})
-            yield record("continuation", f"{rid}:{n}", piece, own)
+            yield record("continuation", name(n), piece, own)
 
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -98,9 +107,9 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _writer(root: str, segment_bytes: int, archive_bytes: int, level: int):
+def _writer(root: str, segment_bytes: int, archive_bytes: int, level: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store_, base = fs.FileSystem.from_uri(root)
+        store_, base = filesystem(root)
         store_.create_dir(base, recursive=True)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
@@ -115,11 +124,11 @@ def _writer(root: str, segment_bytes: int, archive_bytes: int, level: int):
             made.append((posixpath.join(root, posixpath.basename(final)), count, size))
 
         for batch in batches:
-            for page, url, html, digest, to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, html, digest, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     temp = posixpath.join(base, f".pages-{part}-{attempt}-{len(made)}")
                     out, size, count = store_.open_output_stream(temp, compression=None), 0, 0
-                data = b"".join(gzip.compress(r, level, mtime=0) for r in page_records(page, f"{part}-{serial}", url, html, digest, to, revisit, segment_bytes))
+                data = b"".join(gzip.compress(r, level, mtime=0) for r in page_records(page, f"{part}-{serial}", url, html, digest, revisit, segment_bytes, date))
                 out.write(data)
                 size, count, serial = size + len(data), count + 1, serial + 1
                 if size >= archive_bytes:
@@ -133,18 +142,19 @@ def _writer(root: str, segment_bytes: int, archive_bytes: int, level: int):
 
 
 def classify(pages: DataFrame, smallest: int = 100, salts: int = 16) -> DataFrame:
-    """Distinct (page_id, digest) of the pages whose payload another page with a smaller page_id holds, and that page.
+    """Distinct (page_id, digest) of the pages whose payload another page with a smaller page_id holds.
 
     Only digests cross the shuffle. They are counted before it, and the rows of a digest are dealt over ``salts``
-    tasks when they meet their smallest page_id.
+    tasks when they meet their smallest page_id. Null html is an empty payload; a null page_id is after all others,
+    and names no response; repeated rows of one page are no revisits of each other; an empty table gives none.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     slim = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(f"n >= {smallest}")
     slim = store(slim, "warc_digests")
-    same = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
-    same = same.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dealt = slim.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
-    return dealt.join(same, ["digest", "salt"]).where("page_id > refers_to or (page_id is null and refers_to is not null)").select("page_id", "digest", "refers_to").distinct()
+    same = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null")
+    same = same.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt_ = slim.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
+    return dealt_.join(same, ["digest", "salt"]).where("page_id > first or page_id is null").select("page_id", "digest").distinct()
 
 
 def write_archives(pages: DataFrame, root: str, segment_bytes: int = 32 << 10, archive_bytes: int = 128 << 20, level: int = 1) -> DataFrame:
@@ -152,22 +162,23 @@ def write_archives(pages: DataFrame, root: str, segment_bytes: int = 32 << 10, a
 
     Of pages with equal payloads of at least 100 bytes, that with the smallest page_id is a response and the others
     are revisits of it; smaller ones are all responses. Null html is an empty payload, a null url an empty target;
-    rows that repeat give repeated records. Blocks over ``segment_bytes`` are written as segments. Each task writes
-    under a name of its own attempt and renames, so a retried task replaces its file.
+    rows that repeat give repeated records. Blocks over ``segment_bytes`` are written as segments. All records bear the
+    date of this call. Each task writes under a name of its own attempt and renames, so a retried task replaces its file.
     """
     revisits = classify(pages)
     rows = pages.select("page_id", "url", "html", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256).alias("digest"))
     rows = rows.join(revisits.withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
-    rows = rows.select("page_id", "url", "html", "digest", "refers_to", F.col("_digest").isNotNull().alias("revisit"))
-    return rows.mapInArrow(tidy(_writer(root, segment_bytes, archive_bytes, level)), "path string, records long, bytes long")
+    rows = rows.select("page_id", "url", "html", "digest", F.col("_digest").isNotNull().alias("revisit"))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return rows.mapInArrow(tidy(_writer(root, segment_bytes, archive_bytes, level, date)), "path string, records long, bytes long")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of archives: whole ones as results, segments as pieces."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("error", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("error", pa.string())])
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            store_, at = fs.FileSystem.from_uri(path)
+            store_, at = filesystem(path)
             rows, held = [], 0
             with store_.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=io.BufferedReader(raw, 1 << 20)) as stream:
                 for headers, block in read_records(stream):
@@ -180,20 +191,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _page(urn: str) -> int | None:
-    text = urn.strip("<>").split(":")[2]
-    return int(text) if text else None
-
-
 def _row(headers: dict[str, str], block: bytes) -> dict:
-    kind, rid = headers["warc-type"], headers["warc-record-id"]
-    row = dict.fromkeys(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "origin", "segment", "total", "block", "error"))
+    kind, rid, page = headers["warc-type"], headers["warc-record-id"], headers.get(PAGE_ID.lower())
+    row = dict.fromkeys(("page_id", "payload_bytes", "payload_digest", "record_type", "origin", "segment", "total", "block", "error")) | {"page_id": int(page) if page else None}
     if kind == "revisit":
-        return row | {"page_id": _page(rid), "payload_bytes": int(headers["x-payload-bytes"]), "payload_digest": headers["warc-payload-digest"].partition(":")[2], "record_type": kind, "refers_to": _page(headers["warc-refers-to"])}
+        return row | {"payload_digest": headers["warc-payload-digest"].partition(":")[2], "record_type": kind}
     if "warc-segment-number" in headers:
         total = headers.get("warc-segment-total-length")
-        return row | {"page_id": _page(rid), "record_type": "response", "origin": headers.get("warc-segment-origin-id", rid), "segment": int(headers["warc-segment-number"]), "total": int(total) if total else None, "block": block}
-    return row | _result(block, headers.get("warc-payload-digest")) | {"page_id": _page(rid), "record_type": kind}
+        return row | {"record_type": "response", "payload_digest": headers.get("warc-payload-digest"), "origin": headers.get("warc-segment-origin-id", rid), "segment": int(headers["warc-segment-number"]), "total": int(total) if total else None, "block": block}
+    return row | _result(block, headers.get("warc-payload-digest")) | {"record_type": kind}
 
 
 def _result(block: bytes, digest: str | None = None) -> dict:
@@ -207,18 +213,18 @@ def _result(block: bytes, digest: str | None = None) -> dict:
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a record: its segments joined in order, their number and total length verified."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
+    """One row a record: its segments joined in order, their number and total length and its digest verified."""
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("error", pa.string())])
     for batch in batches:
         rows = []
-        for page, numbers, total, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            row = {"page_id": page, "payload_bytes": None, "payload_digest": None, "record_type": "response", "refers_to": None, "error": None}
+        for page, digest, numbers, total, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row = {"page_id": page, "payload_bytes": None, "payload_digest": None, "record_type": "response", "error": None}
             if numbers != list(range(1, len(numbers) + 1)):
                 row["error"] = "segments are missing or doubled"
             elif total != sum(map(len, blocks)):
                 row["error"] = "total length differs"
             else:
-                row |= _result(b"".join(blocks))
+                row |= _result(b"".join(blocks), digest)
             rows.append(row)
         yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -227,14 +233,23 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record of the archives (path): page_id, payload_bytes, payload_digest, record_type, refers_to, error.
 
     Continuation records are grouped by the identifier of their origin, put in order of their segment numbers and
-    checked against the total length; then chunked framing is undone. A record that fails a check keeps its row, with
-    null digest and the reason in ``error``.
+    checked against the total length; then chunked framing is undone. A revisit meets the response with its payload
+    digest, whose smallest page_id and whose length it gets. A record that fails a check keeps its row, with the reason
+    in ``error``; a broken response has a null digest. No archives, or empty ones, give no row.
     """
-    pieces = store(archives.select("path").repartition(F.col("path")).mapInArrow(tidy(_parse), PIECE), "warc_records")
-    whole = pieces.where("segment is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
-    grouped = pieces.where("segment is not null").groupBy("origin").agg(F.first("page_id").alias("page_id"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"))
-    grouped = grouped.select("page_id", F.col("s.segment").alias("numbers"), "total", F.col("s.block").alias("blocks"))
-    return whole.unionByName(grouped.mapInArrow(tidy(_reassemble), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"))
+    pieces = store(dealt(archives.select("path"), "path").mapInArrow(tidy(_parse), PIECE), "warc_records")
+    slim = ("page_id", "payload_bytes", "payload_digest", "record_type", "error")
+    whole = pieces.where("segment is null and record_type <> 'revisit'").select(*slim)
+    grouped = pieces.where("segment is not null").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("payload_digest").alias("digest"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"))
+    grouped = grouped.select("page_id", "digest", F.col("s.segment").alias("numbers"), "total", F.col("s.block").alias("blocks"))
+    responses = whole.unionByName(grouped.mapInArrow(tidy(_reassemble), f"{RECORD}, error string"))
+    responses = store(responses, "warc_responses")
+    held = responses.where("error is null and page_id is not null").groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("bytes"))
+    revisits = pieces.where("segment is null and record_type = 'revisit'").select("page_id", "payload_digest", "record_type")
+    revisits = revisits.join(offer(held, 1_000_000), F.col("payload_digest") == F.col("digest"), "left")
+    lost = F.when(F.col("refers_to").isNull(), F.lit("no response holds the payload"))
+    revisits = revisits.select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", lost.alias("error"))
+    return responses.select(*slim[:4], F.lit(None).cast("long").alias("refers_to"), "error").unionByName(revisits)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

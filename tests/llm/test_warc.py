@@ -13,6 +13,9 @@ ROWS = [
 ]
 
 
+DATE = "2026-01-02T03:04:05Z"
+
+
 def brute(rows):
     first = {}
     for p, _, h in rows:
@@ -50,7 +53,7 @@ def archive(tmp_path, records):
 
 
 def test_damage_is_told(spark, tmp_path):
-    records = list(warc.page_records(1, "0-0", "u", "body " * 100, hashlib.sha256(b"body " * 100).hexdigest(), None, False, 100))
+    records = list(warc.page_records(1, "0-0", "u", "body " * 100, hashlib.sha256(b"body " * 100).hexdigest(), False, 100, DATE))
     whole = [r for r in records]
     missing = whole[:1] + whole[2:]
     short = whole[:-1] + [whole[-1].replace(b"WARC-Segment-Total-Length: ", b"WARC-Segment-Total-Length: 9")]
@@ -60,6 +63,32 @@ def test_damage_is_told(spark, tmp_path):
         assert row.error == error and (row.payload_bytes == 500) == (error is None)
 
 
+def test_headers_and_revisits(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(2)
+    root = str(tmp_path / "w")
+    archives = warc.write_archives(pages, root, segment_bytes=5000).collect()
+    records = [r for a in archives for r in warc.read_records(gzip.open(a.path))]
+    ids = [h["warc-record-id"] for h, _ in records]
+    assert len(set(ids)) == len(ids)
+    for h, block in records:
+        assert h["warc-date"].endswith("Z") and int(h["content-length"]) == len(block) and (h["warc-type"] == "continuation" or h["content-type"] == "application/http;msgtype=response")
+    digests = {h["warc-payload-digest"] for h, _ in records if h["warc-type"] == "response"}
+    revisits = [h for h, _ in records if h["warc-type"] == "revisit"]
+    assert revisits and all(h["warc-payload-digest"] in digests and "warc-profile" in h for h in revisits)
+
+
+def test_a_revisit_without_its_response_is_told(spark, tmp_path):
+    given = list(warc.page_records(7, "0-0", "u", "lost " * 90, hashlib.sha256(b"lost " * 90).hexdigest(), True, 100, DATE))
+    row = warc.read_archives(spark.createDataFrame([(archive(tmp_path, given),)], "path string")).first()
+    assert (row.page_id, row.record_type, row.refers_to, row.error) == (7, "revisit", None, "no response holds the payload")
+
+
+def test_a_page_of_many_megabytes(spark, tmp_path):
+    html = "<p>" + "é0123456789 " * 1_500_000
+    pages = spark.createDataFrame([(1, "http://a/", html), (2, "http://b/", html)], "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=repr) == brute([(1, None, html), (2, None, html)])
+
+
 def test_chunks():
     assert warc.dechunk(warc.chunked(b"abc" * 5000, 7)) == b"abc" * 5000 and warc.dechunk(b"0\r\n\r\n") == b""
     assert warc.dechunk(b"3;name=x\r\nabc\r\n0\r\n\r\n") == b"abc"
