@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.shared import store
+from corpusloom.shared import held, settle
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,13 +18,14 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     Links with a null end, and of a node with itself, join nothing; repeated links count once.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    pairs, mark = _marked(pairs, "links_0")
+    since = held()
+    pairs, mark = _marked(pairs, "links_0", since)
     for i in range(1, rounds + 1):
         up = pairs.groupBy("hi").agg(F.min("lo").alias("up")).repartition("hi").withColumnRenamed("hi", "at")
         large = pairs.join(up, F.col("lo") == F.col("at"), "left").select("hi", F.coalesce("up", "lo").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m")).repartition("hi")
         small_ = large.join(least, "hi").selectExpr("case when lo = m then hi else lo end as hi", "m as lo").where("hi <> lo").distinct()
-        pairs, now = _marked(small_, f"links_{i}")
+        pairs, now = _marked(small_, f"links_{i}", since)
         if now == mark:
             break
         mark = now
@@ -34,7 +35,7 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(roots.select("root", "root").distinct())
 
 
-def _marked(pairs: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """``pairs`` written and read again, with their number and a sum of their hashes."""
-    pairs = store(pairs, name)
+def _marked(pairs: DataFrame, name: str, since: int) -> tuple[DataFrame, tuple]:
+    """``pairs`` written and read again in place of the round before, with their number and a sum of their hashes."""
+    pairs = settle(pairs, name, since)
     return pairs, tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())

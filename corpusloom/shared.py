@@ -14,9 +14,13 @@ _paths: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only where none is set and the
+    session runs in one process. On a cluster without one, raises ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -49,6 +53,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held() -> int:
+    """How many tables of the shared folder there are: what ``settle`` counts from."""
+    return len(_paths)
+
+
+def settle(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``store``, then remove the tables made after ``since``: those that only led to this one."""
+    out = store(df, name)
+    for path in _paths[since:-1]:
+        remove(df.sparkSession, path.rsplit("/", 1)[0])
+    del _paths[since:-1]
+    return out
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that many of them."""
     return df.limit(rows + 1).count() <= rows
