@@ -12,12 +12,11 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch, store, tidy
+from corpusloom.llm.common import dealt, filesystem, scratch, store, tidy
 
 #: One index record for each slot of a shard: where its tokens begin, how many there are, whose they are.
 INDEX = np.dtype([("begin", "<u8"), ("tokens", "<u8"), ("doc_id", "<i8"), ("has_id", "<u8")])
@@ -56,46 +55,52 @@ def permute(ordinals: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarr
     return out
 
 
-def _splits(docs: DataFrame) -> tuple[DataFrame, dict[str, int], int]:
-    """``docs`` with the input split of each row, the ordinal at which each split begins, and the number of rows.
+def _splits(docs: DataFrame, most: int = 4_000_000) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+    """``docs`` with the input split of each row, the splits and the ordinal at which each begins, and the number of rows.
 
     Rows keep their order within a split, so (split, position) numbers all rows without moving or sorting a text. A
-    table that isn't read straight from files is written to the shared folder first.
+    table that isn't read straight from files is written to the shared folder first. Splits are named by 64-bit hashes:
+    16 bytes a split reach the driver and the workers, and over ``most`` splits raise an error.
     """
-    name = F.concat_ws(":", F.input_file_name(), F.input_file_block_start().cast("string")).alias("split")
+    file, start = F.input_file_name(), F.input_file_block_start()
+    name = F.when(file != "", F.xxhash64(file, start)).alias("split")
     while True:
         rows = docs.select(name, "doc_id", "text")
-        counts = {r.split: r.n for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
-        if not any(s.startswith(":") for s in counts):
+        counts = docs.select(name, file.alias("file"), start.alias("start")).groupBy("split", "file", "start").agg(F.count("*").alias("n"))
+        counts = counts.orderBy("file", "start").select("split", "n").limit(most + 1).toPandas()
+        if not counts["split"].isna().any():
             break
         docs = store(docs.select("doc_id", "text"), "order_docs")
-    base, total = {}, 0
-    for split in sorted(counts):
-        base[split] = total
-        total += counts[split]
-    return rows, base, total
+    if len(counts) > most:
+        raise ValueError(f"over {most} input splits: raise spark.sql.files.maxPartitionBytes")
+    n, splits = counts["n"].to_numpy(np.int64), counts["split"].to_numpy(np.int64)
+    order = np.argsort(splits)
+    return rows, splits[order], (np.cumsum(n) - n)[order], int(n.sum())
 
 
 def sequences(docs: DataFrame, vocabulary: str, key: int) -> tuple[DataFrame, int]:
     """(slot, doc_id, n_tokens, tokens): every document tokenised, with its global slot; and how many there are."""
-    rows, base, total = _splits(docs)
+    rows, splits, begins, total = _splits(docs)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((Path(vocabulary).read_bytes(), base))
+    shared = sc.broadcast((Path(vocabulary).read_bytes(), splits, begins))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, starts = shared.value
+        ranks, names, starts = shared.value
         bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
         width = np.uint16 if bpe.n_vocab <= 1 << 16 else np.uint32
         pack = zstandard.ZstdCompressor(level=1)
-        at: dict[str, int] = {}
+        at: dict[int, int] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 200):
                 split, ids, texts = batch.slice(begin, 200).to_pydict().values()
                 ordinals = []
                 for s in split:
-                    if s not in starts:
-                        raise RuntimeError(f"the input was split differently between two scans: {s}")
-                    at[s] = at.get(s, starts[s] - 1) + 1
+                    if s not in at:
+                        i = int(np.searchsorted(names, s))
+                        if i == len(names) or names[i] != s:
+                            raise RuntimeError(f"the input was split differently between two scans: {s}")
+                        at[s] = int(starts[i]) - 1
+                    at[s] += 1
                     ordinals.append(at[s])
                 slots = permute(np.array(ordinals, np.uint64), total, key)
                 tokens = [np.array(bpe.encode_ordinary(t or ""), width) for t in texts]
@@ -105,7 +110,7 @@ def sequences(docs: DataFrame, vocabulary: str, key: int) -> tuple[DataFrame, in
     return rows.mapInArrow(tidy(tokenise), "slot long, doc_id long, n_tokens long, tokens binary"), total
 
 
-def write(docs: DataFrame, root: str, vocabulary: str, key: int = 20_260_101, stride: int = 4096, shards_a_task: int = 1) -> DataFrame:
+def write(docs: DataFrame, root: str, vocabulary: str, key: int = 20_260_101, stride: int = 4096, waves: int = 16) -> DataFrame:
     """Materialise ``docs`` in training order under ``root``; returns the shards (shard, path, sequences, tokens, width).
 
     Shard k holds the slots from k * stride to (k + 1) * stride, its tokens one after another in ``shard-k.bin``
@@ -113,15 +118,18 @@ def write(docs: DataFrame, root: str, vocabulary: str, key: int = 20_260_101, st
     ``shard-k.idx``: a reader finds any slot by arithmetic and resumes there. Tokens cross one shuffle, compressed,
     dealt by ranges of slots; a task streams its shards and never holds one in memory. Files get their names by
     renaming, so a retried task replaces its own. Null and empty texts are sequences of no tokens; repeated rows are
-    sequences of their own; an empty table gives no shard.
+    sequences of their own; an empty table gives no shard. Shards are dealt to at most ``waves`` times as many tasks as
+    the session shuffles to, neighbours to one task.
     """
     width = 2 if sum(1 for _ in Path(vocabulary).open("rb")) <= 1 << 16 else 4
     rows, total = sequences(docs, vocabulary, key)
-    partitions = max(1, -(-total // (stride * shards_a_task)))
-    rows = rows.withColumn("part", F.expr(f"cast(slot div {stride * shards_a_task} as int)"))
+    shards = -(-total // stride)
+    a_task = max(1, -(-shards // (waves * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    partitions = max(1, -(-shards // a_task))
+    rows = rows.withColumn("part", F.expr(f"cast(slot div {stride * a_task} as int)"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, base = fs.FileSystem.from_uri(root)
+        disk, base = filesystem(root)
         disk.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         unpack = zstandard.ZstdDecompressor()
@@ -162,7 +170,7 @@ def write(docs: DataFrame, root: str, vocabulary: str, key: int = 20_260_101, st
 
 def read_shard(path: str, width: int, first: int = 0) -> Iterator[tuple[int, int | None, np.ndarray]]:
     """(position, doc_id, tokens) of a shard in order, from position ``first`` on: one seek, then sequential reads."""
-    disk, at = fs.FileSystem.from_uri(path)
+    disk, at = filesystem(path)
     with disk.open_input_file(f"{at}.idx") as f:
         index = np.frombuffer(f.read(), INDEX)
     if first >= len(index):
@@ -186,7 +194,7 @@ def read_back(shards: DataFrame, stride: int = 4096) -> DataFrame:
                     rows.append((doc, shard * stride + i, shard, len(tokens), hashlib.sha256(b" ".join(b"%d" % t for t in tokens.tolist())).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return shards.select("shard", "path", "width").repartition(F.col("shard")).mapInArrow(tidy(get), "doc_id long, slot long, shard long, n_tokens long, tokens_sha256 string")
+    return dealt(shards.select("shard", "path", "width"), "shard").mapInArrow(tidy(get), "doc_id long, slot long, shard long, n_tokens long, tokens_sha256 string")
 
 
 def materialise(docs: DataFrame, vocabulary: str, key: int = 20_260_101, stride: int = 4096) -> DataFrame:
