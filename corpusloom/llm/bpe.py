@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm.common import store, tidy, words
+from corpusloom.llm.common import held, settle, store, tidy, words
 
 
 def load(path: str) -> str:
@@ -99,8 +99,9 @@ def word_table(docs: DataFrame, tokenizer: str, most: int = 131_072, longest: in
     The bounds on words and bytes bound what is brought to the driver and broadcast, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    since = held()
     counts = store(word_counts(docs).where((F.octet_length("word") <= longest) & (F.col("n") > 1)), "bpe_counts")
-    rows = _encode_words(frequent(counts, most).select("word"), shared)
+    rows = settle(_encode_words(frequent(counts, most).select("word"), shared), "bpe_table", since)
     return {bytes(r.word): np.array(r.ids, np.int32).tobytes() for r in rows.collect()}
 
 

@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.shared import offer, remove, scratch, small, store  # noqa: F401
+from corpusloom.shared import held, offer, remove, scratch, settle, small, store  # noqa: F401
 
 #: The white space between words: space and the ASCII controls from tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"

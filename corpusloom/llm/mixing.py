@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import n_words, small, store
+from corpusloom.llm.common import held, n_words, settle, small, store
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -83,15 +83,16 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFr
 
     Rows that share doc_id, source and size stand in for each other: as many of them are taken as often as ``mix``
     says. Only where the budget ends among such rows are they ranked, by their texts; all other rows meet their count
-    in one equi-join. Null ids and sources meet null ones.
+    in one equi-join, which shuffles at any size, as the counts are as many as the documents. Null ids and sources meet null ones.
     """
+    since = held()
     plan = mix(docs, labels, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
     plan = plan.agg(F.min("copies").alias("__least"), F.max("copies").alias("__most"), F.sum("copies").alias("__all"), F.count("*").alias("__rows")).where("__most > 0")
-    plan = store(plan, "mix_copies")
+    plan = settle(plan, "mix_copies", since)
     size = n_words(F.col("text"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
     sized = docs.withColumn("__n", size)
-    even = sized.join(plan.where("__least = __most"), on).withColumn("__copies", F.col("__most"))
+    even = sized.join(plan.where("__least = __most").hint("merge"), on).withColumn("__copies", F.col("__most"))
     split = plan.where("__least <> __most")
     split = sized.join(F.broadcast(split) if small(split, 100_000) else split, on)
     rank = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))

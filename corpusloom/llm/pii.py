@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let, small, store
+from corpusloom.llm.common import held, let, settle, small, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Linear-time forms of the four patterns: possessive runs, and no start inside a run that has been tried. Runs of
@@ -144,12 +144,13 @@ def disclosing(docs: DataFrame, near: DataFrame, alpha: float = 0.8, support: in
 
 def term_spans(docs: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
     """doc_id, h, extra: the disclosing terms in the texts that hold the entity they disclose, as spans of kind term."""
-    near = store(counted(store(mentions(docs), "pii_mentions")), "pii_counted")
+    since = held()
+    near = settle(counted(store(mentions(docs), "pii_mentions")), "pii_counted", since)
     reveals = store(disclosing(docs, near, alpha, support), "pii_reveals")
     each = near.select("doc_id", "h", "es", F.explode("terms").alias("t")).select("doc_id", "h", "t.*", F.explode("es.entity").alias("entity"))
     hit = each.withColumnRenamed("t", "term").join(F.broadcast(reveals) if small(reveals, 50_000) else reveals, ["entity", "term"], "left_semi")
     span = F.struct("start", F.lit(4).alias("k"), "end", F.col("term").alias("s"))
-    return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("extra"))
+    return settle(hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("extra")), "pii_extra", since)
 
 
 def _joined(docs: DataFrame, extra: DataFrame, cols: list[str]) -> DataFrame:
