@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import offer, small, store, tidy
+from corpusloom.llm.common import held, offer, settle, small, store, tidy
 from corpusloom.operators.components import connected
 
 GRAM, PERCENT = 5, 80
@@ -70,7 +70,7 @@ def describe_sets(docs: DataFrame, seed: int, sketch_bits: int) -> DataFrame:
         def flush() -> None:
             nonlocal held, size
             if held:
-                counts[:] += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, (np.concatenate(held) & mask).astype(np.int64), np.uint32(1))
             held, size = [], 0
 
         for batch in batches:
@@ -95,12 +95,19 @@ def describe_sets(docs: DataFrame, seed: int, sketch_bits: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(work), "doc_id long, n long, sid long, twin long, block int, counts binary")
 
 
-def sketch(described: DataFrame, sketch_bits: int) -> np.ndarray:
-    """Counts of all tokens of all documents, in ``2**sketch_bits`` hashed counters: a bound, whatever the corpus."""
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts of any size as one byte each, in steps of an eighth of a doubling: the order of counts, in bounded space."""
+    return np.minimum(255, np.floor(8 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
+
+
+def sketch(described: DataFrame, sketch_bits: int) -> tuple[np.ndarray, int]:
+    """The levels of the counts of all tokens of all documents, in ``2**sketch_bits`` hashed counters, and the level
+    over which a token is frequent: twice the mean counter, so it grows with the corpus and only tokens that stand out
+    from a full table are frequent."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, now, total = zstandard.ZstdDecompressor(), None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], ["block", "counts"])
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([levels(total).tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["block", "levels", "total"])
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if block != now:
@@ -112,10 +119,17 @@ def sketch(described: DataFrame, sketch_bits: int) -> np.ndarray:
             yield out()
 
     blocks = described.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    counts = np.zeros(1 << sketch_bits, np.uint16)
-    for r in blocks.mapInArrow(tidy(add), "block int, counts binary").collect():
-        counts[r.block * BLOCK : r.block * BLOCK + min(BLOCK, len(counts))] = np.frombuffer(r.counts, np.uint16)
-    return counts
+    table, every = np.zeros(1 << sketch_bits, np.uint8), 0
+    for r in blocks.mapInArrow(tidy(add), "block int, levels binary, total long").collect():
+        table[r.block * BLOCK : r.block * BLOCK + min(BLOCK, len(table))] = np.frombuffer(r.levels, np.uint8)
+        every += r.total
+    return table, int(levels(np.array([2 * every / len(table) + 64]))[0])
+
+
+def bits_for(docs: DataFrame, least: int = 22, most: int = 24) -> int:
+    """Counters for a corpus of the planner's size, one for each 256 bytes: from 4 million, at most 16 million."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(most, (size // 256).bit_length()))
 
 
 def keys_of(tokens: np.ndarray, counts: np.ndarray, frequent: int, most_combined: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -145,7 +159,8 @@ def keys_of(tokens: np.ndarray, counts: np.ndarray, frequent: int, most_combined
 
 
 def index(docs: DataFrame, counts: np.ndarray, seed: int, frequent: int, most_combined: int) -> DataFrame:
-    """(key, kind, narrow, n, sid) of every document under each of its keys; a task skips sets it has just indexed."""
+    """(key, kind, narrow, pure, n, sid) of every document under each of its keys; a task skips sets it has just indexed.
+    A set is pure if no token of its prefix is frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +172,7 @@ def index(docs: DataFrame, counts: np.ndarray, seed: int, frequent: int, most_co
 
             def out(rows=rows) -> pa.RecordBatch:
                 lens = [len(r[0]) for r in rows]
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.repeat([not r[2] for r in rows], lens)), pa.array(np.repeat(np.array([r[3] for r in rows], np.int32), lens)), pa.array(np.repeat(np.array([r[4] for r in rows], np.int64), lens))], ["key", "kind", "narrow", "n", "sid"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.repeat([not r[2] for r in rows], lens)), pa.array(np.repeat([not r[1].any() for r in rows], lens)), pa.array(np.repeat(np.array([r[3] for r in rows], np.int32), lens)), pa.array(np.repeat(np.array([r[4] for r in rows], np.int64), lens))], ["key", "kind", "narrow", "pure", "n", "sid"])
 
             for text in _texts(batch.column(0)):
                 tokens = shingles(text, hashes)
@@ -177,36 +192,40 @@ def index(docs: DataFrame, counts: np.ndarray, seed: int, frequent: int, most_co
             if rows:
                 yield out()
 
-    return docs.select("text").mapInArrow(tidy(work), "key long, kind byte, narrow boolean, n int, sid long")
+    return docs.select("text").mapInArrow(tidy(work), "key long, kind byte, narrow boolean, pure boolean, n int, sid long")
 
 
 def lists(entries: DataFrame, longest: int) -> DataFrame:
     """Candidates of keys that two or more sets share: pairs (a, b) of short lists, members (a, list) of long ones.
 
+    With a pair come ``met``, the keys at which it has met, and ``need``, how many it takes: two linked sets share two
+    tokens of their prefixes, so where one of them is pure they meet at two keys, or once in a list that is long.
     Entries arrive sorted, wide sets first, then by size, and are read as a stream: a list of any length takes the
     memory of ``longest`` entries. Under single frequent tokens only pairs with a wide set count, as combinations find
     the others. Pairs whose sizes rule out a link are left out.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, t) for t in (np.int64, np.int8, bool, np.int64, np.int64)]
+        held = [np.empty(0, t) for t in (np.int64, np.int8, bool, bool, np.int64, np.int64)]
         long_key = None  # a list over the limit whose members are being passed on
 
-        def out(a: list, b: list, members: list, keys: list) -> pa.RecordBatch:
-            a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
+        def out(a: list, b: list, need: list, members: list, keys: list) -> pa.RecordBatch:
+            whole = lambda parts: np.concatenate([*parts, np.empty(0, np.int64)])
+            a, b, need, m, k = map(whole, (a, b, need, members, keys))
+            met = need
             if len(a):
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                a, b = both[:, 0], both[:, 1]
-            m, k = np.concatenate([*members, np.empty(0, np.int64)]), np.concatenate([*keys, np.empty(0, np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, m])), pa.concat_arrays([pa.array(b), pa.nulls(len(m), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(k)])], ["a", "b", "list"])
+                both, met = np.unique(np.stack([a, b, need], 1), axis=0, return_counts=True)  # a < b
+                a, b, need = both[:, 0], both[:, 1], both[:, 2]
+            none = lambda kind: pa.nulls(len(m), kind)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, m])), pa.concat_arrays([pa.array(b), none(pa.int64())]), pa.concat_arrays([pa.array(met.astype(np.int32)), none(pa.int32())]), pa.concat_arrays([pa.array(need.astype(np.int32)), none(pa.int32())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(k)])], ["a", "b", "met", "need", "list"])
 
         def process(cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], pa.RecordBatch]:
             nonlocal long_key
-            key, kind, narrow, n, sid = cols
+            key, kind, narrow, pure, n, sid = cols
             fresh = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])] if len(key) else np.empty(0, bool)
             starts = np.flatnonzero(fresh)
             ends = np.r_[starts[1:], len(key)]
-            a, b, members, keys = [], [], [], []
+            a, b, need, members, keys = [], [], [], [], []
             keep = len(key)
             some = ((ends - starts) > 1) | (ends == len(key))  # a single entry counts where its list goes on, or may go on
             if len(key):
@@ -227,14 +246,15 @@ def lists(entries: DataFrame, longest: int) -> DataFrame:
                 u, first = np.unique(sid[s:e], return_index=True)
                 if len(u) < 2:
                     continue
-                size, wide = n[s:e][first], ~narrow[s:e][first]
+                size, wide, alone = n[s:e][first], ~narrow[s:e][first], pure[s:e][first]
                 i, j = np.triu_indices(len(u), 1)
                 ok = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
                 if kind[s] == 2:
                     ok &= wide[i] | wide[j]
                 a.append(u[i[ok]])
                 b.append(u[j[ok]])
-            return [c[keep:] for c in cols], out(a, b, members, keys)
+                need.append(1 + (alone[i[ok]] | alone[j[ok]]))
+            return [c[keep:] for c in cols], out(a, b, need, members, keys)
 
         for batch in batches:
             cols = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(h.dtype)]) for i, h in enumerate(held)]
@@ -243,7 +263,7 @@ def lists(entries: DataFrame, longest: int) -> DataFrame:
         yield process(held, True)[1]
 
     ordered = entries.repartition("key").sortWithinPartitions("key", "kind", "narrow", "n", "sid")
-    return ordered.select("key", "kind", "narrow", "n", "sid").mapInArrow(tidy(work), "a long, b long, list long")
+    return ordered.select("key", "kind", "narrow", "pure", "n", "sid").mapInArrow(tidy(work), "a long, b long, met int, need int, list long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -364,11 +384,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame, seed: int, filter_bits: int = 1 <
     return found.join(offer(named_by, 1_000_000), on, "left_semi").select("sid", "n", "tokens")
 
 
-def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int, longest: int, most_combined: int, chunk_sets: int, chunk_tokens: int) -> DataFrame:
+def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, frequent: int, seed: int, longest: int, most_combined: int, chunk_sets: int, chunk_tokens: int) -> DataFrame:
     """Links (a, b) between set names that connect exactly what all links connect."""
-    frequent = int(min(60_000, 2 * counts.mean() + 64))
+    since = held()
     found = store(lists(index(docs, counts, seed, frequent, most_combined), longest), "jaccard_lists")
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
     members = found.where("b is null").select(F.col("a").alias("sid"), "list").distinct()
     pairs = store(pairs, "jaccard_pairs")
     first = members.groupBy("list").agg(F.min("sid").alias("first"))
@@ -384,7 +404,7 @@ def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int,
     blocked = lambda rows: rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_blocks), "a long, b long")
     if small(large, 0):  # no cluster needs more
         whole = sets.join(offer(wanted.select("sid", F.col("cluster").alias("block")), 1_000_000), "sid")
-        return store(blocked(whole.select("block", F.lit(0).alias("side"), "sid", "tokens")), "jaccard_links")
+        return settle(blocked(whole.select("block", F.lit(0).alias("side"), "sid", "tokens")), "jaccard_links", since)
     large = offer(large)
     hot_ids = members.select("sid").distinct().withColumn("hot", F.lit(True))
     placed = clusters.join(large.withColumn("large", F.lit(True)), "cluster", "left").join(hot_ids, "sid", "left")
@@ -418,26 +438,27 @@ def links(docs: DataFrame, described: DataFrame, counts: np.ndarray, seed: int,
         return sets.join(named, "sid", "left_semi").select(F.col("sid").alias(s), F.col("tokens").alias(f"{s}_tokens"))
 
     single = rest.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(tidy(_verify), "a long, b long")
-    return store(blocks.union(single), "jaccard_links")
+    return settle(blocks.union(single), "jaccard_links", since)
 
 
-def group(docs: DataFrame, sketch_bits: int = 22, longest: int = 32, most_combined: int = 24, chunk_sets: int = 1024, chunk_tokens: int = 1 << 20, seed: int = 7) -> DataFrame:
+def group(docs: DataFrame, sketch_bits: int | None = None, longest: int = 32, most_combined: int = 24, chunk_sets: int = 1024, chunk_tokens: int = 1 << 20, seed: int = 7) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id for every document.
 
     A document's set is its distinct five-word shingles (A-Z lower-cased); with fewer words the whole sequence is its
     one shingle; null and empty texts have none and are alone. Documents link when 100 |x and y| >= 80 |x or y|;
     component_id is the smallest doc_id that links reach. Equal sets are one set from the start, so copies are never
-    paired. ``sketch_bits`` bounds the table of counts that orders tokens: any order gives the same links, a better one
-    fewer candidates. Lists of up to ``longest`` sets give pairs; longer ones are compared in chunks of ``chunk_sets``
+    paired. ``sketch_bits`` bounds the table of counts that orders tokens, by default as large as ``bits_for`` says: any
+    order gives the same links, a better one fewer candidates. Lists of up to ``longest`` sets give pairs; longer ones are compared in chunks of ``chunk_sets``
     sets. Rows with a null doc_id take part, but name no component unless alone, where component_id is null.
     """
+    sketch_bits = sketch_bits or bits_for(docs)
     while True:
         described = store(describe_sets(docs, seed, sketch_bits), "jaccard_described")
         sets = described.where("block is null")
         if not sets.groupBy("sid").agg(F.min("twin").alias("x"), F.max("twin").alias("y")).where("x <> y").limit(1).count():
             break
         seed += 2  # two sets share a name: name them anew
-    found = links(docs, described, sketch(described, sketch_bits), seed, longest, most_combined, chunk_sets, chunk_tokens)
+    found = links(docs, described, *sketch(described, sketch_bits), seed, longest, most_combined, chunk_sets, chunk_tokens)
     roots = connected(found)
     smallest = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = smallest.join(roots, smallest.sid == roots.node, "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
@@ -454,6 +475,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Documents without words aren't duplicates of each other and stay; so do rows without doc_id. Of rows that repeat
     one doc_id with linked texts, all stay that carry the kept id.
     """
+    since = held()
     found = group(docs, **options).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    found = store(found, "jaccard_gone")
+    found = settle(found, "jaccard_gone", since)
     return docs.join(F.broadcast(found) if small(found, 1_000_000) else found, docs["doc_id"] == found["__gone"], "left_anti")

@@ -90,6 +90,19 @@ def test_prefixes_meet():
         (ka, na, wa), (kb, nb, wb) = (jaccard.keys_of(s, counts, 20, 6) for s in (base, other))
         met = {(k, n) for k, n in zip(ka.tolist(), na.tolist())} & {(k, n) for k, n in zip(kb.tolist(), nb.tolist())}
         assert any(n < 2 or wa or wb for _, n in met)
+        assert (na.any() and nb.any()) or len(met) > 1 or min(len(base), len(other)) == 1
+
+
+def test_a_full_sketch_still_tells_rare_tokens():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(900_000, 1_100_000, 1 << 10).astype(np.uint64)
+    counts[:40] = 50_000_000
+    table, frequent = jaccard.levels(counts), int(jaccard.levels(np.array([2 * counts.mean() + 64]))[0])
+    tokens = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    keys, kinds, wide = jaccard.keys_of(tokens, table, frequent, 24)
+    assert not wide and (kinds == 0).sum() > 50
+    hot = np.unique((rng.integers(0, 2**50, 30).astype(np.uint64) << np.uint64(10)) | np.arange(30, dtype=np.uint64))
+    assert (jaccard.keys_of(hot, table, frequent, 24)[1] > 0).all()
 
 
 def test_components(spark):
@@ -112,8 +125,8 @@ def test_components(spark):
 
 
 def test_long_lists_cut_at_every_position(spark):
-    rows = [(key, kind, False, 50, 100 * key + i) for key, kind, size in ((1, 0, 2), (2, 1, 11), (3, 0, 1), (4, 2, 9), (5, 1, 2), (6, 0, 1)) for i in range(size)]
-    entries = spark.createDataFrame(rows, "key long, kind byte, narrow boolean, n int, sid long")
+    rows = [(key, kind, False, False, 50, 100 * key + i) for key, kind, size in ((1, 0, 2), (2, 1, 11), (3, 0, 1), (4, 2, 9), (5, 1, 2), (6, 0, 1)) for i in range(size)]
+    entries = spark.createDataFrame(rows, "key long, kind byte, narrow boolean, pure boolean, n int, sid long")
     batch, parts = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.shuffle.partitions")
     before = spark.conf.get(batch)
     try:
@@ -123,7 +136,7 @@ def test_long_lists_cut_at_every_position(spark):
             found = jaccard.lists(entries, 4).collect()
             assert {(r.a, r.b) for r in found if r.list is None} == {(100, 101), (500, 501)}, records
             members = {(r.list, r.a) for r in found if r.list is not None}
-            assert members == {(key ^ kind, sid) for key, kind, _, _, sid in rows if key in (2, 4)}, records
+            assert members == {(key ^ kind, sid) for key, kind, _, _, _, sid in rows if key in (2, 4)}, records
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set(batch, before)
