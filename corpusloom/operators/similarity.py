@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.functions.vector import dot, normalise
+from corpusloom.functions.vector import normalise
 from corpusloom.model import CLUSTER_STOP
 from corpusloom.operators.components import connected
 from corpusloom.shared import store
 
 
-def cosine_pairs(vectors: DataFrame, least: float, within: str | None = None, blocks: int = 8) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, least: float, within: str | None = None, rows_a_block: int = 2048) -> DataFrame:
     """vectors (id, vector[, group]) -> (a, b, cosine) of all pairs a < b at or above ``least``; exact, at any size.
 
-    Vectors are normalised once and dealt into ``blocks`` by hash of id; every pair of blocks is one equi-join key, so a
-    vector is copied ``blocks`` times and no task holds more than two blocks. With ``within``, only pairs of one group
-    are compared, and the group is part of the key. Zero vectors are like nothing.
+    Vectors are normalised once and dealt by hash of id into as many blocks as hold about ``rows_a_block`` each; every
+    pair of blocks is a cell, which one task multiplies as matrices, in strips, so a task holds two blocks and a strip of
+    products whatever the table. With ``within``, only pairs of one group are compared, and the group is part of the
+    cell, as is the length of the vectors. Null ids and vectors pair with nothing, nor do equal ids.
     """
-    v = vectors.select("id", *([F.col(within).alias("g")] if within else [F.lit(0).alias("g")]), normalise(F.transform("vector", lambda x: x.cast("double"))).alias("v"))
+    spark = vectors.sparkSession
+    group = F.col(within).cast("string") if within else F.lit(None).cast("string")
+    unit = normalise(F.transform("vector", lambda x: x.cast("double")))
+    v = vectors.where("id is not null and vector is not null").select("id", F.concat_ws(":", F.size("vector"), group).alias("g"), unit.alias("v"))
+    v = v.where(~F.exists("v", lambda x: x.isNull()) & (F.size("v") > 0))
+    blocks = max(1, math.ceil(v.count() / rows_a_block))
     v = v.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # block i meets block j <= i; a vector goes to the cells of its row and of its column
-    cell = lambda i, j: F.struct(F.greatest(i, j).alias("i"), F.least(i, j).alias("j"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: cell(F.col("k"), o))
-    left = v.select("id", "g", "v", "k", F.explode(cells).alias("c"))
-    a, b = left.alias("a"), left.alias("b")
-    same = (F.col("a.g") == F.col("b.g")) & (F.col("a.c") == F.col("b.c")) & (F.col("a.id") < F.col("b.id"))
-    # a pair of two blocks meets in one cell only; a pair within a block in that block's own cell
-    own = (F.col("a.k") != F.col("b.k")) | (F.col("a.c.i") == F.col("a.c.j"))
-    met = a.join(b, same & own).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dot(F.col("a.v"), F.col("b.v")).alias("cosine"))
-    return met.where(F.col("cosine") >= least)
+    cell = lambda o: F.struct(F.greatest("k", o).alias("i"), F.least("k", o).alias("j"))
+    dealt = v.select("g", "k", "id", "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), cell)).alias("c")).select("g", "c.i", "c.j", "k", "id", "v")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 10_000))
+    dealt = dealt.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j", "k")
+    kind = vectors.schema["id"].dataType
+    return dealt.mapInArrow(_products(least, to_arrow_type(kind)), f"a {kind.simpleString()}, b {kind.simpleString()}, cosine double")
+
+
+def _products(least: float, kind: pa.DataType, strip: int = 512):
+    """Rows (g, i, j, k, id, v) sorted by cell -> the pairs of each cell at or above ``least``."""
+
+    def out(ids: list[np.ndarray], vs: list[np.ndarray], ks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        id_, v, k = np.concatenate(ids), np.concatenate(vs), np.concatenate(ks)
+        first = k == k[0]
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        for s in range(0, len(left), strip):
+            rows = left[s : s + strip]
+            for cols in [right] if len(right) else [left[s:]]:
+                x, y = np.nonzero((product := v[rows] @ v[cols].T) >= least)
+                cos, a, b = product[x, y], rows[x], cols[y]
+                once = np.ones(len(a), bool) if len(right) else b > a
+                a, b, cos = id_[a[once]], id_[b[once]], cos[once]
+                low, high = np.where(a < b, a, b), np.where(a < b, b, a)
+                differ = low != high
+                yield pa.RecordBatch.from_arrays([pa.array(low[differ], kind), pa.array(high[differ], kind), pa.array(cos[differ])], ["a", "b", "cosine"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vs, ks = None, [], [], []
+        for batch in batches:
+            g, i, j = (batch.column(n).to_pylist() for n in range(3))
+            cells = list(zip(g, i, j, strict=True))
+            starts = [n for n in range(len(cells)) if n == 0 or cells[n] != cells[n - 1]] + [len(cells)]
+            for s, e in zip(starts, starts[1:]):
+                if cells[s] != now:
+                    if own_cell(now, ks):
+                        yield from out(ids, vs, ks)
+                    now, ids, vs, ks = cells[s], [], [], []
+                part = batch.slice(s, e - s)
+                flat = part.column(5).flatten().to_numpy(zero_copy_only=False)
+                ids.append(part.column(4).to_numpy(zero_copy_only=False))
+                vs.append(flat.reshape(e - s, -1))
+                ks.append(part.column(3).to_numpy(zero_copy_only=False))
+        if own_cell(now, ks):
+            yield from out(ids, vs, ks)
+
+    def own_cell(now: tuple | None, ks: list[np.ndarray]) -> bool:
+        """A cell off the diagonal needs both its blocks."""
+        return now is not None and (now[1] == now[2] or ks[0][0] != ks[-1][-1])
+
+    return work
 
 
 def band(cos: Column, similar: float = 0.85, related: float = 0.70) -> Column:
