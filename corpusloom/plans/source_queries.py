@@ -13,9 +13,9 @@ from corpusloom.plans.tables import EDGES, NODES, edges, nodes, table
 from corpusloom.sources import corpus
 
 
-@query("SELECT source || '/doc_' || doc_id || '.' || lang AS path, sha256(text) AS content_hash, strlen(text)::BIGINT AS bytes FROM documents WHERE lang IN ('en', 'de')")
+@query("SELECT source || '/doc_' || doc_id || '.' || lang AS path, sha256(text) AS content_hash, strlen(text)::BIGINT AS bytes FROM documents")
 def corpus_scan(spark, d):
-    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "de"))
+    docs = table(spark, d, "documents")
     return docs.select(F.concat("source", F.lit("/doc_"), "doc_id", F.lit("."), "lang").alias("path"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("bytes"))
 
 

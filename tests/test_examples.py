@@ -174,23 +174,23 @@ def test_lru(spark):
     assert [tuple(r) for r in caches.lru(a, "k", "t", 2).orderBy("k").collect()] == [("x", 3), ("y", 2)]
 
 
-def test_strip_pages_whole_has_every_page(spark, tmp_path):
+def test_strip_pages_has_every_page(spark, tmp_path):
     rows = [(1, "<p>plain</p>"), (2, "<b>a &lt;b&gt; &amp;quot; &quot;c&#39;s&#x27;</b>&nbsp;"), (3, None)]
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    found = {r.page_id: r.text_md5 for r in catalog.QUERIES["strip_pages_whole"](spark, str(tmp_path)).collect()}
+    found = {r.page_id: r.text_md5 for r in catalog.QUERIES["strip_pages"](spark, str(tmp_path)).collect()}
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     assert found == {1: md5("plain"), 2: md5("a <b> &quot; \"c's'"), 3: None}
     real = "/root/testdata/sf0.01"
-    assert catalog.QUERIES["strip_pages_whole"](spark, real).count() == spark.read.parquet(f"{real}/pages.parquet").count()
+    assert catalog.QUERIES["strip_pages"](spark, real).count() == spark.read.parquet(f"{real}/pages.parquet").count()
 
 
-def test_mask_secrets_whole_has_every_document(spark, tmp_path):
+def test_mask_secrets_has_every_document(spark, tmp_path):
     texts = {1: 'TOKEN = "9233A8ECAB"', 2: "Bearer abcdefgh12", 3: "PASSWORD: abcdefgh", 4: "sk-abcdefgh", 5: "plain", 6: ""}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r.doc_id: r.masked_md5 for r in catalog.QUERIES["mask_secrets_whole"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.masked_md5 for r in catalog.QUERIES["mask_secrets"](spark, str(tmp_path)).collect()}
     assert found == {i: hashlib.md5((t if i > 4 else "[masked]").encode()).hexdigest() for i, t in texts.items()}
     real = "/root/testdata/sf0.01"
-    assert catalog.QUERIES["mask_secrets_whole"](spark, real).count() == spark.read.parquet(f"{real}/documents.parquet").count()
+    assert catalog.QUERIES["mask_secrets"](spark, real).count() == spark.read.parquet(f"{real}/documents.parquet").count()
 
 
 def test_batches_go_on_from_one_arrow_batch_to_the_next(spark):
@@ -221,9 +221,9 @@ def test_pair_batches_takes_every_pair(spark):
     assert found.select("path").distinct().count() > 1 and found.agg(F.max("batch")).first()[0] > 0
 
 
-def test_token_estimate_by_model_whole_has_every_text(spark):
+def test_token_estimate_by_model_has_every_text(spark):
     real = "/root/testdata/sf0.01"
     items = {r.item_id for r in spark.read.parquet(f"{real}/benchmark.parquet").select("item_id").collect()}
-    found = catalog.QUERIES["token_estimate_by_model_whole"](spark, real).collect()
+    found = catalog.QUERIES["token_estimate_by_model"](spark, real).collect()
     models = {r.model for r in found}
     assert len(models) == 13 and len(found) == 13 * len(items) and {(r.item_id, r.model) for r in found} == {(i, m) for i in items for m in models}
