@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
@@ -105,8 +105,6 @@ def naming(symbols: DataFrame, examples: int = 3) -> DataFrame:
     ok = F.when(F.col("kind") == "function", T.camel_case(F.col("name"))).when(F.col("kind") == "class", T.pascal_case(F.col("name")))
     s = symbols.where(F.col("kind").isin("function", "class")).withColumn("ok", ok)
     # a bounded list of first examples: the least sequence numbers of each kind, by top-k before the collect
-    from pyspark.sql import Window
-
     first = s.where("ok").withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("seq"))).where(F.col("r") <= examples)
     first = first.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ",").alias("examples"))
     ratio = s.groupBy("kind").agg(F.avg(F.col("ok").cast("double")).alias("confidence")).where(F.col("confidence") > 0.7)
@@ -147,3 +145,9 @@ def solutions(findings: DataFrame, code: DataFrame, problem: str) -> DataFrame:
     made = met.select("task", "path", "code", F.explode(options).alias("o")).where("o.on and o.after <> code").select("task", "path", F.col("o.what").alias("description"), F.col("o.after").alias("modified")).distinct()
     bare = code.join(made.select("task", "path").distinct(), ["task", "path"], "left_anti")
     return made.union(bare.select("task", "path", F.lit(f"Review and address: {problem}"), F.lit(None).cast("string")))
+
+
+def numbered(found: DataFrame, group: str, order: str) -> DataFrame:
+    """``found`` with ids ``finding-<group>-llm-<ordinal>``, counted from 0 within each group."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    return found.withColumn("id", F.concat(F.lit("finding-"), F.col(group).cast("string"), F.lit("-llm-"), at.cast("string")))

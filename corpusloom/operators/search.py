@@ -66,6 +66,18 @@ def first_provider(results: DataFrame) -> DataFrame:
     return results.join(best, ["query", "priority"], "left_semi")
 
 
+def supporting(results: DataFrame, least: float = 0.5, most: int = 2) -> DataFrame:
+    """results (query, position, snippet, score) -> the first ``most`` of each query, in page order, that score over ``least``."""
+    ranked = results.where(F.col("score") > least).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("position")))
+    return ranked.where(F.col("r") <= most).drop("r")
+
+
+def by_credibility(results: DataFrame, most: int = 5) -> DataFrame:
+    """results (query, position, score) -> the ``most`` most credible of each query with their rank; ties in page order."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "position")
+    return results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 #: Simulated results by the words a query has to hold: any of each group.
 SIMULATED = (
     ((("map",), ("undefined",)), "TypeError: Cannot read property 'map' of undefined", "https://stackoverflow.com/questions/12345", "stackoverflow", 0.92),

@@ -111,3 +111,12 @@ def cluster_names(members: DataFrame) -> DataFrame:
     best = df.groupBy("cluster").agg(F.min_by("w", F.struct(-F.col("n"), -F.length("w"), "w")).alias("name"))
     every = members.select("cluster").distinct().join(best, "cluster", "left")
     return every.select("cluster", F.coalesce("name", F.concat(F.lit("cluster-"), F.substring("cluster", 1, 6))).alias("name"))
+
+
+def common_tokens(names: DataFrame) -> DataFrame:
+    """names (cluster, position, name) -> (cluster, token): the word over two letters that stands most often in a
+    cluster's names, each place counted and two at least; the first to appear where they tie, null where there is none."""
+    words = names.select("cluster", "position", F.posexplode(F.split(F.lower("name"), "[^a-z0-9]+")).alias("at", "w")).where(F.length("w") > 2)
+    counted = words.groupBy("cluster", "w").agg(F.count("*").alias("n"), F.min(F.struct("position", "at")).alias("first")).where("n > 1")
+    best = counted.groupBy("cluster").agg(F.min_by("w", F.struct(-F.col("n"), "first")).alias("token"))
+    return names.select("cluster").distinct().join(best, "cluster", "left")

@@ -56,6 +56,12 @@ def cluster_names(spark, d):
     return similarity.cluster_names(found.join(texts, "member", "left").select("cluster", "text"))
 
 
+@query("WITH w AS (SELECT p_brand AS cluster, p_partkey, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS w, generate_subscripts(string_split_regex(lower(p_name), '[^a-z0-9]+'), 1) AS k FROM part), n AS (SELECT cluster, w, count(*) AS n, min(p_partkey * 100 + k) AS f FROM w WHERE length(w) > 2 GROUP BY ALL HAVING count(*) > 1), b AS (SELECT cluster, w FROM n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, f) = 1) SELECT c.cluster, b.w AS token FROM (SELECT DISTINCT p_brand AS cluster FROM part) c LEFT JOIN b USING (cluster)")
+def common_tokens(spark, d):
+    names = table(spark, d, "part").select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("position"), F.col("p_name").alias("name"))
+    return similarity.common_tokens(names)
+
+
 @query(f"WITH {UNIT} SELECT vec_id AS id, round(sqrt(list_dot_product(e, e)), 6) AS norm, 1.0::DOUBLE AS unit FROM v JOIN embeddings ON id = vec_id")
 def vector_norms(spark, d):
     v = vectors(spark, d).select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"))

@@ -235,6 +235,11 @@ def node_summary(spark, d):
     return n.select("id", semantic.summary(n.type, n.name, n.file_path).alias("summary"))
 
 
+@query("SELECT event_id, 'finding-' || user_id || '-llm-' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS id FROM events")
+def finding_ordinals(spark, d):
+    return findings.numbered(table(spark, d, "events"), "user_id", "event_id").select("event_id", "id")
+
+
 # ---- search
 
 HOST = "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1)"
@@ -259,6 +264,20 @@ def parse_result_page(spark, d):
     return search.parse_page(spark.createDataFrame([("map undefined", PAGE), ("zzz", "<html></html>")], "query string, html string"))
 
 
+SCORED = [("q1", 0, "s0", 0.3), ("q1", 1, "s1", 0.6), ("q1", 2, "s2", 0.95), ("q1", 3, "s3", 0.6), ("q2", 0, "s4", 0.5), ("q3", 0, "s5", 0.9)]
+SCORED_TYPE = "query string, position int, snippet string, score double"
+
+
+@query(f"WITH {values('r', 'query, position, snippet, score', SCORED)} SELECT query, position, snippet FROM r WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY query ORDER BY position) <= 2")
+def supporting_results(spark, d):
+    return search.supporting(spark.createDataFrame(SCORED, SCORED_TYPE)).select("query", "position", "snippet")
+
+
+@query(f"WITH {values('r', 'query, position, snippet, score', SCORED)} SELECT query, snippet, row_number() OVER (PARTITION BY query ORDER BY score DESC, position)::INTEGER AS rank FROM r QUALIFY rank <= 5")
+def results_by_credibility(spark, d):
+    return search.by_credibility(spark.createDataFrame(SCORED, SCORED_TYPE)).select("query", "snippet", "rank")
+
+
 OFFERED = [("q1", 2, "b1"), ("q1", 1, "a1"), ("q1", 1, "a2"), ("q2", 3, "c1"), ("q2", 2, "b2")]
 
 
