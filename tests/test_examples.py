@@ -65,7 +65,7 @@ def test_similarity(spark):
     got = {(r.a, r.b): similarity_band for r in pairs.select("a", "b", similarity.band(F.col("cosine")).alias("t")).collect() for similarity_band in [r.t]}
     assert got == {("a", "d"): "similar_to", ("a", "b"): "related", ("b", "d"): "related"}
     same = spark.createDataFrame([(f"n{i}", [1.0, 0.0]) for i in range(8)], "id string, vector array<double>")
-    every = similarity.cosine_pairs(same, 0.7, blocks=3)
+    every = similarity.cosine_pairs(same, 0.7, rows_a_block=3)
     assert every.count() == 28 and similarity.top_neighbours(every).count() < 28
     two = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.0, 1.0]), ("e", [0.7, 0.7])], "id string, vector array<double>")
     found = similarity.clusters(similarity.cosine_pairs(two, 0.8))
