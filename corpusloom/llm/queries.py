@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jaccard, linkrank, mixing, ordermin, pii, quality, shards, trainorder, warc
+from corpusloom.llm import bpe, jaccard, linkrank, mixing, ordermin, pii, quality, shards, spelling, trainorder, warc
 from corpusloom.llm.common import read, scratch
 
 
@@ -61,7 +61,11 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust)}
+def op13_symmetric_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust, op13_symmetric_delete)}
 _MIX = """
 WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id),
@@ -116,6 +120,23 @@ r AS (SELECT page_id, host, path, {case(lambda v, r: r)} AS rule, {case(lambda v
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' ELSE 'links' END AS judged_by FROM r"""
 
 
+#: The checksum table of CRC-32, a byte at a time, and the runs of each text counted before they are changed.
+_SPELLING = """
+WITH RECURSIVE step(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hx), 2), lambda i: ('0x' || substring(hx, i, 2))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+k AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS key FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.i = b.i AND a.word <> b.word UNION SELECT k.word, k.n, v.word, v.n FROM k JOIN v ON v.word = k.key UNION SELECT v.word, v.n, k.word, k.n FROM k JOIN v ON v.word = k.key),
+g AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS f, max(near_n) AS f_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN f_n >= 10 * v.n THEN f END AS form, CASE WHEN f_n >= 10 * v.n THEN f_n END AS form_n FROM v LEFT JOIN g USING (word)),
+w(word, root, d) AS (SELECT word, word, 0 FROM f UNION ALL SELECT w.word, f.form, d + 1 FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, d) AS root FROM w GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)"""
+
+
 #: The rest have no SQL: hashes that SQL engines don't share, tokenizers, span positions, or iteration. Tests hold them
 #: against brute force.
 SQL: dict[str, str] = {
@@ -124,4 +145,5 @@ SQL: dict[str, str] = {
     "op8_size_tiered_compaction": "SELECT doc_id, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS text_bytes, lang, source, n_chars FROM documents",
     "op9_efraimidis_mixing": _MIX,
     "op10_link_trust": _links_sql(),
+    "op13_symmetric_delete": _SPELLING,
 }
