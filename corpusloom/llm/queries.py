@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, jaccard, linkrank, mixing, ordermin, pii, quality, shards, spelling, trainorder, warc
+from corpusloom.llm import bpe, interaction, jaccard, linkrank, mixing, ordermin, pii, quality, shards, spelling, trainorder, warc
 from corpusloom.llm.common import read, scratch
 
 
@@ -61,11 +61,15 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op11_transposition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit_texts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_symmetric_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust, op13_symmetric_delete)}
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust, op11_transposition_audit, op13_symmetric_delete)}
 _MIX = """
 WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id),
@@ -120,6 +124,18 @@ r AS (SELECT page_id, host, path, {case(lambda v, r: r)} AS rule, {case(lambda v
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' ELSE 'links' END AS judged_by FROM r"""
 
 
+_AUDIT = """
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+f AS (SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_extract_all(d.t, '[A-Z]')) > 10 * length(d.t))::INT + 8 * regexp_matches(d.t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > m.least, FALSE)::INT AS mask FROM d JOIN m ON m.t = d.t LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, k::INT AS step, 1 << (ascii(substring(o, k, 1)) - 65) AS bit, coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(substring(o, i, 1)) - 65))), 0)::INT AS gone FROM o, range(1, 6) r(k)),
+r AS (SELECT part, o AS filter_order, step, bit, sum(CASE WHEN mask & (gone | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & gone > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY part, o, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
 #: The checksum table of CRC-32, a byte at a time, and the runs of each text counted before they are changed.
 _SPELLING = """
 WITH RECURSIVE step(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
@@ -145,5 +161,6 @@ SQL: dict[str, str] = {
     "op8_size_tiered_compaction": "SELECT doc_id, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS text_bytes, lang, source, n_chars FROM documents",
     "op9_efraimidis_mixing": _MIX,
     "op10_link_trust": _links_sql(),
+    "op11_transposition_audit": _AUDIT,
     "op13_symmetric_delete": _SPELLING,
 }
