@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, interaction, jaccard, linkrank, mixing, ordermin, pii, quality, shards, spelling, trainorder, warc
+from corpusloom.llm import bpe, interaction, jaccard, langid, linkrank, mixing, ordermin, pii, quality, shards, spelling, trainorder, warc
 from corpusloom.llm.common import read, scratch
 
 
@@ -65,11 +65,16 @@ def op11_transposition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit_texts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_family_then_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op13_symmetric_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust, op11_transposition_audit, op13_symmetric_delete)}
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_order_minhash, op3_disclosure_sanitising, op4_ngram_jaccard, op5_word_table_bpe, op6_ngram_likelihood, op7_warc_segments, op8_size_tiered_compaction, op9_efraimidis_mixing, op10_link_trust, op11_transposition_audit, op12_family_then_language, op13_symmetric_delete)}
 _MIX = """
 WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id),
