@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import build_queries, finding_queries, fingerprint_queries, graph_queries, metric_queries, source_queries  # noqa: F401
+from corpusloom.plans import build_queries, code_queries, finding_queries, fingerprint_queries, graph_queries, metric_queries, source_queries  # noqa: F401
 from corpusloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

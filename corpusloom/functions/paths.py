@@ -38,8 +38,9 @@ def scanned(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    """A test by suffix or directory, as enrichment sees it."""
-    return F.coalesce(path.rlike("\\.(test|spec)\\.[^/]+$") | path.rlike("(^|/)__tests__/") | path.rlike("(^|/)tests?/"), F.lit(False))
+    """A test by its name (test or spec before the extension of a script) or its folder, as enrichment sees it."""
+    named = F.lower(path).rlike(r"[._](test|spec)\.[cm]?[jt]sx?$")
+    return F.coalesce(named | path.contains("__tests__/") | path.rlike("(^|/)tests?/"), F.lit(False))
 
 
 #: Asset classes by ordered patterns on the lower-cased path.

@@ -9,19 +9,33 @@ from corpusloom.functions import paths as P
 from corpusloom.model import IMPORT_EXTENSIONS
 
 
+def file_keys(files: DataFrame) -> DataFrame:
+    """files (path) -> (key, rank, candidate): what an import may call a file, and how soon it is tried: its path, then for
+    each extension in order the path without it, and the folder if it is the folder's index file."""
+    p = F.col("path")
+    cut = lambda tail: F.substring(p, F.lit(1), F.length(p) - len(tail))
+    named = lambda tail, rank: F.when(p.endswith(tail) & (F.length(p) > len(tail)), F.struct(cut(tail).alias("key"), F.lit(rank).alias("rank")))
+    keys = [F.struct(p.alias("key"), F.lit(0).alias("rank"))] + [named(t, r) for i, x in enumerate(IMPORT_EXTENSIONS) for t, r in ((x, 2 * i + 1), ("/index" + x, 2 * i + 2))]
+    return files.select("path").distinct().select(p.alias("candidate"), F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.key", "k.rank", "candidate")
+
+
+def import_keys(imports: DataFrame) -> DataFrame:
+    """imports (path, source) -> (path, source, key, base): the target of each relative import, and the target without its
+    own extension, which is tried after it."""
+    target = P.normalise(F.concat(P.dirname(F.col("path")), F.lit("/"), F.col("source")))
+    keys = imports.select("path", "source").where(F.col("source").startswith(".")).distinct()
+    return keys.select("path", "source", F.posexplode(F.array_distinct(F.array(target, P.strip_extension(target)))).alias("base", "key"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (path, source) x files (path) -> imports with resolved: the first candidate that exists; null if external.
+    """imports (path, source) x files (path) -> imports with resolved: the first candidate that exists; null if none does.
 
-    A relative source has an ordered list of candidates: the target, then each extension appended, then an index file
-    with it; the same again without the target's own extension. Candidates meet the files in one equi-join, and the
-    least ordinal that meets is kept.
+    A relative source names the target, then the target with each extension, or as a folder with an index file; the same
+    again without its own extension. Files say what they may be called and imports what they ask for, so both meet in one
+    equi-join on that name, and the soonest tried is kept.
     """
-    target = P.normalise(F.concat(P.dirname(F.col("path")), F.lit("/"), F.col("source")))
-    forms = lambda base: [base, *[f(base, x) for x in IMPORT_EXTENSIONS for f in (lambda b, e: F.concat(b, F.lit(e)), lambda b, e: F.concat(b, F.lit("/index" + e)))]]
-    keys = imports.select("path", "source").distinct().where(F.col("source").startswith("."))
-    each = keys.select("path", "source", F.posexplode(F.array(*forms(target), *forms(P.strip_extension(target)))).alias("ordinal", "candidate"))
-    met = each.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
-    found = met.groupBy("path", "source").agg(F.min_by("candidate", "ordinal").alias("resolved"))
+    met = import_keys(imports).join(file_keys(files), "key")
+    found = met.groupBy("path", "source").agg(F.min_by("candidate", F.col("base") * 100 + F.col("rank")).alias("resolved"))
     return imports.join(found, ["path", "source"], "left")
 
 
@@ -31,30 +45,37 @@ def _symbol(kind: str, path, name):
 
 def import_edges(items: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """items (path, source, item) -> imports edges: to the function, else the class of that name, else the file; to a
-    module where the source is external."""
+    module where the source is no file."""
     i = items.join(resolved.select("path", "source", "resolved").distinct(), ["path", "source"], "left")
     kinds = symbols.groupBy(F.col("path").alias("resolved"), F.col("name").alias("item")).agg(F.max(F.when(F.col("kind") == "function", 1).otherwise(0)).alias("fn"), F.max(F.when(F.col("kind") == "class", 1).otherwise(0)).alias("cl"))
     i = i.join(kinds, ["resolved", "item"], "left")
     target = F.when(F.col("resolved").isNull(), F.concat(F.lit("module:"), "source")).when(F.col("fn") == 1, _symbol("function", F.col("resolved"), F.col("item"))).when(F.col("cl") == 1, _symbol("class", F.col("resolved"), F.col("item"))).otherwise(F.concat(F.lit("file:"), "resolved"))
-    relative = ~F.col("source").startswith(".") | F.col("resolved").isNotNull()
-    return i.where(relative).select(F.concat(F.lit("file:"), "path").alias("source"), target.alias("target"), F.lit("imports").alias("type"), F.lit(0.7).alias("weight")).distinct()
+    return i.select(F.concat(F.lit("file:"), "path").alias("source"), target.alias("target"), F.lit("imports").alias("type"), F.lit(0.7).alias("weight")).distinct()
 
 
 def imported_symbols(items: DataFrame, resolved: DataFrame) -> DataFrame:
     """(path, item, origin): the file each imported name comes from; the last import of a name wins."""
-    i = items.where("item is not null").join(resolved.where("resolved is not null"), ["path", "source"])
-    return i.groupBy("path", "item").agg(F.max_by("resolved", "line").alias("origin"))
+    i = items.where("item is not null").join(resolved.where("resolved is not null").select("path", "source", "line", "resolved"), ["path", "source"])
+    return i.groupBy("path", "item").agg(F.max_by("resolved", F.struct("line", "resolved")).alias("origin"))
+
+
+def resolve_names(refs: DataFrame, kind: str, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+    """refs (path, to, ...) with ``at``: the file that holds the symbol of ``kind`` a name means; null where none does.
+
+    The scope of a file is its own symbols, then what it imports. Both are looked up by (path, name), so a name that
+    stands in many files means none but these.
+    """
+    own = symbols.where(F.col("kind") == kind).select("path", F.col("name").alias("to"), F.lit(True).alias("here")).distinct()
+    there = own.select(F.col("path").alias("origin"), "to", F.col("here").alias("there"))
+    r = refs.join(own, ["path", "to"], "left").join(imported.select("path", F.col("item").alias("to"), "origin"), ["path", "to"], "left").join(there, ["origin", "to"], "left")
+    return r.withColumn("at", F.when(F.col("here"), F.col("path")).when(F.col("there"), F.col("origin"))).drop("here", "there", "origin")
 
 
 def reference_edges(refs: DataFrame, kind: str, symbols: DataFrame, imported: DataFrame, edge: str, weight: float) -> DataFrame:
     """refs (path, from, to) -> edges between symbols of ``kind``: the name in the same file first, else where it is
     imported from; references to itself and to nothing are dropped."""
-    own = symbols.where(F.col("kind") == kind).select("path", F.col("name").alias("to"), F.col("path").alias("local")).distinct()
-    other = own.select(F.col("path").alias("origin"), "to", F.col("local").alias("remote"))
-    r = refs.join(own, ["path", "to"], "left").join(imported.withColumnRenamed("item", "to"), ["path", "to"], "left").join(other, ["origin", "to"], "left")
-    at = F.coalesce("local", "remote")
-    out = r.where(at.isNotNull()).select(_symbol(kind, F.col("path"), F.col("from")).alias("source"), _symbol(kind, at, F.col("to")).alias("target"), F.lit(edge).alias("type"), F.lit(weight).alias("weight"))
-    return out.where("source <> target").distinct()
+    r = resolve_names(refs.where(F.col("from") != F.col("to")), kind, symbols, imported).where("at is not null")
+    return r.select(_symbol(kind, F.col("path"), F.col("from")).alias("source"), _symbol(kind, F.col("at"), F.col("to")).alias("target"), F.lit(edge).alias("type"), F.lit(weight).alias("weight")).distinct()
 
 
 def export_edges(exports: DataFrame) -> DataFrame:
@@ -74,10 +95,9 @@ def tested_by(resolved: DataFrame) -> DataFrame:
 
 
 def depends_on(resolved: DataFrame) -> DataFrame:
-    """Edges from a file to the files and external modules it imports."""
-    external = ~F.col("source").startswith(".")
-    hit = resolved.where(external | (F.col("resolved").isNotNull() & (F.col("resolved") != F.col("path"))))
-    target = F.when(external, F.concat(F.lit("module:"), "source")).otherwise(F.concat(F.lit("file:"), "resolved"))
+    """Edges from a file to the other files it imports, and to the modules that are no file."""
+    hit = resolved.where(F.col("resolved").isNull() | (F.col("resolved") != F.col("path")))
+    target = F.when(F.col("resolved").isNull(), F.concat(F.lit("module:"), "source")).otherwise(F.concat(F.lit("file:"), "resolved"))
     return hit.select(F.concat(F.lit("file:"), "path").alias("source"), target.alias("target"), F.lit("depends_on").alias("type"), F.lit(0.5).alias("weight")).distinct()
 
 

@@ -10,12 +10,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Verbs of routes, subscriptions and publications, and receivers of middleware.
-HTTP = "get|post|put|delete|patch|options|head|all"
-SUBSCRIBE, PUBLISH = "on|once|addEventListener|subscribe", "emit|publish|dispatch|next"
-SERVERS = "app|router|server|api"
-#: Calls that read and write files.
-FS_READ, FS_WRITE = "readFile|readFileSync|read|createReadStream", "writeFile|writeFileSync|write|appendFile|createWriteStream|unlink|rm|mkdir"
+#: Verbs of routes, calls that subscribe and publish, receivers of middleware, calls that read and write files.
+VERBS = ("get", "post", "put", "delete", "patch", "options", "head", "all")
+SUBSCRIBE = ("on", "once", "addEventListener", "subscribe")
+PUBLISH = ("emit", "publish", "dispatch", "next")
+SERVERS = ("app", "router", "server", "api")
+FS_READ = ("readFile", "readFileSync", "read", "createReadStream")
+FS_WRITE = ("writeFile", "writeFileSync", "write", "appendFile", "createWriteStream", "unlink", "rm", "mkdir")
+
+#: One form for every place that a framework is told something: a word (or none) before a dot or an at sign, a word, and
+#: an opening bracket; then, if it is there, one literal in quotes of a kind without other quotes in it, or one bare name
+#: alone. What such a place means is said by filters on its parts.
+PLACE = r"""(?<!\w)(\w*+)([.@])(\w++)\s*+\(\s*+(?:(["'`])([^"'`]*+)\4|([A-Za-z_$][\w$]*+)\s*+\))?"""
+#: A member of the file system's module, or of its part for promises.
+FILE_MEMBER = r"(?<!\w)fs\.(?:promises\.)?(\w++)"
+#: What a file declares of a schema: in Prisma the word model, a name and its block; in SQL the words create and table,
+#: perhaps the words if not exists, and a name, perhaps quoted.
+DECLARES = {".prisma": r"(?<!\w)model\s++(\w+)\s*+\{", ".sql": r"""(?i)(?<!\w)create\s++table\s++(?:if\s++not\s++exists\s++)?["'`\[]?(\w+)"""}
 
 
 def _hits(text: Column, form: str, *groups: int) -> Column:
@@ -24,38 +35,45 @@ def _hits(text: Column, form: str, *groups: int) -> Column:
     return F.arrays_zip(*every)
 
 
+def places(files: DataFrame) -> DataFrame:
+    """(path, receiver, mark, method, quote, literal, name) of every PLACE, one pass over the texts; parts that a place
+    lacks are empty."""
+    hits = files.select("path", F.explode(_hits(F.col("content"), PLACE, 1, 2, 3, 4, 5, 6)).alias("h"))
+    return hits.select("path", *[F.col(f"h.g{i}").alias(c) for i, c in enumerate(("receiver", "mark", "method", "quote", "literal", "name"))])
+
+
 def routes(files: DataFrame) -> DataFrame:
     """(path, method, route): registrations by call and by decorator; the route begins with a slash."""
-    quoted = r"""\s*\(\s*(['"`])(/[^'"`]*)\2"""
-    each = lambda mark: files.select("path", F.explode(_hits(F.col("content"), f"(?i){mark}({HTTP}){quoted}", 1, 3)).alias("h"))
-    return each(r"\.").union(each("@")).select("path", F.upper("h.g0").alias("method"), F.col("h.g1").alias("route")).distinct()
+    p = places(files).where(F.lower("method").isin(*VERBS) & F.col("literal").startswith("/"))
+    return p.select("path", F.upper("method").alias("method"), F.col("literal").alias("route")).distinct()
 
 
 def events(files: DataFrame) -> DataFrame:
     """(path, event, type): subscribes and publishes with a literal name."""
-    quoted = r"""\s*\(\s*(['"`])([^'"`]+)\2"""
-    each = lambda verbs, kind: files.select("path", F.explode(_hits(F.col("content"), rf"\.({verbs}){quoted}", 3)).alias("h"), F.lit(kind).alias("type"))
-    return each(SUBSCRIBE, "subscribes").union(each(PUBLISH, "publishes")).select("path", F.col("h.g0").alias("event"), "type").distinct()
+    kind = F.when(F.col("method").isin(*SUBSCRIBE), "subscribes").when(F.col("method").isin(*PUBLISH), "publishes")
+    return places(files).where((F.col("mark") == ".") & (F.col("literal") != "")).select("path", F.col("literal").alias("event"), kind.alias("type")).where("type is not null").distinct()
 
 
 def middleware(files: DataFrame) -> DataFrame:
     """(path, name): bare identifiers that a server-like receiver uses."""
-    return files.select("path", F.explode(F.regexp_extract_all("content", F.lit(rf"\b(?:{SERVERS})\.use\s*\(\s*([A-Za-z_$][\w$]*)\s*\)"), 1)).alias("name")).distinct()
+    used = (F.col("mark") == ".") & F.col("receiver").isin(*SERVERS) & (F.col("method") == "use") & (F.col("name") != "")
+    return places(files).where(used).select("path", "name").distinct()
 
 
 def data_access(files: DataFrame) -> DataFrame:
-    """(path, resource, type): reads_from and writes_to the file system and databases."""
-    c = F.col("content")
-    facts = [(rf"\bfs(?:\.promises)?\.({FS_READ})\b", "filesystem", "reads_from"), (rf"\bfs(?:\.promises)?\.({FS_WRITE})\b", "filesystem", "writes_to"), (r"\b\w+\.query\s*\(", "database", "reads_from")]
-    rows = F.array(*[F.when(c.rlike(form), F.struct(F.lit(r).alias("resource"), F.lit(t).alias("type"))) for form, r, t in facts])
-    return files.select("path", F.explode(rows).alias("x")).where("x is not null").select("path", "x.*")
+    """(path, resource, type): reads_from and writes_to the file system, and reads_from databases: what has a query."""
+    member = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(FILE_MEMBER), F.lit(1)))).alias("m"))
+    kind = F.when(F.col("m").isin(*FS_READ), "reads_from").when(F.col("m").isin(*FS_WRITE), "writes_to")
+    of_files = member.select("path", F.lit("filesystem").alias("resource"), kind.alias("type")).where("type is not null")
+    asked = places(files).where((F.col("mark") == ".") & (F.col("receiver") != "") & (F.col("method") == "query"))
+    return of_files.union(asked.select("path", F.lit("database"), F.lit("reads_from"))).distinct()
 
 
 def schema_tables(files: DataFrame) -> DataFrame:
     """(path, name): models of Prisma files and tables of SQL files."""
-    low = F.lower("path")
-    found = F.when(low.endswith(".prisma"), F.regexp_extract_all("content", F.lit(r"\bmodel\s+(\w+)\s*\{"), 1)).when(low.endswith(".sql"), F.regexp_extract_all("content", F.lit(r"""(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[`"'\[]?(\w+)"""), 1))
-    return files.select("path", F.explode(found).alias("name")).distinct()
+    low, none = F.lower("path"), F.array().cast("array<string>")
+    found = [F.when(low.endswith(ext), F.regexp_extract_all("content", F.lit(form), F.lit(1))).otherwise(none) for ext, form in DECLARES.items()]
+    return files.select("path", F.explode(F.concat(*found)).alias("name")).distinct()
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
 from corpusloom.functions import vector as V
-from corpusloom.model import CLUSTER_STOP, IGNORED_DIRS, IGNORED_FILES, IMPORT_EXTENSIONS, SOURCE_EXTENSIONS
-from corpusloom.operators import build, extract, similarity
+from corpusloom.model import CLUSTER_STOP, IGNORED_DIRS, IGNORED_FILES, SOURCE_EXTENSIONS
+from corpusloom.operators import build, extract, layers, outline, similarity
 from corpusloom.plans import code_rows as C
-from corpusloom.plans.registry import literal, query, values
+from corpusloom.plans.code_files import REPOSITORIES, asset_paths, code_files, line_files, python_files, repositories, schema_files, sql
+from corpusloom.plans.registry import literal, query
 from corpusloom.plans.tables import table
+from corpusloom.shared import store
 
 UNIT = "v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
@@ -80,19 +82,9 @@ def trigram_embedding(spark, d):
     return texts.where("length(text) > 0").select("id", F.size(F.array_distinct(grams)).cast("long").alias("trigrams"), F.size(grams).cast("long").alias("places")).join(length, "id")
 
 
-WORDS = [("abc",), ("",), ("a",), ("grün",), ("hello world",)]
-
-
-def _fnv(text: str) -> int:
-    h = V.FNV_OFFSET
-    for unit in memoryview(text.encode("utf-16-le")).cast("H"):
-        h = (h ^ unit) * V.FNV_PRIME % (1 << 32)
-    return h
-
-
-@query("WITH " + values("w", "word, hash", [(w[0], _fnv(w[0])) for w in WORDS]) + " SELECT word, hash::BIGINT AS hash FROM w")
+@query("SELECT p_name AS word, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substring(p_name, i, 1))::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hash FROM (SELECT DISTINCT p_name FROM part)")
 def fnv_hash(spark, d):
-    return spark.createDataFrame(WORDS, "word string").select("word", V.fnv1a(F.col("word")).alias("hash"))
+    return table(spark, d, "part").select(F.col("p_name").alias("word")).distinct().select("word", V.fnv1a(F.col("word")).alias("hash"))
 
 
 @query("SELECT vec_id AS id, vec_id % 3 <> 0 AS hit FROM embeddings")
@@ -104,171 +96,136 @@ def embedding_cache_probe(spark, d):
     return hits.select("id", F.lit(True).alias("hit")).union(misses.select("id", F.lit(False)))
 
 
-# ---- building
-
-FILES = values("files", "path, content", C.FILES)
-SYMBOLS = values("symbols", "path, name, kind, exported", C.SYMBOLS)
-IMPORTS = values("imports", "path, source, line", C.IMPORTS)
-ITEMS = values("items", "path, source, item", C.ITEMS)
-_EXT = literal(list(IMPORT_EXTENSIONS))
-RESOLVED = f"""WITH {FILES}, {SYMBOLS}, {IMPORTS}, {ITEMS},
-{values('targets', 'path, source, target', [(p, s, __import__('posixpath').normpath(__import__('posixpath').join(__import__('posixpath').dirname(p), s))) for p, s in sorted({(p, s) for p, s, _ in C.IMPORTS if s.startswith('.')})])},
-bases AS (SELECT path, source, 0 AS o, target AS base FROM targets UNION ALL SELECT path, source, 1, regexp_replace(target, '\\.(js|jsx|mjs|cjs|ts|tsx)$', '') FROM targets),
-cand AS (SELECT path, source, o * 100 AS o, base AS c FROM bases UNION ALL SELECT path, source, o * 100 + 2 * i - 1, base || {_EXT}[i] FROM bases, range(1, 10) x(i) UNION ALL SELECT path, source, o * 100 + 2 * i, base || '/index' || {_EXT}[i] FROM bases, range(1, 10) x(i)),
-best AS (SELECT path, source, arg_min(c, o) AS resolved FROM cand WHERE c IN (SELECT path FROM files) GROUP BY path, source),
-res AS (SELECT i.path, i.source, i.line, b.resolved FROM imports i LEFT JOIN best b ON b.path = i.path AND b.source = i.source),
-imported AS (SELECT t.path, t.item, arg_max(r.resolved, r.line) AS origin FROM items t JOIN res r ON r.path = t.path AND r.source = t.source WHERE r.resolved IS NOT NULL AND t.item IS NOT NULL GROUP BY t.path, t.item)"""
-
+# ---- building, over files made of the tables
 
-def rows(spark):
-    f = spark.createDataFrame(C.FILES, "path string, content string")
-    s = spark.createDataFrame(C.SYMBOLS, "path string, name string, kind string, exported boolean")
-    i = spark.createDataFrame(C.IMPORTS, "path string, source string, line int")
-    t = spark.createDataFrame(C.ITEMS, "path string, source string, item string")
-    return f, s, build.resolve_imports(i, f), t
+CODE = f"WITH {sql()}"
+FILES = REPOSITORIES
+LINES = "l AS (SELECT path, generate_subscripts(x, 1)::INTEGER AS line, unnest(x) AS t FROM (SELECT path, string_split(content, chr(10)) AS x FROM files))"
 
 
-@query(f"{RESOLVED} SELECT path, source, resolved FROM res")
-def resolve_imports(spark, d):
-    return rows(spark)[2].select("path", "source", "resolved")
+def files(spark, d):
+    return repositories(spark, d)
 
 
-@query(f"""{RESOLVED} SELECT DISTINCT 'file:' || t.path AS source, CASE WHEN r.resolved IS NULL THEN 'module:' || t.source WHEN EXISTS (FROM symbols s WHERE s.path = r.resolved AND s.name = t.item AND s.kind = 'function') THEN 'function:' || r.resolved || ':' || t.item WHEN EXISTS (FROM symbols s WHERE s.path = r.resolved AND s.name = t.item AND s.kind = 'class') THEN 'class:' || r.resolved || ':' || t.item ELSE 'file:' || r.resolved END AS target, 'imports' AS type, 0.7::DOUBLE AS weight
-FROM items t LEFT JOIN (SELECT DISTINCT path, source, resolved FROM res) r ON r.path = t.path AND r.source = t.source WHERE NOT starts_with(t.source, '.') OR r.resolved IS NOT NULL""")
-def import_edges(spark, d):
-    _, s, r, t = rows(spark)
-    return build.import_edges(t, r, s)
+def built(spark, d, files=None):
+    """The facts of the files and their scope."""
+    facts = store(outline.facts(code_files(spark, d) if files is None else files), "facts")
+    return facts, layers.scope(facts)
 
 
-def _refs_sql(data: str, kind: str, edge: str, weight: float) -> str:
-    return f"""{RESOLVED}, {data}, x AS (SELECT r.path, r.a, r.b, CASE WHEN EXISTS (FROM symbols s WHERE s.path = r.path AND s.name = r.b AND s.kind = '{kind}') THEN r.path ELSE (SELECT m.origin FROM imported m WHERE m.path = r.path AND m.item = r.b AND EXISTS (FROM symbols s WHERE s.path = m.origin AND s.name = r.b AND s.kind = '{kind}')) END AS loc FROM refs r)
-SELECT DISTINCT '{kind}:' || path || ':' || a AS source, '{kind}:' || loc || ':' || b AS target, '{edge}' AS type, {weight}::DOUBLE AS weight FROM x WHERE loc IS NOT NULL AND NOT (loc = path AND a = b)"""
+def of_type(*types):
+    return f"{CODE} SELECT source, target, type, weight FROM edges WHERE type IN ({', '.join(map(literal, types))})"
 
 
-def _references(spark, refs, kind, edge, weight):
-    _, s, r, t = rows(spark)
-    return build.reference_edges(spark.createDataFrame(refs, "path string, from string, to string"), kind, s, build.imported_symbols(t, r), edge, weight)
+@query(f"{CODE} SELECT path, spec AS source, target AS resolved FROM r UNION ALL SELECT path, source, NULL FROM modules")
+def resolve_imports(spark, d):
+    return built(spark, d)[1].imports.select("path", "source", "resolved")
 
 
-def _of(edge):
-    return [(p, a, b) for p, a, b, e in C.INHERITS if e == edge]
+@query(of_type("imports"))
+def import_edges(spark, d):
+    _, s = built(spark, d)
+    return build.import_edges(s.items, s.imports, s.symbols)
 
 
-@query(_refs_sql(values("refs", "path, a, b", C.CALLS), "function", "calls", 0.9))
+@query(of_type("calls"))
 def call_edges(spark, d):
-    return _references(spark, C.CALLS, "function", "calls", 0.9)
+    facts, s = built(spark, d)
+    return build.reference_edges(layers.calls(facts), "function", s.symbols, s.imported, "calls", 0.9)
 
 
-@query(_refs_sql(values("refs", "path, a, b", _of("inherits")), "class", "inherits", 0.9))
+@query(of_type("inherits"))
 def inherit_edges(spark, d):
-    return _references(spark, _of("inherits"), "class", "inherits", 0.9)
+    facts, s = built(spark, d)
+    return build.reference_edges(layers.parents(facts), "class", s.symbols, s.imported, "inherits", 0.9)
 
 
-@query(_refs_sql(values("refs", "path, a, b", _of("implements")), "class", "implements", 0.9))
+@query(of_type("implements"))
 def implement_edges(spark, d):
-    return _references(spark, _of("implements"), "class", "implements", 0.9)
+    facts, s = built(spark, d)
+    return build.reference_edges(layers.interfaces(facts), "class", s.symbols, s.imported, "implements", 0.9)
 
 
-@query(f"WITH {values('e', 'path, name, kind', C.EXPORTS)} SELECT DISTINCT 'file:' || path AS source, CASE WHEN kind IN ('function', 'class') THEN kind || ':' || path || ':' || name ELSE 'file:' || path END AS target, 'exports' AS type, 0.8::DOUBLE AS weight FROM e")
+@query(of_type("exports"))
 def export_edges(spark, d):
-    return build.export_edges(spark.createDataFrame(C.EXPORTS, "path string, name string, kind string"))
+    facts = outline.facts(code_files(spark, d))
+    return build.export_edges(facts.select("path", F.explode("exports").alias("e")).select("path", "e.name", "e.kind"))
 
 
-@query(f"WITH {SYMBOLS} SELECT 'file:' || path AS source, kind || ':' || path || ':' || name AS target, 'contains' AS type, 1.0::DOUBLE AS weight FROM symbols")
+@query(of_type("contains"))
 def contains_edges(spark, d):
-    return build.contains_edges(rows(spark)[1])
+    return build.contains_edges(built(spark, d)[1].symbols)
 
 
-@query(f"{RESOLVED} SELECT DISTINCT 'file:' || resolved AS source, 'file:' || path AS target, 'tested_by' AS type, 0.6::DOUBLE AS weight FROM res WHERE resolved IS NOT NULL AND regexp_matches(path, '\\.(test|spec)\\.[^/]+$|(^|/)__tests__/|(^|/)tests?/') AND NOT regexp_matches(resolved, '\\.(test|spec)\\.[^/]+$|(^|/)__tests__/|(^|/)tests?/')")
+@query(of_type("tested_by"))
 def tested_by(spark, d):
-    return build.tested_by(rows(spark)[2])
+    return build.tested_by(built(spark, d)[1].imports)
 
 
-@query(f"{RESOLVED} SELECT DISTINCT 'file:' || path AS source, CASE WHEN starts_with(source, '.') THEN 'file:' || resolved ELSE 'module:' || source END AS target, 'depends_on' AS type, 0.5::DOUBLE AS weight FROM res WHERE NOT starts_with(source, '.') OR (resolved IS NOT NULL AND resolved <> path)")
+@query(of_type("depends_on"))
 def depends_on(spark, d):
-    return build.depends_on(rows(spark)[2])
+    return build.depends_on(built(spark, d)[1].imports)
 
 
-@query(f"WITH {SYMBOLS}, {values('called', 'target', [('function:src/utils.ts:helper',), ('function:src/index.ts:main',)])} SELECT 'function:' || path || ':' || name AS id FROM symbols WHERE kind = 'function' AND NOT exported AND path NOT LIKE '%.test.%' AND 'function:' || path || ':' || name NOT IN (SELECT target FROM called)")
+@query(f"{CODE} SELECT 'function:' || path || ':' || name AS id FROM functions WHERE NOT exported AND NOT contains(path, '.test.') AND 'function:' || path || ':' || name NOT IN (SELECT target FROM edges WHERE type = 'calls')")
 def dead_code(spark, d):
-    calls = spark.createDataFrame([("function:src/utils.ts:helper", "calls"), ("function:src/index.ts:main", "calls"), ("function:src/utils.ts:lonely", "imports")], "target string, type string")
-    return build.dead_code(rows(spark)[1], calls)
+    facts, s = built(spark, d)
+    return build.dead_code(s.symbols, build.reference_edges(layers.calls(facts), "function", s.symbols, s.imported, "calls", 0.9))
 
 
+FORMS = [p for (p,) in C.PATHS]
+PATHS = f"p AS (SELECT 'app' || p_partkey || '/' || {literal(FORMS)}[p_partkey % {len(FORMS)} + 1] AS path FROM part)"
 ASSET_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), {literal(form)}) THEN '{name}'" for name, form in P.ASSETS) + " END"
-PATHS = values("p", "path", C.PATHS)
 
 
 @query(f"WITH {PATHS} SELECT path, {ASSET_SQL} AS class FROM p")
 def classify_assets(spark, d):
-    p = spark.createDataFrame(C.PATHS, "path string")
+    p = asset_paths(spark, d, FORMS)
     return p.select("path", P.asset_class(p.path).alias("class"))
 
 
 @query(f"WITH {PATHS} SELECT path FROM p WHERE list_contains({literal(list(SOURCE_EXTENSIONS))}, regexp_extract(path, '(\\.[^./]+)$', 1)) AND NOT list_has_any(list_slice(string_split(path, '/'), 1, -2), {literal(list(IGNORED_DIRS))}) AND NOT list_contains({literal(list(IGNORED_FILES))}, string_split(path, '/')[-1])")
 def corpus_filter(spark, d):
-    p = spark.createDataFrame(C.PATHS, "path string")
+    p = asset_paths(spark, d, FORMS)
     return p.where(P.scanned(p.path))
 
 
-def files(spark):
-    return spark.createDataFrame(C.FILES, "path string, content string")
-
-
-
-
-
-def _quoted(before: str, body: str, flags: str = "") -> str:
-    """Matches of a quoted argument in any of the three quotes, as RE2 has no back-references."""
-    forms = [rf"{flags}{before}\s*\(\s*{q}({body.replace('Q', c)}){q}" for q, c in (("''", "''"), ('"', '"'), ("`", "`"))]
-    return " UNION ALL ".join(f"SELECT path, unnest(regexp_extract_all(content, '{f}', 1)) AS a, unnest(regexp_extract_all(content, '{f}', 2)) AS b FROM files" for f in forms)
-
-
-@query(f"WITH {FILES}, h AS ({_quoted('[.](' + extract.HTTP + ')', '/[^QX]*'.replace('X', '`'), '(?i)')} UNION ALL {_quoted('@(' + extract.HTTP + ')', '/[^QX]*'.replace('X', '`'), '(?i)')}) SELECT DISTINCT path, upper(a) AS method, b AS route FROM h")
+@query(f"{CODE} SELECT path, method, route FROM routed")
 def routes(spark, d):
-    return extract.routes(files(spark))
+    return extract.routes(code_files(spark, d))
 
 
-@query(f"WITH {FILES}, s AS ({_quoted('[.](' + extract.SUBSCRIBE + ')', '[^QX]+'.replace('X', '`'))}), p AS ({_quoted('[.](' + extract.PUBLISH + ')', '[^QX]+'.replace('X', '`'))}) SELECT DISTINCT path, b AS event, 'subscribes' AS type FROM s UNION SELECT DISTINCT path, b, 'publishes' FROM p")
+@query(f"{CODE} SELECT path, event, type FROM topics")
 def events_pubsub(spark, d):
-    return extract.events(files(spark))
+    return extract.events(code_files(spark, d))
 
 
-@query(rf"WITH {FILES}, {SYMBOLS} SELECT DISTINCT 'file:' || f.path AS source, 'function:' || s.path || ':' || f.n AS target FROM (SELECT path, unnest(regexp_extract_all(content, '\b(?:app|router|server|api)\.use\s*\(\s*([A-Za-z_$][\w$]*)\s*\)', 1)) AS n FROM files) f JOIN symbols s ON s.name = f.n AND s.kind = 'function'")
+@query(f"{CODE} SELECT DISTINCT 'file:' || path AS source, target FROM used")
 def middleware(spark, d):
-    used = extract.middleware(files(spark))
-    fn = rows(spark)[1].where("kind = 'function'").select("name", F.col("path").alias("at"))
-    return used.join(fn, "name").select(F.concat(F.lit("file:"), "path").alias("source"), F.concat_ws(":", F.lit("function"), "at", "name").alias("target")).distinct()
+    files = code_files(spark, d)
+    _, s = built(spark, d, files)
+    return layers.Middleware().enrich(None, {"scope": s, "sources": files})[1].select("source", "target")
 
 
-@query(rf"WITH {FILES} SELECT path, 'filesystem' AS resource, 'reads_from' AS type FROM files WHERE regexp_matches(content, '\bfs(?:\.promises)?\.({extract.FS_READ})\b') UNION ALL SELECT path, 'filesystem', 'writes_to' FROM files WHERE regexp_matches(content, '\bfs(?:\.promises)?\.({extract.FS_WRITE})\b') UNION ALL SELECT path, 'database', 'reads_from' FROM files WHERE regexp_matches(content, '\b\w+\.query\s*\(')")
+@query(f"{CODE} SELECT path, resource, type FROM accesses")
 def data_access(spark, d):
-    return extract.data_access(files(spark))
+    return extract.data_access(code_files(spark, d))
 
 
-@query(rf"""WITH {FILES} SELECT DISTINCT path, unnest(CASE WHEN lower(path) LIKE '%.prisma' THEN regexp_extract_all(content, '\bmodel\s+(\w+)\s*\{{', 1) WHEN lower(path) LIKE '%.sql' THEN regexp_extract_all(content, '(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[`"''\[]?(\w+)', 1) END) AS name FROM files""")
+@query("SELECT 'db/part' || p_partkey || '.sql' AS path, unnest(['part' || p_partkey, 'stock' || p_partkey]) AS name FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT 'db/part' || p_partkey || '.prisma', unnest(['Part' || p_partkey, 'Stock' || p_partkey]) FROM part WHERE p_partkey % 10 = 5")
 def schema_tables(spark, d):
-    return extract.schema_tables(files(spark))
-
-
-LINES = "l AS (SELECT path, generate_subscripts(x, 1)::INTEGER AS line, unnest(x) AS t FROM (SELECT path, string_split(content, chr(10)) AS x FROM files))"
-_P = "array_to_string(list_filter(list_transform(string_split({}, ','), lambda p: trim(p)), lambda p: p <> ''), ',')"
-_FN = [(form, n, p) for form, n, p in extract.FUNCTIONS]
+    return extract.schema_tables(schema_files(spark, d))
 
 
-@query(f"WITH {FILES}, {LINES}" + ", f AS (SELECT path, line, CASE " + " ".join(f"WHEN regexp_matches(t, {literal(f)}) THEN regexp_extract(t, {literal(f)}, {n})" for f, n, p in _FN) + " END AS name, CASE " + " ".join(f"WHEN regexp_matches(t, {literal(f)}) THEN {_P.format(f'regexp_extract(t, {literal(f)}, {p})')}" for f, n, p in _FN) + r""" END AS detail, starts_with(t, 'export') AS exported FROM l),
-i AS (SELECT path, line, regexp_extract(t, F, 3) AS name, regexp_extract(t, F, 1) || regexp_extract(t, F, 2) AS x, regexp_extract(t, F, 2) <> '' AS d FROM l WHERE regexp_matches(t, F))
-SELECT path, line, 'function' AS kind, name, detail, exported FROM f WHERE name IS NOT NULL UNION ALL SELECT path, line, 'class', regexp_extract(t, '^(export\s+)?class\s+(\w+)', 2), '', starts_with(t, 'export') FROM l WHERE regexp_matches(t, '^(export\s+)?class\s+(\w+)')
-UNION ALL SELECT path, line, 'import', name, array_to_string(list_filter(list_transform(string_split(regexp_replace(x, '[{}]', '', 'g'), ','), lambda p: trim(p)), lambda p: p <> ''), ','), d FROM i
-UNION ALL SELECT path, line, 'export', regexp_extract(t, E, 1), CASE WHEN contains(t, 'function') THEN 'function' WHEN contains(t, 'class') THEN 'class' ELSE 'variable' END, TRUE FROM l WHERE regexp_matches(t, E)""".replace("t, F", r"""t, 'import\s+(?:(\{[^}]+\})|(\w+))\s+from\s+[''"]([^''"]+)[''"]'""").replace("t, E", r"t, '^export\s+(?:default\s+)?(?:(?:async\s+)?function|class|const|let|var|type|interface)\s+(\w+)'"))
+@query("""SELECT 'src/line' || p_partkey || '.ts' AS path, unnest([1, 3, 8, 4, 6, 7, 1, 4, 8])::INTEGER AS line, unnest(['function', 'function', 'function', 'class', 'import', 'import', 'export', 'export', 'export']) AS kind, unnest(['f', 'g', 'h', 'K', './m', 'z', 'f', 'K', 'h']) || p_partkey AS name, unnest(['a,b', 'x', 'q', '', 'a,b', 'z', 'function', 'class', 'function']) AS detail, unnest([TRUE, FALSE, TRUE, TRUE, FALSE, TRUE, TRUE, TRUE, TRUE]) AS exported FROM part""")
 def regex_signatures(spark, d):
-    return extract.signatures(files(spark))
+    return extract.signatures(line_files(spark, d))
 
 
-@query(None)
+@query("""SELECT 'py/part' || p_partkey || '.py' AS path, unnest(['os', 'sys', '.m' || p_partkey, 'A' || p_partkey, 'f', 'g' || p_partkey]) AS name, unnest(['import', 'import', 'import', 'class', 'function', 'function']) AS kind, unnest([1, 1, 2, 5, 6, 8])::INTEGER AS line, unnest(['', '', 'y,z', 'B', 'self,a', 'q']) AS detail FROM part WHERE p_partkey % 10 <> 7
+UNION ALL SELECT 'py/part' || p_partkey || '.py', 'SyntaxError', 'error', 0, '' FROM part WHERE p_partkey % 10 = 7""")
 def python_ast(spark, d):
-    code = [("a.py", "import os, sys as s\nfrom .x import y, z\nclass A(B):\n    def f(self, a):\n        return a\nasync def g(): pass\n"), ("bad.py", "def ("), ("no.ts", "x")]
-    return extract.python_signatures(spark.createDataFrame(code, "path string, content string"))
+    return extract.python_signatures(python_files(spark, d))
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
@@ -276,10 +233,10 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
-IDS = [("src/a.ts",), ("function:src/a.ts:f",), ("weird:thing",), ("file:x",), ("table:a:b:c",)]
+REFS = "CASE p_partkey % 5 WHEN 0 THEN 'src/a' || p_partkey || '.ts' WHEN 1 THEN 'function:src/a' || p_partkey || '.ts:f' WHEN 2 THEN 'weird:thing' || p_partkey WHEN 3 THEN 'file:x' || p_partkey ELSE 'table:a:b:c' || p_partkey END"
 
 
-@query(f"WITH {values('i', 'ref', IDS)}, n AS (SELECT ref, CASE WHEN regexp_matches(ref, '^({'|'.join(P.ID_PREFIXES)}):') THEN ref ELSE 'file:' || ref END AS id FROM i) SELECT ref, id, CASE WHEN len(string_split(id, ':')) > 2 THEN array_to_string(list_slice(string_split(id, ':'), 2, -2), ':') ELSE string_split(id, ':')[2] END AS path FROM n")
+@query(f"WITH i AS (SELECT {REFS} AS ref FROM part), n AS (SELECT ref, CASE WHEN regexp_matches(ref, '^({'|'.join(P.ID_PREFIXES)}):') THEN ref ELSE 'file:' || ref END AS id FROM i) SELECT ref, id, CASE WHEN len(string_split(id, ':')) > 2 THEN array_to_string(list_slice(string_split(id, ':'), 2, -2), ':') ELSE string_split(id, ':')[2] END AS path FROM n")
 def node_ids(spark, d):
-    i = spark.createDataFrame(IDS, "ref string").select("ref", P.node_id(F.col("ref")).alias("id"))
+    i = table(spark, d, "part").select(F.expr(REFS).alias("ref")).select("ref", P.node_id(F.col("ref")).alias("id"))
     return i.select("ref", "id", P.path_of_id(i.id).alias("path"))

@@ -27,7 +27,7 @@ UNION ALL SELECT path, 'bug', 'Empty catch block swallows errors silently', 0.85
 
 @query(f"{SCAN} SELECT path, type, description, confidence, coalesce(line, 0) AS line FROM found")
 def rule_scan(spark, d):
-    return findings.rule_scan(files(spark)).withColumn("line", F.coalesce("line", F.lit(0)))
+    return findings.rule_scan(files(spark, d)).withColumn("line", F.coalesce("line", F.lit(0)))
 
 
 FOUND = "fnd AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'fault' WHEN event_id % 3 = 1 THEN 'insight' ELSE 'pattern' END AS type, least(1.0, value / 100) AS confidence, 'customer:' || user_id AS ref FROM events WHERE event_type = 'error')"
@@ -126,7 +126,7 @@ def naming_conventions(spark, d):
 
 @query(f"WITH {FILES} SELECT 'testing' AS category, 'Test files use .test. suffix' AS rule, least(1.0, round(0.2 * count(*), 6))::DOUBLE AS confidence FROM files WHERE contains(path, '.test.') OR contains(path, '.spec.') HAVING count(*) > 0")
 def testing_conventions(spark, d):
-    f = files(spark).select(F.xxhash64("path").alias("seq"), "path")
+    f = files(spark, d).select(F.xxhash64("path").alias("seq"), "path")
     return findings.testing(f)
 
 

@@ -15,13 +15,13 @@ KEYWORDS = ", ".join(f"'{k}'" for k in P.KEYWORDS)
 
 @query(rf"WITH {FILES}, c AS (SELECT path, list_filter(regexp_extract_all(content, '([A-Za-z_$][\w$]*)\s*\(', 1), lambda w: w NOT IN ({KEYWORDS})) AS c FROM files) SELECT path, len(list_distinct(c))::INTEGER AS n, coalesce(array_to_string(list_sort(list_distinct(c)), ' '), '') AS callees FROM c")
 def callees(spark, d):
-    f = files(spark).select("path", P.callees(F.col("content")).alias("c"))
+    f = files(spark, d).select("path", P.callees(F.col("content")).alias("c"))
     return f.select("path", F.size("c").alias("n"), F.array_join(F.array_sort("c"), " ").alias("callees"))
 
 
 @query(rf"WITH {FILES} SELECT path, sha256(content) AS content_hash, len(string_split(content, chr(10)))::INTEGER AS total_lines, len(list_filter(string_split(content, chr(10)), lambda t: regexp_matches(t, '^(export\s+)?class\s+(\w+)')))::INTEGER AS n_classes, regexp_matches(content, '(^|\n)((export\s+)?(async\s+)?function\s+\w+\s*\(|(export\s+)?const\s+\w+\s*=\s*(async\s*)?\([^)]*\)\s*=>|(export\s+)?const\s+\w+\s*=\s*async\s+function|(export\s+)?class\s|import\s+(\{{|\w+\s+from)|export\s+(default\s+)?(async\s+)?(function|class|const|let|var))') AS has_structure FROM files")
 def fingerprint_files(spark, d):
-    return P.fingerprints(files(spark)).select("path", "content_hash", "total_lines", F.size("classes").alias("n_classes"), "has_structure")
+    return P.fingerprints(files(spark, d)).select("path", "content_hash", "total_lines", F.size("classes").alias("n_classes"), "has_structure")
 
 
 OTHER = [("a.go", 'package x\nimport "fmt"\nfunc (s *S) Run(a int) error {\n}\ntype S struct {\n}\nfunc main() {\n}\n'), ("B.java", "import java.util.List;\npublic class B extends A {\n  public static int go(int x) {\n  }\n  private void stop() {\n  }\n}\n"), ("c.rb", "def x")]

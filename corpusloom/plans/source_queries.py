@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.extend import CachedService, Graph, TrigramService, enrich
-from corpusloom.plans import code_rows as C
-from corpusloom.plans.build_queries import FILES, RESOLVED, TEXTS, files, rows
+from corpusloom.plans.build_queries import ASSET_SQL, CODE, FORMS, PATHS, TEXTS, built
+from corpusloom.plans.code_files import asset_paths, code_files
 from corpusloom.plans.registry import query, values
 from corpusloom.plans.tables import EDGES, NODES, edges, nodes, table
 from corpusloom.sources import corpus
@@ -19,18 +19,19 @@ def corpus_scan(spark, d):
     return docs.select(F.concat("source", F.lit("/doc_"), "doc_id", F.lit("."), "lang").alias("path"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query(f"{RESOLVED} SELECT r.path, r.resolved AS related, substring(f.content, 1, 40) AS snippet FROM res r JOIN files f ON f.path = r.resolved")
+@query(f"{CODE} SELECT path, target AS related, CASE kind WHEN 'ts' THEN '/* function ' WHEN 'go' THEN 'package main' ELSE 'package shop' END AS snippet FROM r")
 def related_files(spark, d):
-    f, _, resolved, _ = rows(spark)
-    return corpus.related(resolved, f, 40)
+    files = code_files(spark, d)
+    return corpus.related(built(spark, d, files)[1].imports, files, 12)
 
 
-NODE_IDS = [("function:src/utils.ts:helper",), ("file:src/utils.ts",), ("class:src/none.ts:X",)]
-
-
-@query(f"WITH {FILES} SELECT 'src/utils.ts' AS path, content AS code FROM files WHERE path = 'src/utils.ts' UNION ALL SELECT 'src/none.ts', ''")
+@query(f"{CODE} SELECT DISTINCT path, path IN (SELECT path FROM f) AS found FROM (SELECT path FROM functions UNION ALL SELECT replace(path, '/m', '/gone') FROM classes)")
 def context_load(spark, d):
-    return corpus.context(spark.createDataFrame(NODE_IDS, "node_id string"), files(spark))
+    files = code_files(spark, d)
+    _, s = built(spark, d, files)
+    of = lambda kind, path: s.symbols.where(F.col("kind") == kind).select(F.concat_ws(":", "kind", path, "name").alias("node_id"))
+    ids = of("function", F.col("path")).union(of("class", F.regexp_replace("path", "/m", "/gone")))
+    return corpus.context(ids, files).select("path", (F.col("code") != "").alias("found"))
 
 
 RAW = [("f1", "fault", 0.5), ("f2", "style", None), ("f3", "wrong", 0.5), (None, "fault", 0.2), ("f5", "fault", 1.5)]
@@ -106,9 +107,9 @@ class Vectors:
         raise AssertionError("an enricher without its input must not run")
 
 
-@query(f"WITH {NODES} SELECT type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'document', 2 UNION ALL SELECT 'pipeline', 2 UNION ALL SELECT 'schema', 2 UNION ALL SELECT 'config', 5".replace("SELECT type, count(*) AS n FROM nodes GROUP BY type", "SELECT type, count(*) + CASE type WHEN 'service' THEN 2 ELSE 0 END AS n FROM nodes GROUP BY type"))
+@query(f"WITH {NODES}, {PATHS}, a AS (SELECT type FROM nodes UNION ALL SELECT {ASSET_SQL} FROM p) SELECT type, count(*) AS n FROM a WHERE type IS NOT NULL GROUP BY type")
 def enrich_layers(spark, d):
-    g = enrich(Graph(nodes(spark, d).select("id", "type"), edges(spark, d)), [Vectors(), Assets()], {"paths": spark.createDataFrame(C.PATHS, "path string")})
+    g = enrich(Graph(nodes(spark, d).select("id", "type"), edges(spark, d)), [Vectors(), Assets()], {"paths": asset_paths(spark, d, FORMS)})
     return g.nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
