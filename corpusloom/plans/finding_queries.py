@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import caches, extract, findings, patch, search, semantic
 from corpusloom.plans.build_queries import FILES, LINES, files
-from corpusloom.plans.registry import literal, query, values
-from corpusloom.plans.tables import NODES, nodes, table
+from corpusloom.plans.registry import literal, query
+from corpusloom.plans.tables import NODES, nodes, spread, spread_sql, table
 
 SCAN = rf"""WITH {FILES}, {LINES},
 dc AS (SELECT path, line, unnest(regexp_extract_all(t, '(\w+)\.(\w+)\(', 1)) AS v, unnest(regexp_extract_all(t, '(\w+)\.(\w+)\(', 2)) AS m FROM l),
@@ -39,9 +39,14 @@ def _found(spark, d):
     return e.select(F.col("event_id").cast("string").alias("id"), kind.alias("type"), F.concat(F.lit("error of user "), "user_id").alias("description"), F.least(F.lit(1.0), F.col("value") / 100).alias("confidence"), F.array(F.concat(F.lit("customer:"), "user_id")).alias("node_ids"))
 
 
-@query(f"WITH {NODES}, {FOUND} SELECT ref AS source, 'fault:' || event_id AS target, 'relates_to_fault' AS type, round(confidence, 6) AS weight FROM fnd WHERE type <> 'pattern' AND ('file:' || ref) IN (SELECT id FROM nodes) UNION ALL SELECT 'file:' || ref, 'fault:' || event_id, 'relates_to_fault', round(confidence, 6) FROM fnd WHERE type <> 'pattern' AND FALSE")
+@query(f"WITH {NODES}, {FOUND}, k AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'class:none:' || ref WHEN event_id % 4 = 1 THEN ref ELSE 'file:' || ref END AS r FROM fnd WHERE type <> 'pattern') SELECT CASE WHEN r LIKE 'customer:%' THEN 'file:' || r ELSE r END AS source, 'fault:' || event_id AS target, 'relates_to_fault' AS type, round(confidence, 6) AS weight FROM k WHERE event_id % 4 > 0 AND ref IN (SELECT id FROM nodes)")
 def findings_to_missing_files(spark, d):
-    return findings.faults(_found(spark, d), nodes(spark, d))[1].select("source", "target", "type", F.round("weight", 6).alias("weight"))
+    """References of three kinds: one that names nothing, a bare path and a file's id."""
+    at = F.col("id").cast("long") % 4
+    ref = F.get("node_ids", F.lit(0))
+    found = _found(spark, d).withColumn("node_ids", F.array(F.when(at == 0, F.concat(F.lit("class:none:"), ref)).when(at == 1, ref).otherwise(F.concat(F.lit("file:"), ref))))
+    named = nodes(spark, d).select(F.concat(F.lit("file:"), "id").alias("id"))
+    return findings.faults(found, named)[1].select("source", "target", "type", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {NODES}, {FOUND} SELECT 'file:' || ref AS source, 'fault:' || event_id AS target, 'relates_to_fault' AS type, round(confidence, 6) AS weight FROM fnd WHERE type <> 'pattern' AND ref IN (SELECT id FROM nodes)")
@@ -59,47 +64,59 @@ CHANGES = [("p1", 0, "src/a.ts", "Add check", 0.8), ("p1", 1, "package.json", "B
 PLAN_FINDINGS = [("p1", "f1", 0.7), ("p1", "f2", 0.9), ("p2", "f3", 0.5)]
 
 
-@query(f"WITH {values('c', 'p, i, path, d, conf', CHANGES)}, {values('f', 'p, id, conf', PLAN_FINDINGS)} SELECT 'fix:' || p || ':' || i AS source, 'file:' || path AS target, 'fixes' AS type, conf::DOUBLE AS weight FROM c WHERE path = 'src/a.ts' UNION ALL SELECT 'fix:' || c.p || ':' || i, 'fault:' || f.id, 'mitigates', least(c.conf, f.conf)::DOUBLE FROM c JOIN f ON c.p = f.p")
+_C = spread_sql("c0", "pl, n, path, dsc, conf", CHANGES)
+_F = spread_sql("f0", "pl, id, conf", PLAN_FINDINGS)
+PLAN = f"{_C}, {_F}, c AS (SELECT *, pl || '-' || g AS plan, g || '/' || path AS file FROM c0), f AS (SELECT *, pl || '-' || g AS plan, id || '-' || p AS finding FROM f0)"
+
+
+def _plan(spark, d):
+    c = spread(spark, d, CHANGES, "plan_id string, idx int, file_path string, description string, confidence double")
+    f = spread(spark, d, PLAN_FINDINGS, "plan_id string, id string, confidence double")
+    plan = F.concat_ws("-", "plan_id", "g")
+    c = c.select(plan.alias("plan_id"), "idx", F.concat_ws("/", F.col("g").cast("string"), "file_path").alias("file_path"), "description", "confidence")
+    return c, f.select(plan.alias("plan_id"), F.concat_ws("-", "id", F.col("p").cast("string")).alias("id"), "confidence")
+
+
+@query(f"WITH {PLAN} SELECT 'fix:' || plan || ':' || n AS source, 'file:' || file AS target, 'fixes' AS type, conf::DOUBLE AS weight FROM c WHERE path = 'src/a.ts' UNION ALL SELECT 'fix:' || c.plan || ':' || n, 'fault:' || finding, 'mitigates', least(c.conf, f.conf)::DOUBLE FROM c JOIN f ON c.plan = f.plan")
 def plan_to_fixes(spark, d):
-    c = spark.createDataFrame(CHANGES, "plan_id string, idx int, file_path string, description string, confidence double")
-    f = spark.createDataFrame(PLAN_FINDINGS, "plan_id string, id string, confidence double")
-    return findings.fixes(c, f, spark.createDataFrame([("file:src/a.ts",)], "id string"))[1]
+    c, f = _plan(spark, d)
+    return findings.fixes(c, f, c.where(F.col("file_path").endswith("src/a.ts")).select(F.concat(F.lit("file:"), "file_path").alias("id")))[1]
 
 
-@query(f"WITH {values('c', 'p, i, path, d, conf', CHANGES)} SELECT 'fix:' || p || ':' || i AS id, CASE path WHEN 'package.json' THEN 'dependency' WHEN 'conf/x.yaml' THEN 'config' WHEN 'src/b.ts' THEN 'refactor' ELSE 'code' END AS fix_type FROM c")
+@query(f"WITH {PLAN} SELECT 'fix:' || plan || ':' || n AS id, CASE path WHEN 'package.json' THEN 'dependency' WHEN 'conf/x.yaml' THEN 'config' WHEN 'src/b.ts' THEN 'refactor' ELSE 'code' END AS fix_type FROM c")
 def fix_types(spark, d):
-    c = spark.createDataFrame(CHANGES, "plan_id string, idx int, file_path string, description string, confidence double")
-    f = spark.createDataFrame(PLAN_FINDINGS, "plan_id string, id string, confidence double")
-    return findings.fixes(c, f, spark.createDataFrame([], "id string"))[0].select("id", "fix_type")
+    c, f = _plan(spark, d)
+    return findings.fixes(c, f, c.select(F.lit("").alias("id")).limit(0))[0].select("id", "fix_type")
 
 
 PATTERNS = [("t1", "fault", "null", 3), ("t1", "fix", "null-safety", 9), ("t2", "fault", "unused", 1)]
 SOURCES = [("t1", "fault:f1"), ("t1", "fault:f2"), ("t2", "fix:p:0")]
 
 
-@query(f"WITH {values('p', 't, kind, id, n', PATTERNS)}, {values('s', 't, node', SOURCES)} SELECT 'pattern:' || kind || ':' || id AS source, node AS target, 'learned_from' AS type, least(1.0, 0.5 + 0.1 * n)::DOUBLE AS weight FROM p JOIN s ON p.t = s.t")
+@query(f"WITH {spread_sql('p0', 't, kind, id, n', PATTERNS)}, {spread_sql('s0', 't, node', SOURCES)} SELECT 'pattern:' || kind || ':' || id || p0.g AS source, node || p0.g AS target, 'learned_from' AS type, least(1.0, 0.5 + 0.1 * n)::DOUBLE AS weight FROM p0 JOIN s0 ON p0.t = s0.t AND p0.g = s0.g")
 def patterns_learned_from(spark, d):
-    p = spark.createDataFrame(PATTERNS, "task_id string, kind string, id string, frequency long")
-    return findings.learned_from(p, spark.createDataFrame(SOURCES, "task_id string, node string"))
+    task, g = F.concat_ws("-", "task_id", "g").alias("task_id"), F.col("g").cast("string")
+    p = spread(spark, d, PATTERNS, "task_id string, kind string, id string, frequency long").select(task, "kind", F.concat("id", g).alias("id"), "frequency")
+    return findings.learned_from(p, spread(spark, d, SOURCES, "task_id string, node string").select(task, F.concat("node", g).alias("node")))
 
 
 DESCRIBED = [(1, "fault", "Potential null access in src/a.ts at line 4", "src/a.ts"), (2, "style", "Unused variable x", "src/b.js"), (3, "fault", "null again in b.py", "b.py"), (4, "insight", "null ignored", "c.ts"), (5, "fault", "Weird  thing happened  here today", "z.rb"), (6, "style", "Unused import", "q.py")]
 
 
-@query(f"""WITH {values('f', 's, type, dsc, ref', DESCRIBED)}, n AS (SELECT s, ref, trim(regexp_replace(regexp_replace(regexp_replace(dsc, ' in [\\w./-]+\\.\\w+', '', 'g'), ' at line \\d+', '', 'g'), '\\s+', ' ', 'g')) AS t FROM f WHERE type IN ('fault', 'style')),
+@query(f"""WITH {spread_sql('f', 'k, type, dsc, ref', DESCRIBED)}, n AS (SELECT p AS s, ref, trim(regexp_replace(regexp_replace(regexp_replace(dsc, ' in [\\w./-]+\\.\\w+', '', 'g'), ' at line \\d+', '', 'g'), '\\s+', ' ', 'g')) AS t FROM f WHERE type IN ('fault', 'style')),
 k AS (SELECT *, CASE WHEN contains(lower(t), 'null') THEN 'null' WHEN contains(lower(t), 'unused') THEN 'unused' ELSE array_to_string(list_slice(regexp_split_to_array(lower(t), '\\s+'), 1, 3), '-') END AS key, regexp_extract(ref, '(\\.[^./]+)$', 1) AS x FROM n)
 SELECT key AS id, arg_min(t, s) AS pattern, arg_min(CASE WHEN x IN ('.ts', '.tsx') THEN 'typescript' WHEN x IN ('.js', '.jsx') THEN 'javascript' WHEN x = '.py' THEN 'python' ELSE 'unknown' END, s) AS language, count(*) AS frequency FROM k GROUP BY key""")
 def fault_patterns(spark, d):
-    return findings.fault_patterns(spark.createDataFrame(DESCRIBED, "seq int, type string, description string, ref string"))
+    return findings.fault_patterns(spread(spark, d, DESCRIBED, "k int, type string, description string, ref string").withColumnRenamed("p", "seq"))
 
 
 FIXED = [("Use optional chaining here",), ("switch to logger",), ("wrap in try/catch",), ("remove dead code",), ("something else",), ("a?.b",)]
 
 
-@query(f"WITH {values('f', 'd', FIXED)} SELECT d AS description, CASE WHEN regexp_matches(lower(d), 'optional chaining|\\?\\.|null') THEN 'null safety' WHEN regexp_matches(lower(d), 'logger|console\\.log') THEN 'structured logger' WHEN regexp_matches(lower(d), 'catch|error handling') THEN 'try/catch' WHEN regexp_matches(lower(d), 'unused|dead code') THEN 'remove unused' ELSE d END AS label FROM f")
+@query(f"WITH {spread_sql('f', 'd', FIXED)} SELECT p, d AS description, CASE WHEN regexp_matches(lower(d), 'optional chaining|\\?\\.|null') THEN 'null safety' WHEN regexp_matches(lower(d), 'logger|console\\.log') THEN 'structured logger' WHEN regexp_matches(lower(d), 'catch|error handling') THEN 'try/catch' WHEN regexp_matches(lower(d), 'unused|dead code') THEN 'remove unused' ELSE d END AS label FROM f")
 def fix_patterns(spark, d):
-    f = spark.createDataFrame(FIXED, "description string")
-    return f.select("description", T.fix_label(f.description).alias("label"))
+    f = spread(spark, d, FIXED, "description string")
+    return f.select("p", "description", T.fix_label(f.description).alias("label"))
 
 
 @query("SELECT event_type AS id, count(*)::BIGINT + 2 AS frequency FROM events GROUP BY event_type UNION ALL SELECT 'old', 5")
@@ -119,9 +136,9 @@ def convention_upsert(spark, d):
 NAMES = [(1, "function", "doThing"), (2, "function", "makeOther"), (3, "function", "readAll"), (4, "function", "plain"), (5, "function", "writeAll"), (6, "class", "Alpha"), (7, "class", "beta"), (8, "class", "Gamma")]
 
 
-@query(f"WITH {values('s', 'seq, kind, name', NAMES)} SELECT 'naming' AS category, 'Functions use camelCase' AS rule, (SELECT string_agg(name, ',' ORDER BY seq) FROM (SELECT * FROM s WHERE kind = 'function' AND regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches(name, '[A-Z]') ORDER BY seq LIMIT 3)) AS examples, 0.8::DOUBLE AS confidence")
+@query(f"WITH {spread_sql('s', 'k, kind, name', NAMES)}, f AS (SELECT *, CASE kind WHEN 'class' THEN regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') ELSE regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches(name, '[A-Z]') END AS ok FROM s), r AS (SELECT kind, avg(ok::INT) AS a FROM f GROUP BY kind HAVING avg(ok::INT) > 0.7) SELECT 'naming' AS category, CASE kind WHEN 'class' THEN 'Classes use PascalCase' ELSE 'Functions use camelCase' END AS rule, (SELECT string_agg(name, ',' ORDER BY p) FROM (SELECT * FROM f WHERE f.kind = r.kind AND ok ORDER BY p LIMIT 3)) AS examples, round(a, 6) AS confidence FROM r")
 def naming_conventions(spark, d):
-    return findings.naming(spark.createDataFrame(NAMES, "seq int, kind string, name string"))
+    return findings.naming(spread(spark, d, NAMES, "k int, kind string, name string").withColumnRenamed("p", "seq"))
 
 
 @query(f"WITH {FILES} SELECT 'testing' AS category, 'Test files use .test. suffix' AS rule, least(1.0, round(0.2 * count(*), 6))::DOUBLE AS confidence FROM files WHERE contains(path, '.test.') OR contains(path, '.spec.') HAVING count(*) > 0")
@@ -130,12 +147,10 @@ def testing_conventions(spark, d):
     return findings.testing(f)
 
 
-EXPORTED = [("src/index.ts", "a"), ("src/index.ts", "b"), ("src/index.ts", "c"), ("src/x.ts", "d")]
-
-
-@query("SELECT 'architecture' AS category, 'Modules use barrel exports (index.ts)' AS rule, 0.7::DOUBLE AS confidence")
+@query("SELECT 'architecture' AS category, 'Modules use barrel exports (index.ts)' AS rule, 0.7::DOUBLE AS confidence FROM (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM part GROUP BY p_brand)) WHERE n > 2")
 def architecture_conventions(spark, d):
-    return findings.architecture(spark.createDataFrame(EXPORTED, "path string, name string"))
+    """Every brand a folder whose index file exports its parts."""
+    return findings.architecture(table(spark, d, "part").select(F.concat("p_brand", F.lit("/index.ts")).alias("path"), F.col("p_name").alias("name")))
 
 
 @query("WITH c AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rule) AS r FROM (SELECT DISTINCT role AS category, length(text) % 7 AS rule FROM conversations)) SELECT category, count(*) AS rules FROM c WHERE category = 'user' GROUP BY category")
@@ -144,9 +159,9 @@ def conventions_by_category(spark, d):
     return c.where("category = 'user'").groupBy("category").agg(F.count("*").alias("rules"))
 
 
-@query("WITH f AS (SELECT user_id AS task, event_id AS seq, CASE WHEN event_type = 'error' AND value > 60 THEN 'security' WHEN event_type = 'error' THEN 'bug' ELSE 'style' END AS type, event_type AS dsc FROM events WHERE value > 40) SELECT task, CASE WHEN bool_or(type = 'security') THEN 'critical' WHEN bool_or(type = 'bug') THEN 'high' ELSE 'medium' END AS severity, round(least(0.3 + 0.15 * count(*), 0.9), 6)::DOUBLE AS confidence, string_agg(dsc, '; ' ORDER BY seq) AS root_cause FROM f GROUP BY task")
+@query("WITH f AS (SELECT user_id AS task, event_id AS seq, CASE WHEN event_type = 'error' AND value > 60 THEN 'security' WHEN event_type = 'error' THEN 'bug' ELSE 'style' END AS type, event_type AS dsc FROM events) SELECT task, CASE WHEN bool_or(type = 'security') THEN 'critical' WHEN bool_or(type = 'bug') THEN 'high' ELSE 'medium' END AS severity, round(least(0.3 + 0.15 * count(*), 0.9), 6)::DOUBLE AS confidence, string_agg(dsc, '; ' ORDER BY seq) AS root_cause FROM f GROUP BY task")
 def severity_rollup(spark, d):
-    e = table(spark, d, "events").where("value > 40")
+    e = table(spark, d, "events")
     kind = F.when((F.col("event_type") == "error") & (F.col("value") > 60), "security").when(F.col("event_type") == "error", "bug").otherwise("style")
     return findings.root_cause(e.select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("description")))
 
@@ -155,9 +170,11 @@ CODE = [("t", "a.ts", "x.go(); console.log(1)"), ("t", "b.ts", "const q = 1"), (
 SAID = [("t", "Potential null access"), ("t", "console.log used"), ("u", "Empty catch block"), ("u", "undefined maybe")]
 
 
-@query(rf"WITH {values('c', 't, path, code', CODE)}, {values('f', 't, d', SAID)}, m AS (SELECT DISTINCT c.t AS task, path, code, 'Add null-safety checks' AS description, regexp_replace(code, '(\w+)\.(\w+)\(', '\1?.\2(', 'g') AS modified FROM c JOIN f USING (t) WHERE regexp_matches(lower(d), 'null|undefined') UNION SELECT DISTINCT c.t, path, code, 'Replace console logging with structured logger', regexp_replace(code, 'console\.(log|error)\(', 'logger.info(', 'g') FROM c JOIN f USING (t) WHERE contains(lower(d), 'console.log') UNION SELECT DISTINCT c.t, path, code, 'Add error handling to catch block', regexp_replace(code, 'catch\s*\(([^)]*)\)\s*\{{\s*\}}', 'catch (\1) {{ /* TODO: handle error */ }}', 'g') FROM c JOIN f USING (t) WHERE contains(lower(d), 'empty catch')), k AS (SELECT * FROM m WHERE modified <> code) SELECT task, path, description, modified FROM k UNION ALL SELECT t, path, 'Review and address: it', NULL FROM c WHERE NOT EXISTS (FROM k WHERE k.task = c.t AND k.path = c.path)")
+@query(rf"WITH {spread_sql('c0', 't, path, code', CODE)}, {spread_sql('f0', 't, d', SAID)}, c AS (SELECT t || '-' || p // 12 AS t, p || path AS path, code FROM c0), f AS (SELECT t || '-' || p // 12 AS t, d FROM f0), m AS (SELECT DISTINCT c.t AS task, path, code, 'Add null-safety checks' AS description, regexp_replace(code, '(\w+)\.(\w+)\(', '\1?.\2(', 'g') AS modified FROM c JOIN f USING (t) WHERE regexp_matches(lower(d), 'null|undefined') UNION SELECT DISTINCT c.t, path, code, 'Replace console logging with structured logger', regexp_replace(code, 'console\.(log|error)\(', 'logger.info(', 'g') FROM c JOIN f USING (t) WHERE contains(lower(d), 'console.log') UNION SELECT DISTINCT c.t, path, code, 'Add error handling to catch block', regexp_replace(code, 'catch\s*\(([^)]*)\)\s*\{{\s*\}}', 'catch (\1) {{ /* TODO: handle error */ }}', 'g') FROM c JOIN f USING (t) WHERE contains(lower(d), 'empty catch')), k AS (SELECT * FROM m WHERE modified <> code) SELECT task, path, description, modified FROM k UNION ALL SELECT t, path, 'Review and address: it', NULL FROM c WHERE NOT EXISTS (FROM k WHERE k.task = c.t AND k.path = c.path)")
 def solution_fallback(spark, d):
-    return findings.solutions(spark.createDataFrame(SAID, "task string, description string"), spark.createDataFrame(CODE, "task string, path string, code string"), "it")
+    task = F.concat_ws("-", "task", F.floor(F.col("p") / 12).cast("string")).alias("task")
+    said = spread(spark, d, SAID, "task string, description string").select(task, "description")
+    return findings.solutions(said, spread(spark, d, CODE, "task string, path string, code string").select(task, F.concat(F.col("p").cast("string"), "path").alias("path"), "code"), "it")
 
 
 @query("SELECT event_type, string_agg(event_id::VARCHAR, '; ' ORDER BY event_id)[:200] AS ids, round(avg(value), 6) AS avg_confidence FROM events WHERE value < 20 GROUP BY event_type")
@@ -175,9 +192,9 @@ def top_patterns(spark, d):
 TARGETS = [("n1", "src/a.ts"), ("n2", None), ("n3", "src/c.ts")]
 
 
-@query(f"WITH {values('n', 'id, path', TARGETS)} SELECT id FROM n WHERE path IS NULL OR path = 'src/a.ts'")
+@query(f"WITH {spread_sql('n', 'id, path', TARGETS)} SELECT id || p AS id FROM n WHERE path IS NULL OR path = 'src/a.ts'")
 def target_filter(spark, d):
-    n = spark.createDataFrame(TARGETS, "id string, path string")
+    n = spread(spark, d, TARGETS, "id string, path string").withColumn("id", F.concat("id", F.col("p").cast("string")))
     wanted = ["src/a.ts"]
     return n.where(F.lit(not wanted) | F.col("path").isNull() | F.col("path").isin(*wanted)).select("id")
 
@@ -185,42 +202,49 @@ def target_filter(spark, d):
 # ---- semantic layer
 
 UNITS = [("f1", "getUserApi"), ("f2", "OrderService"), ("f3", "runQuery"), ("f4", "renderView"), ("f5", "stringHelper"), ("f6", "xyz"), ("f7", "logError"), ("f8", "authLogin")]
+
+
+def _units(spark, d):
+    return spread(spark, d, UNITS, "k string, name string").select(F.concat_ws("-", "k", F.col("p").cast("string")).alias("id"), "name")
+
+
 LAYER = "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{'|'.join(ws)}') THEN '{label}'" for label, ws, _ in T.LAYERS) + " ELSE 'unknown' END"
 
 
-@query(f"WITH {values('u', 'id, name', UNITS)}, l AS (SELECT id, {LAYER} AS layer FROM u) SELECT id, layer, CASE layer WHEN 'unknown' THEN 0.5 WHEN 'utility' THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM l")
+@query(f"WITH {spread_sql('u0', 'k, name', UNITS)}, u AS (SELECT k || '-' || p AS id, name FROM u0), l AS (SELECT id, {LAYER} AS layer FROM u) SELECT id, layer, CASE layer WHEN 'unknown' THEN 0.5 WHEN 'utility' THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM l")
 def architecture_layer(spark, d):
-    return semantic.layers(spark.createDataFrame(UNITS, "id string, name string"))
+    return semantic.layers(_units(spark, d))
 
 
-@query(f"WITH {values('u', 'id, name', UNITS)} SELECT {LAYER} AS layer, count(*) AS members FROM u GROUP BY 1")
+@query(f"WITH {spread_sql('u0', 'k, name', UNITS)}, u AS (SELECT k || '-' || p AS id, name FROM u0) SELECT {LAYER} AS layer, count(*) AS members FROM u GROUP BY 1")
 def layer_members(spark, d):
-    return semantic.layers(spark.createDataFrame(UNITS, "id string, name string")).groupBy("layer").agg(F.count("*").alias("members"))
+    return semantic.layers(_units(spark, d)).groupBy("layer").agg(F.count("*").alias("members"))
 
 
-@query(f"WITH {values('u', 'id, name', UNITS)} SELECT id, CASE WHEN t = '' THEN 'general' ELSE t END AS tags FROM (SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(name), '{'|'.join(ws)}') THEN '{tag}' END" for tag, ws in T.TAGS) + ") AS t FROM u)")
+@query(f"WITH {spread_sql('u0', 'k, name', UNITS)}, u AS (SELECT k || '-' || p AS id, name FROM u0) SELECT id, CASE WHEN t = '' THEN 'general' ELSE t END AS tags FROM (SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(name), '{'|'.join(ws)}') THEN '{tag}' END" for tag, ws in T.TAGS) + ") AS t FROM u)")
 def node_tags(spark, d):
-    u = spark.createDataFrame(UNITS, "id string, name string")
+    u = _units(spark, d)
     return u.select("id", F.array_join(T.tags(u.name), ",").alias("tags"))
 
 
 FUNCS = [("a.ts", n) for n in ("validateInput", "parseRow", "save", "load")] + [("b.ts", n) for n in ("one", "formatTwo", "three")] + [("c.ts", "alone")]
 LINKS = [("a.ts", "parseRow", "save"), ("a.ts", "validateInput", "parseRow"), ("a.ts", "save", "ghost"), ("a.ts", "save", "save")]
-CAND = f"{values('f', 'path, n', FUNCS)}, {values('c', 'path, a, b', LINKS)}, k AS (SELECT DISTINCT path, a, b FROM (SELECT path, a, b FROM c UNION ALL SELECT path, b, a FROM c) x WHERE a <> b AND EXISTS (FROM f WHERE f.path = x.path AND f.n = a) AND EXISTS (FROM f WHERE f.path = x.path AND f.n = b)), cand AS (SELECT * FROM k UNION ALL SELECT x.path, x.n, y.n FROM f x JOIN f y ON x.path = y.path AND x.n <> y.n WHERE x.path NOT IN (SELECT path FROM k))"
+CAND = f"{spread_sql('f0', 'path, n', FUNCS)}, {spread_sql('c0', 'path, a, b', LINKS)}, f AS (SELECT p // 8 || path AS path, n FROM f0), c AS (SELECT p // 8 || path AS path, a, b FROM c0), k AS (SELECT DISTINCT path, a, b FROM (SELECT path, a, b FROM c UNION ALL SELECT path, b, a FROM c) x WHERE a <> b AND EXISTS (FROM f WHERE f.path = x.path AND f.n = a) AND EXISTS (FROM f WHERE f.path = x.path AND f.n = b)), cand AS (SELECT * FROM k UNION ALL SELECT x.path, x.n, y.n FROM f x JOIN f y ON x.path = y.path AND x.n <> y.n WHERE x.path NOT IN (SELECT path FROM k))"
 
 
-def _candidates(spark):
-    return semantic.pairs(spark.createDataFrame(FUNCS, "path string, name string"), spark.createDataFrame(LINKS, "path string, from string, to string"))
+def _candidates(spark, d):
+    path = F.concat(F.floor(F.col("p") / 8).cast("string"), "path").alias("path")
+    return semantic.pairs(spread(spark, d, FUNCS, "path string, name string").select(path, "name"), spread(spark, d, LINKS, "path string, from string, to string").select(path, "from", "to"))
 
 
 @query(f"WITH {CAND} SELECT path, a, b FROM cand")
 def semantic_pairs(spark, d):
-    return _candidates(spark)
+    return _candidates(spark, d)
 
 
 @query(f"WITH {CAND} SELECT 'function:' || path || ':' || a AS source, 'function:' || path || ':' || b AS target, CASE WHEN contains(lower(a), 'validate') THEN 'validates' ELSE 'transforms' END AS type, 0.6::DOUBLE AS weight FROM cand WHERE regexp_matches(lower(a), 'validate|parse|format|transform|convert')")
 def semantic_edges(spark, d):
-    return semantic.semantic_edges(_candidates(spark))
+    return semantic.semantic_edges(_candidates(spark, d))
 
 
 @query(None)
@@ -256,50 +280,68 @@ def _block(title, url, snippet):
 
 
 PAGE = "<html>" + _block("Fix <b>map</b> errors", "https://stackoverflow.com/q/1", "Use &quot;?.&quot; on map") + _block("Unrelated", "https://example.org/x", "nothing") + _block("Map guide", "/l/?uddg=https%3A%2F%2Fmedium.com%2Fp&amp;rut=1", "") + _block("On github", "https://www.github.com/a", "a repo") + "</html>"
-PARSED = [("map undefined", 0, "Fix map errors", "https://stackoverflow.com/q/1", 'Use "?." on map', "stackoverflow", 0.95), ("map undefined", 2, "Map guide", "https://medium.com/p", "Map guide", "medium", 0.70), ("map undefined", 3, "On github", "https://www.github.com/a", "a repo", "github", 0.88)]
+BLOCKS = [("Fix <b>map</b> errors", "https://stackoverflow.com/q/", "Use &quot;?.&quot; on map", "map"), ("Unrelated", "https://example.org/", "nothing", "zzz"), ("Map guide", "/l/?uddg=https%3A%2F%2Fmedium.com%2Fp&amp;rut=", "", "map"), ("On github", "https://www.github.com/a", "a repo", "zzz")]
+PARSED = [("Fix map errors", "https://stackoverflow.com/q/", 'Use "?." on map', "stackoverflow", 0.95), (None, None, None, None, None), ("Map guide", "https://medium.com/p", "Map guide", "medium", 0.70), ("On github", "https://www.github.com/a", "a repo", "github", 0.88)]
 
 
-@query(f"WITH {values('r', 'query, position, title, url, snippet, source, score', PARSED)} SELECT query, position, title, url, snippet, source, score::DOUBLE AS score FROM r")
+@query(f"WITH {spread_sql('r', 'title, url, snippet, source, score', PARSED)} SELECT 'map undefined ' || (p // 16) AS query, (p % 16)::INTEGER AS position, title, CASE WHEN p % 4 = 2 THEN url ELSE url || p END AS url, snippet, source, score::DOUBLE AS score FROM r WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p // 16 ORDER BY p) <= 5")
 def parse_result_page(spark, d):
-    return search.parse_page(spark.createDataFrame([("map undefined", PAGE), ("zzz", "<html></html>")], "query string, html string"))
+    """A page of up to 16 results for every 16 parts."""
+    b = spread(spark, d, BLOCKS, "title string, url string, snippet string, word string").select("p", F.floor(F.col("p") / 16).alias("page"), F.lit(_block("%T", "%U", "%S")).alias("form"), "title", F.concat("url", F.col("p").cast("string")).alias("url"), "snippet")
+    block = F.replace(F.replace(F.replace("form", F.lit("%T"), F.col("title")), F.lit("%U"), F.col("url")), F.lit("%S"), F.col("snippet"))
+    pages = b.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", block.alias("b")))), lambda x: x["b"]), "").alias("body"))
+    pages = pages.select(F.concat(F.lit("map undefined "), F.col("page").cast("string")).alias("query"), F.concat(F.lit("<html>"), "body", F.lit("</html>")).alias("html"))
+    return search.parse_page(pages)
 
 
 SCORED = [("q1", 0, "s0", 0.3), ("q1", 1, "s1", 0.6), ("q1", 2, "s2", 0.95), ("q1", 3, "s3", 0.6), ("q2", 0, "s4", 0.5), ("q3", 0, "s5", 0.9)]
-SCORED_TYPE = "query string, position int, snippet string, score double"
 
 
-@query(f"WITH {values('r', 'query, position, snippet, score', SCORED)} SELECT query, position, snippet FROM r WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY query ORDER BY position) <= 2")
+def _scored(spark, d):
+    r = spread(spark, d, SCORED, "q string, n int, snippet string, score double")
+    return r.select(F.concat_ws("-", "q", (F.col("g") % 40).cast("string")).alias("query"), F.col("p").alias("position"), F.concat("snippet", F.col("p").cast("string")).alias("snippet"), "score")
+
+
+@query(f"WITH {spread_sql('r0', 'q, n, snippet, score', SCORED)}, r AS (SELECT q || '-' || g % 40 AS query, p AS position, snippet || p AS snippet, score FROM r0) SELECT query, position, snippet FROM r WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY query ORDER BY position) <= 2")
 def supporting_results(spark, d):
-    return search.supporting(spark.createDataFrame(SCORED, SCORED_TYPE)).select("query", "position", "snippet")
+    return search.supporting(_scored(spark, d)).select("query", "position", "snippet")
 
 
-@query(f"WITH {values('r', 'query, position, snippet, score', SCORED)} SELECT query, snippet, row_number() OVER (PARTITION BY query ORDER BY score DESC, position)::INTEGER AS rank FROM r QUALIFY rank <= 5")
+@query(f"WITH {spread_sql('r0', 'q, n, snippet, score', SCORED)}, r AS (SELECT q || '-' || g % 40 AS query, p AS position, snippet || p AS snippet, score FROM r0) SELECT query, snippet, row_number() OVER (PARTITION BY query ORDER BY score DESC, position)::INTEGER AS rank FROM r QUALIFY rank <= 5")
 def results_by_credibility(spark, d):
-    return search.by_credibility(spark.createDataFrame(SCORED, SCORED_TYPE)).select("query", "snippet", "rank")
+    return search.by_credibility(_scored(spark, d)).select("query", "snippet", "rank")
 
 
 OFFERED = [("q1", 2, "b1"), ("q1", 1, "a1"), ("q1", 1, "a2"), ("q2", 3, "c1"), ("q2", 2, "b2")]
 
 
-@query(f"WITH {values('r', 'query, priority, title', OFFERED)} SELECT query, priority, title FROM r QUALIFY priority = min(priority) OVER (PARTITION BY query)")
+def _offered(spark, d):
+    r = spread(spark, d, OFFERED, "q string, priority int, t string")
+    return r.select(F.concat_ws("-", "q", (F.col("g") % 40).cast("string")).alias("query"), "priority", F.concat("t", F.col("p").cast("string")).alias("title"))
+
+
+@query(f"WITH {spread_sql('r0', 'q, priority, t', OFFERED)}, r AS (SELECT q || '-' || g % 40 AS query, priority, t || p AS title FROM r0) SELECT query, priority, title FROM r QUALIFY priority = min(priority) OVER (PARTITION BY query)")
 def provider_fallback(spark, d):
-    return search.first_provider(spark.createDataFrame(OFFERED, "query string, priority int, title string")).select("query", "priority", "title")
+    return search.first_provider(_offered(spark, d)).select("query", "priority", "title")
 
 
 ASKED = [("map of undefined",), ("memory leak",), ("async cleanup",), ("nothing known",), (" ",)]
 
 
-@query(f"WITH {values('q', 'query', ASKED)}, r AS (" + " UNION ALL ".join("SELECT query, " + ", ".join([literal(t) + " AS title", literal(u) + " AS url", literal(s) + " AS source", f"{c}::DOUBLE AS score"]) + " FROM q WHERE " + " AND ".join("regexp_matches(lower(query), '" + "|".join(g) + "')" for g in groups) for groups, t, u, s, c in search.SIMULATED) + ") SELECT * FROM r UNION ALL SELECT query, 'Search results for: ' || query, 'https://github.com/search', 'generic', 0.3 FROM q WHERE trim(query) <> '' AND query NOT IN (SELECT query FROM r)")
+@query(f"WITH {spread_sql('q0', 'q', ASKED)}, q AS (SELECT CASE WHEN trim(q) = '' THEN q ELSE q || ' ' || p END AS query FROM q0), r AS (" + " UNION ALL ".join("SELECT query, " + ", ".join([literal(t) + " AS title", literal(u) + " AS url", literal(s) + " AS source", f"{c}::DOUBLE AS score"]) + " FROM q WHERE " + " AND ".join("regexp_matches(lower(query), '" + "|".join(g) + "')" for g in groups) for groups, t, u, s, c in search.SIMULATED) + ") SELECT * FROM r UNION ALL SELECT query, 'Search results for: ' || query, 'https://github.com/search', 'generic', 0.3 FROM q WHERE trim(query) <> '' AND query NOT IN (SELECT query FROM r)")
 def simulate_results(spark, d):
-    return search.simulate(spark.createDataFrame(ASKED, "query string"))
+    return search.simulate(spread(spark, d, ASKED, "q string").select(F.when(F.trim("q") == "", F.col("q")).otherwise(F.concat_ws(" ", "q", F.col("p").cast("string"))).alias("query")))
 
 
 PARAMS = [(1, "TypeError x", "ts", None, None), (2, None, None, "react", "hooks"), (3, None, None, None, None), (4, None, "py", None, "p")]
 
 
-@query("WITH r(id, template, query) AS (VALUES (1, 'error_message', 'TypeError x ts'), (2, 'error_message', 'react'), (3, NULL, NULL), (4, 'error_message', 'py')) SELECT id, template, query FROM r")
+FILLED = [("error_message", "TypeError x ts"), ("error_message", "react"), (None, None), ("error_message", "py")]
+
+
+@query(f"WITH {spread_sql('r', 'template, query', FILLED)} SELECT p AS id, template, query FROM r")
 def fill_templates(spark, d):
-    p = spark.createDataFrame(PARAMS, "id int, errorMessage string, language string, framework string, pattern string")
+    p = spread(spark, d, PARAMS, "k int, errorMessage string, language string, framework string, pattern string").withColumnRenamed("p", "id").drop("k", "g")
     return search.fill(p, ("errorMessage", "language", "framework", "pattern"))
 
 
@@ -315,12 +357,13 @@ def relevance_filter(spark, d):
     return b.where(search.relevant(F.lit("of the"), b.text, F.lit(""))).select("item_id")
 
 
-REMOTES = [("git@host.example:team/tool.git",), ("https://user@host.example/group/sub/tool",), ("ssh://git@h.io/o/r.git",), ("nonsense",)]
+REMOTE_PARTS = [("git@host.example:team/tool", "host.example", "team", "tool"), ("https://user@host.example/group/sub/tool", "host.example", "group/sub", "tool"), ("ssh://git@h.io/o/r", "h.io", "o", "r"), ("nonsense", "", "", "")]
 
 
-@query("WITH r(url, host, owner, repo) AS (VALUES ('git@host.example:team/tool.git', 'host.example', 'team', 'tool'), ('https://user@host.example/group/sub/tool', 'host.example', 'group/sub', 'tool'), ('ssh://git@h.io/o/r.git', 'h.io', 'o', 'r'), ('nonsense', '', '', '')) SELECT url, host, owner, repo FROM r")
+@query(f"WITH {spread_sql('r', 'u, host, owner, repo', REMOTE_PARTS)} SELECT u || p || CASE WHEN p % 2 = 0 THEN '.git' ELSE '' END AS url, host, owner, CASE WHEN repo = '' THEN '' ELSE repo || p END AS repo FROM r")
 def remote_url_parts(spark, d):
-    r = spark.createDataFrame(REMOTES, "url string")
+    r = spread(spark, d, [(u,) for u, *_ in REMOTE_PARTS], "u string")
+    r = r.select(F.concat("u", F.col("p").cast("string"), F.when(F.col("p") % 2 == 0, ".git").otherwise("")).alias("url"))
     return r.select("url", *search.remote_parts(r.url))
 
 
@@ -335,29 +378,38 @@ def strip_pages(spark, d):
 EDITS = [("p1", "a\nb\nc", "a\nx\nc\nd"), ("p2", "same", "same"), ("p3", "one\ntwo", "one")]
 
 
-@query(f"WITH {values('e', 'id, old, new', EDITS)}, o AS (SELECT id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT id, string_split(old, chr(10)) AS x FROM e)), n AS (SELECT id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT id, string_split(new, chr(10)) AS x FROM e)), b AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.line, n.line)::INTEGER AS line, o.t AS ot, n.t AS nt FROM o FULL JOIN n ON o.id = n.id AND o.line = n.line) SELECT id, line, '-' AS op, ot AS text FROM b WHERE ot IS DISTINCT FROM nt AND ot IS NOT NULL UNION ALL SELECT id, line, '+', nt FROM b WHERE ot IS DISTINCT FROM nt AND nt IS NOT NULL")
+@query(f"WITH {spread_sql('e0', 'k, old, new', EDITS)}, e AS (SELECT k || '-' || p AS id, old, new || chr(10) || p AS new FROM e0), o AS (SELECT id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT id, string_split(old, chr(10)) AS x FROM e)), n AS (SELECT id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT id, string_split(new, chr(10)) AS x FROM e)), b AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.line, n.line)::INTEGER AS line, o.t AS ot, n.t AS nt FROM o FULL JOIN n ON o.id = n.id AND o.line = n.line) SELECT id, line, '-' AS op, ot AS text FROM b WHERE ot IS DISTINCT FROM nt AND ot IS NOT NULL UNION ALL SELECT id, line, '+', nt FROM b WHERE ot IS DISTINCT FROM nt AND nt IS NOT NULL")
 def line_diff(spark, d):
-    return patch.line_diff(spark.createDataFrame(EDITS, "id string, old string, new string"))
+    return patch.line_diff(spread(spark, d, EDITS, "k string, old string, new string").select(F.concat_ws("-", "k", F.col("p").cast("string")).alias("id"), "old", F.concat("new", F.lit("\n"), F.col("p").cast("string")).alias("new")))
+
+
+
+
+def _patches(spark, d):
+    return spread(spark, d, FILEPATCHES, "k string, old string, new string, cur string").select(F.concat("k", F.col("p").cast("string")).alias("id"), "old", "new", "cur")
 
 
 FILEPATCHES = [("a", None, "new", None), ("b", "old", None, "old"), ("c", "old", "new", "old"), ("d", "mid", "MID", "x mid y mid"), ("e", "gone", "n", "other")]
 
 
-@query(f"WITH {values('p', 'id, old, new, cur', FILEPATCHES)} SELECT id, CASE WHEN old IS NULL AND new IS NOT NULL THEN 'added' WHEN new IS NULL THEN 'deleted' ELSE 'modified' END AS kind FROM p")
+@query(f"WITH {spread_sql('f', 'k, old, new, cur', FILEPATCHES)} SELECT k || p AS id, CASE WHEN old IS NULL AND new IS NOT NULL THEN 'added' WHEN new IS NULL THEN 'deleted' ELSE 'modified' END AS kind FROM f")
 def patch_kind(spark, d):
-    p = spark.createDataFrame(FILEPATCHES, "id string, old string, new string, cur string")
+    p = _patches(spark, d)
     return p.select("id", patch.change_type(p.old, p.new).alias("kind"))
 
 
-@query("WITH r(id, status, result) AS (VALUES ('a', 'created', 'new'), ('b', 'deleted', NULL), ('c', 'exact', 'new'), ('d', 'replaced', 'x MID y mid'), ('e', 'conflict', 'other')) SELECT * FROM r")
+APPLIED = [("a", "created", "new"), ("b", "deleted", None), ("c", "exact", "new"), ("d", "replaced", "x MID y mid"), ("e", "conflict", "other")]
+
+
+@query(f"WITH {spread_sql('r', 'k, status, result', APPLIED)} SELECT k || p AS id, status, result FROM r")
 def apply_patch_status(spark, d):
-    p = spark.createDataFrame(FILEPATCHES, "id string, old string, new string, cur string")
+    p = _patches(spark, d)
     return p.select("id", patch.apply(p.cur, p.old, p.new).alias("x")).select("id", "x.status", "x.result")
 
 
-@query(f"WITH {values('p', 'id, old, new, cur', FILEPATCHES)} SELECT count(*) FILTER (WHERE old IS NULL) AS added, count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) AS modified, count(*) FILTER (WHERE new IS NULL) AS deleted FROM p")
+@query(f"WITH {spread_sql('f', 'k, old, new, cur', FILEPATCHES)} SELECT count(*) FILTER (WHERE old IS NULL) AS added, count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) AS modified, count(*) FILTER (WHERE new IS NULL) AS deleted FROM f")
 def patch_summary(spark, d):
-    return patch.summary(spark.createDataFrame(FILEPATCHES, "id string, old string, new string, cur string"))
+    return patch.summary(_patches(spark, d))
 
 
 @query("WITH c AS (SELECT CASE WHEN o_custkey % 50 = 0 THEN 'main' ELSE 'b' || o_custkey END AS branch, o_orderkey AS path, 60 AS lines FROM orders), g AS (SELECT branch, count(DISTINCT path) AS f, sum(lines) AS l FROM c GROUP BY branch) SELECT branch, 'too many files' AS violation FROM g WHERE f > 20 UNION ALL SELECT branch, 'diff too large' FROM g WHERE l > 500 UNION ALL SELECT branch, 'protected branch' FROM g WHERE branch IN ('main', 'master', 'production', 'release')")
@@ -371,20 +423,26 @@ LONG = "x\n" * 40
 SUMMARY = "// Structural summary of big.ts\n\nimport { a, b } from './m';\nimport d from 'e';\nimport './side';\n\nexport function f(p, q);\n\nclass K {\n}\n\nexport { f };"
 
 
-@query(f"WITH r(path, summary, savings_pct) AS (VALUES ('big.ts', {literal(SUMMARY)}, round((1 - {len(SUMMARY)} / {len(LONG)}.0) * 100)::DOUBLE), ('small.ts', 'tiny', 0.0::DOUBLE)) SELECT * FROM r")
+SUMMARISED = [("big.ts", SUMMARY, float(round((1 - len(SUMMARY) / len(LONG)) * 100))), ("small.ts", "tiny", 0.0)]
+
+
+@query(f"WITH {spread_sql('r', 'path, summary, savings_pct', SUMMARISED)} SELECT p || '/' || path AS path, replace(summary, ' of big', ' of ' || p || '/big') AS summary, CASE WHEN path = 'big.ts' THEN round((1 - ({len(SUMMARY)} + length(p::VARCHAR) + 1) / {len(LONG)}.0) * 100) ELSE 0 END::DOUBLE AS savings_pct FROM r")
 def structural_summary(spark, d):
     kind = "path string, content string, total_lines int, imports array<struct<source string, items array<string>, is_default boolean>>, functions array<struct<name string, params array<string>, is_exported boolean>>, classes array<struct<name string, is_exported boolean>>, exports array<string>"
     rows = [("big.ts", LONG, 41, [("./m", ["a", "b"], False), ("e", ["d"], True), ("./side", [], False)], [("f", ["p", "q"], True)], [("K", False)], ["f"]), ("small.ts", "tiny", 1, [], [], [], [])]
-    return patch.structural_summary(spark.createDataFrame(rows, kind))
+    return patch.structural_summary(spread(spark, d, rows, kind).withColumn("path", F.concat_ws("/", F.col("p").cast("string"), "path")).drop("p", "g"))
 
 
 BROKEN = [(1, '{"a": [1, 2'), (2, '```json\n{"b": "x"}\n```'), (3, '{"c": "cut'), (4, "not json"), (5, '{"d":'), (6, None)]
 
 
-@query("""WITH r(id, fixed) AS (VALUES (1, '{"a": [1, 2]}'), (2, '{"b": "x"}'), (3, '{"c": "cut"}'), (4, NULL), (5, '{"d":null}'), (6, NULL)) SELECT id, fixed FROM r""")
+FIXES = [('{"a": [1, 2]}',), ('{"b": "x"}',), ('{"c": "cut"}',), (None,), ('{"d":null}',), (None,)]
+
+
+@query(f"WITH {spread_sql('r', 'fixed', FIXES)} SELECT p AS id, fixed FROM r")
 def json_repair(spark, d):
-    b = spark.createDataFrame(BROKEN, "id int, t string")
-    return b.select("id", F.trim(extract.repaired(b.t)).alias("fixed"))
+    b = spread(spark, d, [(t,) for _, t in BROKEN], "t string")
+    return b.select(F.col("p").alias("id"), F.trim(extract.repaired(b.t)).alias("fixed"))
 
 
 # ---- caches

@@ -122,9 +122,10 @@ def graph_size(spark, d):
 RULES = values("rules", "type, from_source, from_target", rule_rows())
 
 
-@query(f"WITH {RULES} SELECT * FROM rules")
+@query(f"{GRAPH}, {RULES}, n AS (SELECT type, count(*) AS edges FROM edges GROUP BY type) SELECT type, from_source, from_target, coalesce(edges, 0) AS edges FROM rules LEFT JOIN n USING (type)")
 def rules_table(spark, d):
-    return propagation.rules(spark)
+    n = edges(spark, d).groupBy("type").agg(F.count("*").alias("edges"))
+    return propagation.rules(spark).join(n, "type", "left").select("type", "from_source", "from_target", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
 def _levels(direction: str, depth: int, min_weight: float, tests: bool = False) -> str:

@@ -9,7 +9,7 @@ from corpusloom.functions import tokens as K
 from corpusloom.model import CHARS_PER_TOKEN, PLAN_STOP, RECOMMEND_STOP
 from corpusloom.operators import metrics, retrieval, sync
 from corpusloom.plans.registry import query, values
-from corpusloom.plans.tables import table
+from corpusloom.plans.tables import spread, spread_sql, table
 
 RUNS = "WITH runs AS (SELECT event_type AS agent, value AS ms, event_type <> 'error' AS success, ts, event_id FROM events)"
 
@@ -176,9 +176,9 @@ def duplicate_content(spark, d):
 CHANGES = [("same", "h1", "h1", "f(a)", "f(a)"), ("spaces", "h1", "h2", "f(a)", "f(a)"), ("param", "h1", "h2", "f(a)", "f(a, b)"), ("new", None, "h1", None, "f(a)"), ("gone", "h1", None, "f(a)", None), ("null", "h1", "h2", None, ""), ("nulls", "h1", "h2", None, None)]
 
 
-@query(f"WITH {values('c', 'name, oh, nh, op, np', CHANGES)} SELECT name, CASE WHEN nh IS NULL THEN 'deleted' WHEN oh IS NULL THEN 'added' WHEN oh = nh THEN 'NONE' WHEN op IS DISTINCT FROM np THEN 'STRUCTURAL' ELSE 'COSMETIC' END AS level FROM c")
+@query(f"WITH {spread_sql('c', 'name, oh, nh, op, np', CHANGES)} SELECT name || p AS name, CASE WHEN nh IS NULL THEN 'deleted' WHEN oh IS NULL THEN 'added' WHEN oh = nh THEN 'NONE' WHEN op IS DISTINCT FROM np THEN 'STRUCTURAL' ELSE 'COSMETIC' END AS level FROM c")
 def classify_change(spark, d):
-    c = spark.createDataFrame(CHANGES, "name string, oh string, nh string, op string, np string")
+    c = spread(spark, d, CHANGES, "k string, oh string, nh string, op string, np string").withColumn("name", F.concat("k", F.col("p").cast("string")))
     return c.select("name", sync.change_level(c.oh, c.nh, [c.op], [c.np]).alias("level"))
 
 
@@ -246,9 +246,9 @@ def mask_secrets(spark, d):
 KEYS = [("short",), ("exactly10!",), ("sk-abcdefghijklmnop",)]
 
 
-@query(f"WITH {values('k', 'key', KEYS)} SELECT key, CASE WHEN length(key) <= 10 THEN repeat('*', length(key)) ELSE left(key, 4) || '****' || right(key, 4) END AS masked FROM k")
+@query(f"WITH {spread_sql('k0', 'k', KEYS)}, k AS (SELECT k || p AS key FROM k0) SELECT key, CASE WHEN length(key) <= 10 THEN repeat('*', length(key)) ELSE left(key, 4) || '****' || right(key, 4) END AS masked FROM k")
 def mask_key(spark, d):
-    k = spark.createDataFrame(KEYS, "key string")
+    k = spread(spark, d, KEYS, "k string").select(F.concat("k", F.col("p").cast("string")).alias("key"))
     return k.select("key", T.mask_key(k.key).alias("masked"))
 
 

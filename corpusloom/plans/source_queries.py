@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 from corpusloom.operators.extend import CachedService, Graph, TrigramService, enrich
 from corpusloom.plans.build_queries import ASSET_SQL, CODE, FORMS, PATHS, TEXTS, built
 from corpusloom.plans.code_files import asset_paths, code_files
-from corpusloom.plans.registry import query, values
-from corpusloom.plans.tables import EDGES, NODES, edges, nodes, table
+from corpusloom.plans.registry import query
+from corpusloom.plans.tables import EDGES, NODES, edges, nodes, spread, spread_sql, table
 from corpusloom.sources import corpus
 
 
@@ -38,28 +38,34 @@ RAW = [("f1", "fault", 0.5), ("f2", "style", None), ("f3", "wrong", 0.5), (None,
 FINDING = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("type", T.StringType(), False), T.StructField("confidence", T.DoubleType())])
 
 
-@query(f"WITH {values('r', 'id, type, confidence', RAW)}, j AS (SELECT id, type, coalesce(confidence, 0.5)::DOUBLE AS confidence FROM r) SELECT 'accepted' AS verdict, id, '' AS reasons FROM j WHERE id IS NOT NULL AND type IN ('fault', 'pattern', 'insight', 'style') AND confidence BETWEEN 0 AND 1 UNION ALL VALUES ('rejected', 'f3', 'type is unknown'), ('rejected', NULL, 'id is missing'), ('rejected', 'f5', 'confidence is out of range')")
+REASONS = [(None,), (None,), ("type is unknown",), ("id is missing",), ("confidence is out of range",)]
+
+
+@query(f"WITH {spread_sql('r', 'id, type, confidence', RAW)}, {spread_sql('x', 'reasons', REASONS)} SELECT CASE WHEN reasons IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, id || r.p AS id, coalesce(reasons, '') AS reasons FROM r JOIN x ON x.p = r.p")
 def schema_reject(spark, d):
-    raw = spark.createDataFrame(RAW, "id string, type string, confidence double")
+    raw = spread(spark, d, RAW, "k string, type string, confidence double").select(F.concat("k", F.col("p").cast("string")).alias("id"), "type", "confidence")
     rules = {"type is unknown": F.col("type").isin("fault", "pattern", "insight", "style"), "confidence is out of range": F.col("confidence").between(0, 1)}
     ok, bad = corpus.validate(raw, FINDING, rules, {"confidence": 0.5})
     return ok.select(F.lit("accepted").alias("verdict"), "id", F.lit("").alias("reasons")).union(bad.select(F.lit("rejected"), "id", F.array_join("reasons", ",")))
 
 
 STATUS = [(" M src/a.ts",), ("?? new.ts",), ("A  added.ts",), ("D  gone.ts",), ("R  old.ts -> new2.ts",), ("",)]
+STATUSES = [("modified", "src/a.ts"), ("untracked", "new.ts"), ("added", "added.ts"), ("deleted", "gone.ts"), ("renamed", "new2.ts"), (None, None)]
 
 
-@query("WITH r(status, path) AS (VALUES ('modified', 'src/a.ts'), ('untracked', 'new.ts'), ('added', 'added.ts'), ('deleted', 'gone.ts'), ('renamed', 'new2.ts')) SELECT status, path FROM r")
+@query(f"WITH {spread_sql('r', 'status, path', STATUSES)} SELECT status, path || p AS path FROM r WHERE path IS NOT NULL")
 def porcelain_status(spark, d):
-    return corpus.porcelain(spark.createDataFrame(STATUS, "value string"))
-
+    s = spread(spark, d, STATUS, "v string")
+    return corpus.porcelain(s.select(F.when(F.col("v") == "", "").otherwise(F.concat("v", F.col("p").cast("string"))).alias("value")))
 
-TASKS = [('{"tasks": [{"id": "t1", "description": "fix", "files": ["a", "b"]}, {"id": "t2", "description": "do"}]}',)]
 
-
-@query("WITH r(id, description, n_files) AS (VALUES ('t1', 'fix', 2), ('t2', 'do', 0)) SELECT id, description, n_files FROM r")
+@query("SELECT p_brand || '-' || p_partkey AS id, p_name AS description, (p_partkey % 3)::INTEGER AS n_files FROM part")
 def batch_tasks(spark, d):
-    return corpus.tasks(spark.createDataFrame(TASKS, "value string"))
+    """A file of tasks for each brand, read back."""
+    p = table(spark, d, "part")
+    files = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("p_partkey") % 3).cast("int"))
+    task = F.struct(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("description"), F.when(F.size(files) > 0, files).alias("files"))
+    return corpus.tasks(p.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(task).alias("tasks"))).alias("value")).select("value"))
 
 
 @query("SELECT 'plan-' || item_id AS id, text FROM benchmark WHERE item_id = 7")
@@ -81,13 +87,11 @@ def memory_roundtrip(spark, d):
     return back["nodes"].select(F.lit("nodes").alias("name")).union(back["edges"].select(F.lit("edges"))).groupBy("name").agg(F.count("*").alias("n"))
 
 
-CONFIG = "llm:\n  provider: rules # local\n  model: 'tiny'\nembedding:\n  provider: trigram\n"
-
-
-@query("WITH r(section, provider) AS (VALUES ('llm', 'rules'), ('embedding', 'trigram')) SELECT section, provider FROM r")
+@query("SELECT s_suppkey AS id, 's' || s_suppkey AS provider, 'trigram' || s_nationkey AS embedding FROM supplier")
 def yaml_keys(spark, d):
-    c = spark.createDataFrame([(CONFIG,)], "t string")
-    return c.select(F.lit("llm").alias("section"), corpus.read_yaml_key(c.t, "llm", "provider").alias("provider")).union(c.select(F.lit("embedding"), corpus.read_yaml_key(c.t, "embedding", "provider")))
+    s = table(spark, d, "supplier")
+    text = F.concat(F.lit("llm:\n  provider: s"), F.col("s_suppkey").cast("string"), F.lit(" # local\n  model: 'tiny'\nembedding:\n  provider: trigram"), F.col("s_nationkey").cast("string"), F.lit("\n"))
+    return s.select(F.col("s_suppkey").alias("id"), corpus.read_yaml_key(text, "llm", "provider").alias("provider"), corpus.read_yaml_key(text, "embedding", "provider").alias("embedding"))
 
 
 class Assets:

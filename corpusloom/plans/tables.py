@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import first_write
+from corpusloom.plans.registry import literal
 
 NODES = """
 n_raw AS (
@@ -70,3 +71,16 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     raw = raw_edges(spark, d)
     named = raw.select(F.concat_ws("--", "source", "type", "target").alias("id"), "source", "target", "type", "weight")
     return first_write(named, "id", F.lit(0))
+
+
+def spread(spark: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
+    """A row for every part: its key p, its group g, and the columns of one of ``rows``; a group has each of them once."""
+    n, p = len(rows), F.col("p_partkey")
+    forms = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {schema}")
+    return table(spark, d, "part").select(p.alias("p"), F.floor(p / n).alias("g"), (p % n).cast("int").alias("i")).join(F.broadcast(forms), "i").drop("i")
+
+
+def spread_sql(name: str, columns: str, rows: list[tuple]) -> str:
+    """``spread`` as a common table expression."""
+    listed = ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(rows))
+    return f"{name} AS (SELECT p_partkey AS p, p_partkey // {len(rows)} AS g, t.* EXCLUDE (i) FROM part JOIN (VALUES {listed}) t(i, {columns}) ON p_partkey % {len(rows)} = t.i)"
