@@ -10,8 +10,8 @@ from corpusloom.model import PLAN_STOP, RECOMMEND_STOP
 
 def tokens(text: Column, stop: tuple[str, ...] = PLAN_STOP) -> Column:
     """Distinct lower-case alphanumeric words of over two characters that aren't stop words."""
-    words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9\\s]", " "), "\\s+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop)))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.filter(F.array_distinct(words), lambda w: ~w.isin(*stop))
 
 
 def plan_tokens(text: Column) -> Column:
