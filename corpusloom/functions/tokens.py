@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.model import CHARS_PER_TOKEN, LEVELS
+from corpusloom.shared import store
 
 CJK = "[\\u4e00-\\u9fff\\u3400-\\u4dbf]"
 DEPTHS = {"none": 3, "reduce_depth": 2, "disable_search": 2, "core_only": 1, "prompt_user": 0}
@@ -58,10 +59,26 @@ def adjustments(name: Column) -> dict[str, Column]:
     }
 
 
+def running_sums(rows: DataFrame, group: str, order: str, value: str, ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``used``: the sum of ``value`` within the group up to and with each row, by ``order``.
+
+    Rows are dealt into ranges of (group, order), each range is summed on its own, and a range begins with what the
+    ranges before it hold of the group: one number for each range and group. So a group is as many tasks as it has
+    ranges, however large it is. Rows of equal group and order lie in one range; which of them comes first is open.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), group, order)
+    dealt = store(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = dealt.groupBy(group, "__range").agg(F.sum(value).alias("__sum")).select(F.col(group).alias("__group"), F.col("__range").alias("__at"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__begin"))
+    within = Window.partitionBy("__range", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumn("__used", F.sum(value).over(within)).join(begins, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__at")))
+    return met.select(*rows.columns, (F.col("__used") + F.col("__begin")).alias("used"))
+
+
 def running_levels(usage: DataFrame, total: int) -> DataFrame:
     """usage (task, seq, tokens) -> used so far within the task, share of ``total`` and level at each row."""
-    upto = Window.partitionBy("task").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = usage.withColumn("used", F.sum(F.greatest("tokens", F.lit(0))).over(upto))
+    rows = running_sums(usage.withColumn("__tokens", F.greatest("tokens", F.lit(0))), "task", "seq", "__tokens").drop("__tokens")
     return rows.withColumn("level", level(F.col("used") / total))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.model import rule_rows
-from corpusloom.shared import store
+from corpusloom.shared import bucketed, store
 
 TEST_FILE = r"\.(test|spec)\."
 
@@ -17,8 +17,8 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rule_rows(), "type string, from_source boolean, from_target boolean")
 
 
-def moves(nodes: DataFrame, edges: DataFrame, direction: str, min_weight: float = 0.0, include_tests: bool = False) -> DataFrame:
-    """(src, dst, type, weight): the steps that a direction allows, to nodes that exist and aren't tests.
+def allowed(edges: DataFrame, direction: str, min_weight: float = 0.0) -> DataFrame:
+    """(src, dst, type, weight): the steps that a direction allows.
 
     Upstream follows an edge backwards where its rule starts at the target and forwards where it starts at the source;
     downstream follows every edge forwards; both joins the backward steps of the first with the second. The rule table
@@ -31,9 +31,23 @@ def moves(nodes: DataFrame, edges: DataFrame, direction: str, min_weight: float
     back = ruled.where("from_target").select(F.col("target").alias("src"), F.col("source").alias("dst"), "type", "weight")
     ahead = ruled.where("from_source") if direction == "upstream" else e
     ahead = ahead.select(F.col("source").alias("src"), F.col("target").alias("dst"), "type", "weight")
-    steps = ahead if direction == "downstream" else back.union(ahead)
-    reach = nodes if include_tests else nodes.where(~F.coalesce(F.col("file_path").rlike(TEST_FILE), F.lit(False)))
-    return steps.join(reach.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type", "weight")
+    return ahead if direction == "downstream" else back.union(ahead)
+
+
+def reachable(nodes: DataFrame, include_tests: bool = False) -> DataFrame:
+    """(id) of the nodes that a trace may enter: all, or those that aren't tests."""
+    return (nodes if include_tests else nodes.where(~F.coalesce(F.col("file_path").rlike(TEST_FILE), F.lit(False)))).select("id")
+
+
+def moves(nodes: DataFrame, edges: DataFrame, direction: str, min_weight: float = 0.0, include_tests: bool = False) -> DataFrame:
+    """``allowed`` steps to nodes that exist and aren't tests."""
+    return allowed(edges, direction, min_weight).join(reachable(nodes, include_tests).withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type", "weight")
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame, direction: str = "upstream", min_weight: float = 0.0, include_tests: bool = False) -> DataFrame:
+    """``moves`` as a table of buckets by their start, for graphs that are traced more than once: a round of a trace then
+    moves its frontier and no edge."""
+    return bucketed(moves(nodes, edges, direction, min_weight, include_tests), "moves", "src")
 
 
 @dataclass
@@ -43,24 +57,27 @@ class Trace:
     steps: DataFrame  # src, dst, type, weight, level
 
 
-def trace(nodes: DataFrame, edges: DataFrame, entry: DataFrame, direction: str = "upstream", max_depth: int = 3, min_weight: float = 0.0, include_tests: bool = False) -> Trace:
+def trace(nodes: DataFrame, edges: DataFrame, entry: DataFrame, direction: str = "upstream", max_depth: int = 3, min_weight: float = 0.0, include_tests: bool = False, adjacent: DataFrame | None = None) -> Trace:
     """entry (id) -> every node within ``max_depth`` steps with the greatest product of weights.
 
     Each round joins the frontier to the moves, keeps one row a node (greatest probability, then the least path) and
     goes on with those that beat what is known: walks are never enumerated, and a round's size is bounded by the
-    number of nodes. Ties keep the shorter walk. Rounds are written to the shared folder. Entry points that don't exist
-    or are tests are ignored; the rest have probability 1 and are left out of the result.
+    number of nodes. Moves are ``adjacent``, an ``adjacency`` made before with the same limits, or the allowed steps,
+    written once; whether a step's end may be entered is asked of a round's steps only. Ties keep the shorter walk.
+    Rounds are written to the shared folder. Repeated edges count once. Entry points that don't exist or are tests are
+    ignored; the rest have probability 1 and are left out of the result.
     """
-    can = store(moves(nodes, edges, direction, min_weight, include_tests), "moves")
-    known = nodes if include_tests else nodes.where(~F.coalesce(F.col("file_path").rlike(TEST_FILE), F.lit(False)))
-    start = known.select("id").join(entry.select("id").distinct(), "id", "left_semi")
+    known = reachable(nodes, include_tests)
+    can = store(allowed(edges, direction, min_weight), "moves") if adjacent is None else adjacent
+    start = store(known.select("id").join(entry.select("id").distinct(), "id", "left_semi"), "starts")
     front = start.select(F.col("id").alias("node"), F.lit(1.0).alias("p"), F.lit(0).alias("d"), F.array("id").alias("path"))
-    best = front = store(front, "front_0")
-    steps = None
+    fronts, steps = front, None
     for level in range(1, max_depth + 1):
-        seen = best.select(F.col("node").alias("dst"), F.col("p").alias("before"))
+        seen = fronts.groupBy(F.col("node").alias("dst")).agg(F.max("p").alias("before"))
         tried = front.select(F.col("node").alias("src"), "p", "path").join(can, "src")
         tried = tried.join(seen, "dst", "left").where("before is null or p * weight > before")
+        if adjacent is None:
+            tried = tried.join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
         tried = store(tried.selectExpr("src", "dst", "type", "weight", "p * weight as p", "array_append(path, dst) as path"), f"tried_{level}")
         move = tried.select("src", "dst", "type", "weight", F.lit(level).alias("level"))
         steps = move if steps is None else steps.union(move)
@@ -68,10 +85,10 @@ def trace(nodes: DataFrame, edges: DataFrame, entry: DataFrame, direction: str =
         front = store(front, f"front_{level}")
         if front.isEmpty():
             break
-        best = best.unionByName(front).groupBy("node").agg(F.max_by(F.struct("p", "d", "path"), F.struct(F.col("p"), -F.col("d"))).alias("b")).select("node", "b.p", "b.d", "b.path")
-        best = store(best, f"best_{level}")
+        fronts = fronts.unionByName(front)
     if steps is None:
         steps = can.select("src", "dst", "type", "weight", F.lit(0).alias("level")).limit(0)
+    best = fronts.groupBy("node").agg(F.max_by(F.struct("p", "d", "path"), F.struct(F.col("p"), -F.col("d"))).alias("b")).select("node", "b.p", "b.d", "b.path")
     affected = best.where("d > 0").join(start, best.node == start.id, "left_anti")
     affected = affected.select(F.col("node").alias("node_id"), F.col("p").alias("probability"), F.col("d").alias("distance"), "path")
     return Trace(affected, steps.select(F.col("src").alias("node_id")).distinct(), steps)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.model import rule_rows
 from corpusloom.operators import graph, propagation
 from corpusloom.plans.registry import query, values
-from corpusloom.plans.tables import GRAPH, edges, nodes, raw_edges
+from corpusloom.plans.tables import GRAPH, edges, named_edges, nodes, raw_edges
 
 ENTRY = [("supplier:1",), ("supplier:3",), ("supplier:nowhere",)]
 
@@ -24,7 +24,7 @@ def graph_nodes(spark, d):
 
 @query(f"{GRAPH} SELECT id, source, target, type, weight FROM edges")
 def graph_edges_dedup(spark, d):
-    return edges(spark, d)
+    return graph.first_write(named_edges(raw_edges(spark, d)), "id", F.lit(0))
 
 
 @query(f"{GRAPH} SELECT id, type, name FROM nodes WHERE id = 'customer:7'")
@@ -146,7 +146,7 @@ def _affected_sql(*a, **k) -> str:
 
 
 def _affected(spark, d, *a, **k):
-    t = propagation.trace(nodes(spark, d), edges(spark, d), entry_points(spark), *a, **k)
+    t = propagation.trace(nodes(spark, d), named_edges(raw_edges(spark, d)), entry_points(spark), *a, **k)
     return t.affected.select("node_id", F.round("probability", 6).alias("probability"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -155,9 +155,13 @@ def propagate_upstream(spark, d):
     return _affected(spark, d, "upstream", 3)
 
 
-@query(_affected_sql("downstream", 3, 0.0))
+#: Suppliers have no out-edges; what a nation holds is reached from it.
+ABOVE = [("nation:1",), ("nation:2",), ("order:2",)]
+
+
+@query(_affected_sql("downstream", 3, 0.0).replace(", ".join(f"'{e}'" for (e,) in ENTRY), ", ".join(f"'{e}'" for (e,) in ABOVE)))
 def propagate_downstream(spark, d):
-    t = propagation.trace(nodes(spark, d), edges(spark, d), entry_points(spark), "downstream", 3)
+    t = propagation.trace(nodes(spark, d), named_edges(raw_edges(spark, d)), spark.createDataFrame(ABOVE, "id string"), "downstream", 3)
     return t.affected.select("node_id", F.round("probability", 6).alias("probability"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -201,7 +205,7 @@ def _roots_sql(depth: int) -> str:
 
 @query(_roots_sql(3))
 def root_cause_candidates(spark, d):
-    t = propagation.trace(nodes(spark, d), edges(spark, d), entry_points(spark), "upstream", 3)
+    t = propagation.trace(nodes(spark, d), named_edges(raw_edges(spark, d)), entry_points(spark), "upstream", 3)
     return propagation.root_causes(t).select("node_id", F.round("confidence", 6).alias("confidence"), F.col("distance").cast("int").alias("distance"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _paths: list[str] = []
+_tables: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,6 +43,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def _clean(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):
+        for table in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in _paths:
             remove(spark, path.rsplit("/", 1)[0])
 
@@ -53,6 +56,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """``store`` as a table of as many buckets by ``by`` as the session shuffles to, sorted within them: a join on that
+    column reads it where it lies, without an exchange, as often as it is joined."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"corpusloom_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.option("path", scratch(spark, name)).bucketBy(n, by).sortBy(by).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
+
+
 def held() -> int:
     """How many tables of the shared folder there are: what ``settle`` counts from."""
     return len(_paths)

@@ -61,3 +61,25 @@ def test_no_floor_no_search(spark):
     with pytest.raises(ValueError):
         retrieval.overlaps(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], SCHEMA), 0.0)
     assert retrieval.overlaps(spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, ["a"])], SCHEMA), 0.1).count() == 0
+
+
+def test_rounds_move_no_edge_of_an_adjacency(spark):
+    from corpusloom.operators import propagation
+    from corpusloom.plans.graph_queries import entry_points
+    from corpusloom.plans.tables import edges, nodes
+
+    n, e, entry = nodes(spark, "/root/testdata/sf0.001"), edges(spark, "/root/testdata/sf0.001"), entry_points(spark)
+    near = propagation.adjacency(n, e, "both", 0.5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        front = near.selectExpr("dst as src").distinct()
+        plan = front.join(near, "src")._jdf.queryExecution().executedPlan().toString()
+        scan = [line for line in plan.split("\n") if "corpusloom_moves" in line and "Bucketed: true" in line]
+        assert scan and "SelectedBucketsCount: 4 out of 4" in plan
+        assert plan.count("Exchange hashpartitioning(src") <= 1  # the frontier's
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain, kept = (propagation.trace(n, e, entry, "both", 3, 0.5, adjacent=a) for a in (None, near))
+    rows = lambda t: {tuple(map(str, r)) for r in t.affected.collect()}
+    assert rows(plain) == rows(kept) and rows(plain)
+    assert {r.node_id for r in plain.relaxed.collect()} == {r.node_id for r in kept.relaxed.collect()}
