@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import held, let, settle, small, store
@@ -86,10 +86,14 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _entity(x: Column) -> Column:
-    """An entity without its spelling: kind and lower-case text, or kind and digits."""
-    plain = F.when(x["k"] >= 2, F.regexp_replace(x["s"], "[^0-9]", "")).otherwise(F.lower(x["s"]))
-    return F.concat_ws(":", x["k"].cast("string"), plain)
+def _keys(x: Column) -> Column:
+    """What a span gives away, without its spelling: the entity itself (kind and lower-case text, or kind and digits), and
+    its class: the domain of an address, the first two parts of an ip, the first six digits of a card, the first four of
+    a phone number."""
+    digits = F.regexp_replace(x["s"], "[^0-9]", "")
+    plain = F.when(x["k"] >= 2, digits).otherwise(F.lower(x["s"]))
+    group = F.when(x["k"] == 0, F.regexp_extract(plain, "@(.*)$", 1)).when(x["k"] == 1, F.regexp_extract(plain, r"^[0-9]+\.[0-9]+", 0)).when(x["k"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return F.array(F.concat_ws(":", x["k"].cast("string"), plain), F.concat_ws(":", F.lit("class"), x["k"].cast("string"), group))
 
 
 def _terms(text: Column, spans: Column) -> Column:
@@ -99,60 +103,77 @@ def _terms(text: Column, spans: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), entities, and terms of the whole text; only texts with base spans."""
+    """doc_id, h (hash of the text), entities with their classes, and terms of the whole text; only texts with base spans."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.where(F.col("text").rlike("[0-9@]")).select("*", base_spans(F.col("text")).alias("spans"))
-    return rows.where(F.size("spans") > 0).select("doc_id", "h", F.array_distinct(F.transform("spans", _entity)).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("terms"))
+    return rows.where(F.size("spans") > 0).select("doc_id", "h", F.array_distinct(F.flatten(F.transform("spans", _keys))).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("terms"))
 
 
 def counted(near: DataFrame) -> DataFrame:
-    """doc_id, h, terms, es: the entities of a text with their document frequency n_e.
-
-    Entities that no other document holds have the same counts with every term, so one of them stands for all.
-    """
+    """doc_id, h, terms, es: the entities and classes of a text with their document frequency n_e; those that no other
+    document holds are left out, and so are texts without others: seen once, nothing can be said of them."""
     each = near.select("doc_id", "h", F.explode("entities").alias("entity"))
-    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e"))
-    alone = F.when(F.col("n_e") == 1, F.col("entity"))
-    shared = F.when(F.col("n_e") > 1, F.struct("entity", "n_e"))
-    one = F.struct(F.min(alone).alias("entity"), F.lit(1).cast("long").alias("n_e"))
-    of = each.join(n_e, "entity").groupBy("doc_id", "h").agg(F.concat(F.collect_set(shared), F.when(F.min(alone).isNull(), F.array().cast("array<struct<entity:string,n_e:bigint>>")).otherwise(F.array(one))).alias("es"))
+    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1")
+    of = each.join(n_e, "entity").groupBy("doc_id", "h").agg(F.collect_set(F.struct("entity", "n_e")).alias("es"))
     of = of.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "es")
     return near.join(of, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h"))).select("doc_id", "h", "es", "terms")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
-    """(entity, term) where the term gives the entity away.
+def disclosing(docs: DataFrame, near: DataFrame, alpha: float = 0.8, support: int = 2, discount: float = 1.0) -> DataFrame:
+    """(entity, term) where the term gives the entity, or a class of entities, away.
 
-    With document frequencies n over all N documents, a term discloses an entity if their pointwise mutual information
-    ``ln(n(e,t) N / (n(e) n(t)))`` reaches ``alpha`` times the information content ``ln(N / n(e))`` of the entity. This
-    holds for entities of any frequency; ``support`` over 1 asks for so many different texts as well. As n(e,t) is at
-    most n(e), no term with n(t) over ``N (n(e) / N) ** alpha`` can reach it, and such terms go before pairs are made.
+    With document frequencies n over all N documents, the share of the documents of e that hold t is estimated as
+    ``(n(e,t) - discount + discount n(t) / N) / n(e)``: one meeting may be chance, so it counts as much as it would of any
+    document. A term discloses e if that share over ``n(t) / N`` has a logarithm (the shrunk pointwise mutual information)
+    of at least ``alpha`` times the information content ``ln(N / n(e))`` of e. So of an entity seen once nothing
+    follows from how rare a word is; what gives it away shows by its class. Terms and entities have to meet in
+    ``support`` different texts: copies of one text are one.
+
+    As n(e,t) is at most n(e), no term with n(t) over ``N (n(e) / N) ** alpha`` can reach it, and none that stands beside
+    personal data in fewer texts than ``support``: such terms go before pairs are made.
     """
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), 0))).alias("term"))
     total = float(max(docs.count(), 1))
     top = near.agg(F.max(F.array_max(F.transform("es", lambda e: e["n_e"])))).first()[0] or 0
     at_most = lambda n_e: F.lit(total) * F.pow(n_e / F.lit(total), F.lit(alpha)) * F.lit(1 + 1e-6)
-    n_t = said.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= at_most(F.lit(float(top))))
+    beside = near.select("h", F.explode(F.array_distinct(F.transform("terms", lambda t: t["t"]))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("term")
+    n_t = said.join(beside, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= at_most(F.lit(float(top))))
     words = near.select("h", "es", F.explode(F.array_distinct(F.transform("terms", lambda t: t["t"]))).alias("term")).join(n_t, "term")
     pairs = words.select("h", "term", "n_t", F.explode("es").alias("e")).select("h", "term", "n_t", "e.*").where(F.col("n_t") <= at_most(F.col("n_e")))
-    texts = [F.count_distinct("h").alias("texts")] if support > 1 else [F.lit(1).alias("texts")]
-    cooc = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"), *texts).where(F.col("texts") >= support)
-    pmi = F.ln(F.col("n_et") * F.lit(total) / (F.col("n_e").cast("double") * F.col("n_t")))
+    cooc = pairs.groupBy("entity", "term", "n_e", "n_t", "h").agg(F.count("*").alias("n_h")).groupBy("entity", "term", "n_e", "n_t").agg(F.sum("n_h").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    met = F.greatest(F.col("n_et") - F.lit(discount), F.lit(0.0)) + F.lit(discount) * F.col("n_t") / F.lit(total)
+    pmi = F.ln(met * F.lit(total) / (F.col("n_e").cast("double") * F.col("n_t")))
     information = F.ln(F.lit(total) / F.col("n_e"))
     return cooc.where((information > 0) & (F.round(pmi, 9) >= F.round(alpha * information, 9))).select("entity", "term")
 
 
-def term_spans(docs: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
-    """doc_id, h, extra: the disclosing terms in the texts that hold the entity they disclose, as spans of kind term."""
+def term_spans(docs: DataFrame, alpha: float = 0.8, support: int = 2, discount: float = 1.0, shuffled: bool = False) -> DataFrame:
+    """doc_id, h, extra: the disclosing terms in the texts that hold what they disclose, as spans of kind term.
+
+    Terms that disclose nothing go before a text's entities are asked for. ``shuffled`` gives each text the entities of
+    another: what is found then is what chance finds.
+    """
     since = held()
-    near = settle(counted(store(mentions(docs), "pii_mentions")), "pii_counted", since)
-    reveals = store(disclosing(docs, near, alpha, support), "pii_reveals")
-    each = near.select("doc_id", "h", "es", F.explode("terms").alias("t")).select("doc_id", "h", "t.*", F.explode("es.entity").alias("entity"))
-    hit = each.withColumnRenamed("t", "term").join(F.broadcast(reveals) if small(reveals, 50_000) else reveals, ["entity", "term"], "left_semi")
+    found = store(mentions(docs), "pii_mentions")
+    near = settle(counted(permuted(found) if shuffled else found), "pii_counted", since)
+    reveals = store(disclosing(docs, near, alpha, support, discount), "pii_reveals")
+    each = near.select("doc_id", "h", F.col("es.entity").alias("held"), F.explode("terms").alias("t")).select("doc_id", "h", "held", F.col("t.t").alias("term"), "t.start", "t.end")
+    hit = each.join(F.broadcast(reveals) if small(reveals, 50_000) else reveals, "term").where(F.array_contains("held", F.col("entity")))
     span = F.struct("start", F.lit(4).alias("k"), "end", F.col("term").alias("s"))
     return settle(hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("extra")), "pii_extra", since)
 
 
+def permuted(near: DataFrame, about: int = 1000) -> DataFrame:
+    """``mentions`` with each text's entities passed on to the next one by a hash: what co-occurrence would be if nothing
+    gave anything away. Texts pass theirs round in rings of about ``about``, so no task orders all."""
+    rings = max(near.count() // about, 1)
+    rows = near.withColumn("ring", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(rings))).withColumn("order", F.xxhash64("h", F.lit(2)))
+    ring = Window.partitionBy("ring").orderBy("order", "doc_id")
+    whole = Window.partitionBy("ring").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    passed = F.coalesce(F.lag("entities").over(ring), F.last("entities").over(whole))
+    return rows.select("doc_id", "h", passed.alias("entities"), "terms")
+
+
 def _joined(docs: DataFrame, extra: DataFrame, cols: list[str]) -> DataFrame:
     """``cols`` of every document with its base spans and all its spans; texts without base spans are never moved."""
     base = base_spans(F.col("text"))
@@ -165,7 +186,7 @@ def _joined(docs: DataFrame, extra: DataFrame, cols: list[str]) -> DataFrame:
     return held.select(*cols, "__base", spans.alias("__spans")).union(plain)
 
 
-def find(docs: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
+def find(docs: DataFrame, alpha: float = 0.8, support: int = 2) -> DataFrame:
     """doc_id, counts of the base kinds and of terms, base_sha256 and all spans, for every document.
 
     Null texts count as empty and have no spans. Repeated rows have equal results. Only texts with base spans cross a
@@ -197,7 +218,7 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(merged, build))
 
 
-def sanitise(docs: DataFrame, alpha: float = 0.8, support: int = 1) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 0.8, support: int = 2) -> DataFrame:
     """``docs`` with the same columns, personal data generalised to its kind in the text and n_chars brought up to date."""
     rows = _joined(docs, term_spans(docs, alpha, support), docs.columns)
     rows = rows.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans"))))

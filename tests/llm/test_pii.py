@@ -54,31 +54,37 @@ def test_masking_leaves_no_part_of_a_span(spark):
         assert r.m == want + r.text[at:] and flags
 
 
-def terms_brute(rows, alpha, support, reach):
-    """rows: (doc_id, text); all pairs of entity and nearby term, by the definition."""
+def keys_of(k, m):
+    d = re.sub("[^0-9]", "", m)
+    group = {0: m.lower().split("@")[-1], 1: ".".join(m.split(".")[:2]), 2: d[:6], 3: d[:4]}[k]
+    return {(k, d if k >= 2 else m.lower()), ("class", k, group)}
+
+
+def terms_brute(rows, alpha=0.8, support=2, discount=1.0):
+    """rows: (doc_id, text); all pairs of a key (an entity or its class) and a term of its text, by the definition."""
     near, n_e, n_et, n_t, texts = [], Counter(), Counter(), Counter(), {}
     for i, t in rows:
         t = t or ""
-        spans, seen = brute(t), set()
+        spans, keys, terms = brute(t), set(), []
         for w in set(re.findall(r"[^\W\d_]{4,}", t.lower())):
             n_t[w] += 1
-        for s, k, e, m in spans:
-            ent = (k, re.sub("[^0-9]", "", m) if k >= 2 else m.lower())
-            seen.add((ent,))
-            for x in re.finditer(r"[^\W\d_]{4,}", t):
-                inside = (max(0, s - reach) <= x.start() and x.end() <= s) or (e <= x.start() and x.end() <= e + reach)
-                if inside and not any(a < x.end() and x.start() < b for a, _, b, _ in spans):
-                    near.append((i, t, ent, x[0].lower(), x.start(), x.end()))
-                    seen.add((ent, x[0].lower()))
-        for p in seen:
-            if len(p) == 1:
-                n_e[p[0]] += 1
-            else:
-                n_et[p] += 1
-                texts.setdefault(p, set()).add(t)
+        for _, k, _, m in spans:
+            keys |= keys_of(k, m)
+        if spans:
+            terms = [x for x in re.finditer(r"[^\W\d_]{4,}", t) if not any(a < x.end() and x.start() < b for a, _, b, _ in spans)]
+        near.append((i, keys, terms))
+        n_e.update(keys)
+        for p in {(e, x[0].lower()) for e in keys for x in terms}:
+            n_et[p] += 1
+            texts.setdefault(p, set()).add(t)
     n = len(rows)
-    ok = {p for p in n_et if len(texts[p]) >= support and n > n_e[p[0]] and math.log(n_et[p] * n / (n_e[p[0]] * n_t[p[1]])) + 1e-9 >= alpha * math.log(n / n_e[p[0]])}
-    return {(i, s, e) for i, _, ent, w, s, e in near if (ent, w) in ok}
+
+    def discloses(e, w):
+        met = max(n_et[e, w] - discount, 0) + discount * n_t[w] / n
+        return len(texts[e, w]) >= support and n > n_e[e] > 1 and round(math.log(met * n / (n_e[e] * n_t[w])), 9) >= round(alpha * math.log(n / n_e[e]), 9)
+
+    ok = {p for p in n_et if discloses(*p)}
+    return {(i, x.start(), x.end()) for i, keys, terms in near for x in terms if any((e, x[0].lower()) in ok for e in keys)}
 
 
 def test_disclosing_terms_match_brute_force(spark):
@@ -94,7 +100,7 @@ def test_disclosing_terms_match_brute_force(spark):
     rows += [(300, rows[201][1]), (301, None), (302, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, x.start, x.end) for r in pii.term_spans(docs, support=3).collect() for x in r.extra}
-    want = terms_brute(rows, 0.8, 3, 48)
+    want = terms_brute(rows, 0.8, 3)
     assert got == want and want
     words = {dict(rows)[i][s:e] for i, s, e in got}
     assert {"astronaut", "lighthouse"} <= words and "wordb" not in words
@@ -103,19 +109,47 @@ def test_disclosing_terms_match_brute_force(spark):
     assert all(clean[i] == t for i, t in rows[:200])
 
 
-def test_rare_entities_have_terms_by_default(spark):
+def test_entities_seen_once_have_terms_by_their_class_only(spark):
     rows = [(i, f"the letter number {'abcdefghij'[i % 10] * 5} came late from home") for i in range(400)]
-    rows += [(400, "the xylograph came late " + "the letter came late " * 9 + "from rare@one.example.org"), (401, "the theremin came from +1 555 010 9999"), (402, "the theremin came late from +1 555 010 9999")]
+    rows += [(400 + i, f"the xylograph came late {'klmnopqrst'[i % 10] * 5} from writer{i}@one.example.org") for i in range(8)]
+    rows += [(420, "the theremin came from +1 555 010 9999"), (421, "the zither came late from alone@two.example.org"), (422, "the zither came late from home")]
+    rows += [(423, "a harmonium for card 4111 1111 1111 1111"), (424, "a harmonium for card 4111 1111 1111 1111"), (425, "the ocarina from 10.0.7.1"), (426, "an ocarina by 10.0.9.2 and more")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, x.start, x.end) for r in pii.term_spans(docs).collect() for x in r.extra}
-    assert {dict(rows)[i][s:e] for i, s, e in got} == {"xylograph", "theremin"}
-    assert got == terms_brute(rows, 0.8, 1, 10**9)
+    words = {dict(rows)[i][s:e] for i, s, e in got}
+    assert "xylograph" in words and "ocarina" in words and not words & {"theremin", "zither", "harmonium", "late", "came", "card"}
+    assert got == terms_brute(rows)
+    chance = pii.term_spans(docs, shuffled=True).agg(F.sum(F.size("extra"))).first()[0] or 0
+    assert chance <= len(got)
+
+
+def test_real_documents_as_brute_force(spark):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = {(r.doc_id, x.start, x.end) for r in pii.term_spans(real).collect() for x in r.extra}
-    assert got == terms_brute([tuple(r) for r in real.collect()], 0.8, 1, 10**9) and got
+    assert got == terms_brute([tuple(r) for r in real.collect()])
     assert pii.find(real).agg(F.sum("n_term")).first()[0] == len(got)
 
 
+def test_planted_terms_stand_out_of_chance(spark):
+    import random
+
+    rng = random.Random(8)
+    common = [f"w{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcd"]
+    rows = [(i, " ".join(rng.choices(common, k=25))) for i in range(900)]
+    rows += [(1000 + i, " ".join(rng.choices(common, k=12)) + f" secretproject{'abc'[i % 3]} mails p{i}@firm{'abc'[i % 3]}.example.org " + " ".join(rng.choices(common, k=12))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = lambda **o: Counter(x.s for r in pii.term_spans(docs, **o).collect() for x in r.extra)
+    real, chance = count(), count(shuffled=True)
+    assert real == {f"secretproject{c}": 20 for c in "abc"} and sum(chance.values()) < 0.05 * sum(real.values())
+
+
+def test_a_long_text_of_many_known_entities(spark):
+    log = " ".join(f"10.{i // 250}.{i % 250}.7 word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x" for i in range(3000))
+    rows = [(1, log), (2, log + " end"), (3, "10.0.3.7 wordakx")] + [(i, "plain words here") for i in range(4, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, x.start, x.end) for r in pii.term_spans(docs).collect() for x in r.extra} == terms_brute(rows)
+
+
 def test_digest_and_awkward_tables(spark):
     docs = awkward.documents(spark)
     rows = pii.find(docs).collect()
