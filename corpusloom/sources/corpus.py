@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import paths as P
+from corpusloom.sources import repository
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, bytes) of the source files under ``root``; ignored directories and files are skipped before their
-    content is projected, unreadable files are skipped by the reader."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + root.rstrip("/") + "/", "")
-    rows = raw.select(path.alias("path"), F.col("length").alias("bytes"), "content").where(P.scanned(F.col("path")))
-    return rows.select("path", F.decode("content", "UTF-8").alias("content"), "bytes")
+    """(path, content, bytes) of the source files under ``root``; ignored folders are not listed, and files that can't be
+    read are left out: ``repository.skipped`` of ``repository.read`` names them."""
+    return repository.readable(repository.read(spark, root))
 
 
 def assets(spark: SparkSession, root: str) -> DataFrame:
-    """(path, class, content) of files that aren't source: content only of schema files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + root.rstrip("/") + "/", "")
-    rows = raw.select(path.alias("path"), "content").withColumn("class", P.asset_class(F.col("path"))).where("class is not null")
-    return rows.select("path", "class", F.when(F.col("class") == "schema", F.decode("content", "UTF-8")).alias("content"))
+    """(path, class, content) of files that aren't source: content only of schema files, which alone are read."""
+    rows = repository.read(spark, root).where("kind <> 'source' and error is null").withColumn("class", P.asset_class(F.col("path"))).where("class is not null")
+    return rows.select("path", "class", "content")
 
 
 def save_memory(tables: dict[str, DataFrame], root: str) -> None:
