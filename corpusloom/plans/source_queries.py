@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators import generators
 from corpusloom.operators.extend import CachedService, Graph, TrigramService, enrich
 from corpusloom.plans.build_queries import ASSET_SQL, CODE, FORMS, PATHS, TEXTS, built
 from corpusloom.plans.code_files import asset_paths, code_files
@@ -124,3 +125,17 @@ def cached_embedding(spark, d):
     return service.embed(texts).groupBy("id").agg((F.count("*") > 0).alias("embedded"))
 
 
+
+
+@query("""SELECT page_id, position, scheme, host FROM (SELECT page_id, 0 AS position, regexp_extract(url, '^(\\w+)://([^/?#]+)', 1) AS scheme, regexp_extract(url, '^(\\w+)://([^/?#]+)', 2) AS host FROM pages) WHERE host <> ''""".replace("\\\\", "\\"))
+def url_matches(spark, d):
+    """A generator called in a lateral join; the pattern's groups are its columns."""
+    generators.register(spark)
+    return spark.sql(r"SELECT page_id, m.position, m.scheme, m.host FROM {pages} p, LATERAL matches(p.url, r'^(?P<scheme>\w+)://(?P<host>[^/?#]+)') m", pages=table(spark, d, "pages"))
+
+
+@query("SELECT user_id AS key, prev + 1 AS first, event_id - 1 AS last FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) WHERE event_id > prev + 1")
+def event_gaps(spark, d):
+    generators.register(spark)
+    rows = table(spark, d, "events").select("user_id", F.col("event_id").cast("long").alias("event_id"))
+    return spark.sql("SELECT key, first, last FROM gaps(TABLE({rows}))", rows=rows)
