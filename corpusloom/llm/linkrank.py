@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, small, store
+from corpusloom.llm.common import ascii_lower, offer, small, store
 
 #: (verdict, rule): host and path prefix; the longest rule that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -64,28 +64,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.select("src", to.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, iterations: int = 20, cut_every: int = 5, links_a_part: int = 100_000) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank, each adding up to 1 where it has a seed.
 
     Trust starts at the trusted seeds and follows links; distrust starts at the blocked seeds and follows links
     backwards. What hosts without links to follow hold goes back to the seeds: as that only scales the scores of a kind,
     they are scaled once, at the end. Each round is one equi-join and one pre-aggregated sum over hosts, both kinds
     together; the edges are dealt by their start once and kept so (executors that are lost build theirs again from a
-    written table), and lineage is cut by a written table every ``cut_every`` rounds. Hosts that no seed reaches are
+    written table), and lineage is cut by a written table every ``cut_every`` rounds. A host with more links to follow than
+    ``links_a_part`` (a popular host, backwards) lies in as many parts as that asks for, by the links' ends, and its score
+    alone is sent to each of them; so no task holds all links of a hub. Hosts that no seed reaches are
     absent; without seeds or links the table is empty or holds the seeds alone.
     """
     edges = store(host_edges(pages), "host_edges")
     hosts = pages.select(host(F.col("url")).alias("host")).distinct().union(edges.select("dst")).distinct()
     forward = edges.selectExpr("'trust' as kind", "src as frm", "dst as to", "n")
     both = forward.union(edges.selectExpr("'distrust'", "dst", "src", "n"))
-    out = both.groupBy("kind", "frm").agg(F.sum("n").alias("total"))
-    moves = store(both.join(out, ["kind", "frm"]).selectExpr("kind", "frm", "to", "n / total as w"), "host_moves")
-    moves = moves.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "frm").persist()
+    out = store(both.groupBy("kind", "frm").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / links_a_part).cast("int").alias("parts")), "host_out")
+    dealt = F.pmod(F.xxhash64("to"), F.col("parts")).cast("int").alias("part")
+    moves = store(both.join(out, ["kind", "frm"]).select("kind", "frm", dealt, "to", (F.col("n") / F.col("total")).alias("w")), "host_moves")
+    moves = moves.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "frm", "part").persist()
+    hubs = offer(store(out.where("parts > 1").select("kind", F.col("frm").alias("host"), "parts"), "host_hubs"))
     seeds = store(_seeds(hosts, rules), "host_seeds")
     start = seeds.selectExpr("kind", "host", f"seed * {1 - damping} as score")
     state = seeds.selectExpr("kind", "host", "seed as score")
     for i in range(1, iterations + 1):
-        sent = moves.join(state.withColumnRenamed("host", "frm"), ["kind", "frm"])
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        sent = moves.join(state.join(hubs, ["kind", "host"], "left").select("kind", F.col("host").alias("frm"), "score", parts), ["kind", "frm", "part"])
         sent = sent.selectExpr("kind", "to as host", f"score * w * {damping} as score")
         state = start.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % cut_every == 0 or i == iterations:

@@ -111,3 +111,15 @@ def test_shuffled_join_gives_the_same(spark):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
     wide = linkrank.judge_urls(pages, broadcast_hosts=0)
     assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in wide.collect()), key=repr) == judged(pages)
+
+
+def test_a_hub_lies_in_many_parts(spark):
+    """Every second host links to one popular host and it links back to some; parts of two links give the same scores."""
+    rows = ROWS + [(100 + i, f"http://site{i}.com/", a("http://popular.com/", "http://spam.net/x" if i % 3 else f"http://site{i + 1}.com/")) for i in range(40)]
+    rows += [(200, "http://popular.com/", a(*(f"http://site{i}.com/" for i in range(0, 40, 2)), "http://good.example.net/en/1"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_scores(rows)
+    for most in (2, 7, 100_000):
+        got = {r.host: (r.trust, r.distrust) for r in linkrank.host_scores(pages, links_a_part=most).collect()}
+        assert all(abs(got.get(h, (0, 0))[k] - s) < 1e-9 for k, x in enumerate(("trust", "distrust")) for h, s in want[x].items())
+    assert judged(pages) == expect(rows)
