@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import remove
 
 
-#: Schemes of stores without a rename in one step, where creating an object is one.
-OBJECT_STORES = ("s3a", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn")
+#: Schemes of stores without a rename in one step, where a created object shows when it is whole. Their client has to create
+#: conditionally (s3a: conditional writes on, as newer Hadoop has them), else two writers may take one version. Stores
+#: whose files show while they are written, such as abfs, rename in one step and are none of these.
+OBJECT_STORES = ("s3a", "gs", "oss", "cosn")
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ class ShardStore:
 
     A commit writes the new manifest under a name of its own and gives it the name ``v<n>.json`` in one step that fails
     if another writer took that version: by a hard link on a local file system, by a rename that never replaces on HDFS
-    and its like, by an exclusive create on object stores. So a version is either wholly there or not at all, and of
+    and its like (abfs too), by a conditional create on object stores. So a version is either wholly there or not at all, and of
     two writers one is told to retry. Readers see the shards of one version; files that no manifest names (of a job
     that died) are never read, and go at a ``vacuum`` once they are old enough.
     """
