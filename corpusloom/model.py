@@ -16,14 +16,31 @@ RULES = {
 #: Ordered import extensions.
 IMPORT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".java")
 #: Source extensions, ignored directories (the last holds an engine's own state) and files of a scan.
-SOURCE_EXTENSIONS = tuple(".ts .tsx .js .jsx .mjs .cjs .py .java .go .rs .rb .php .cpp .c .h .hpp .cs .swift .kt .scala .sh .bash".split())
-IGNORED_DIRS = tuple("node_modules .git dist build out coverage .nyc_output .cache .tmp vendor .venv venv __pycache__ .corpusloom".split())
-IGNORED_FILES = tuple(".DS_Store package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock".split())
+SOURCE_EXTENSIONS = (
+    ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".java", ".go", ".rs", ".rb", ".php", ".cpp", ".c", ".h", ".hpp", ".cs", ".swift", ".kt",
+    ".scala", ".sh", ".bash",
+)
+IGNORED_DIRS = (
+    "node_modules", ".git", "dist", "build", "out", "coverage", ".nyc_output", ".cache", ".tmp", "vendor", ".venv", "venv", "__pycache__",
+    ".corpusloom",
+)
+IGNORED_FILES = (
+    ".DS_Store", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock",
+)
 
 #: Stop words of the plan cache, of recommendations and of cluster names.
-PLAN_STOP = tuple("the and for are but not you all can had her was one our this that with from have has been will would should could fix add remove update change into than only some time very".split())
-RECOMMEND_STOP = tuple("the and for are but not you all can had her was one our fix add remove update change this that with from have has been".split())
-CLUSTER_STOP = tuple("the and for with this that from into class function const return export import extends implements methods props calls void string number boolean".split())
+PLAN_STOP = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "this", "that", "with", "from", "have", "has",
+    "been", "will", "would", "should", "could", "fix", "add", "remove", "update", "change", "into", "than", "only", "some", "time", "very",
+)
+RECOMMEND_STOP = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "fix", "add", "remove", "update", "change",
+    "this", "that", "with", "from", "have", "has", "been",
+)
+CLUSTER_STOP = (
+    "the", "and", "for", "with", "this", "that", "from", "into", "class", "function", "const", "return", "export", "import", "extends", "implements",
+    "methods", "props", "calls", "void", "string", "number", "boolean",
+)
 
 #: Characters a token by model name, first prefix that fits; the rest 4.0.
 CHARS_PER_TOKEN = (

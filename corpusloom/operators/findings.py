@@ -20,6 +20,7 @@ def rule_scan(files: DataFrame) -> DataFrame:
     or an earlier line: the first checking line of each (file, variable) comes from one aggregate, not from a scan of
     earlier lines for each place.
     """
+    # fixed values: the descriptions and confidences of the six rules, and the words that a comment is outstanding by
     row = lambda kind, text, confidence, line: [F.lit(kind).alias("type"), text.alias("description"), F.lit(confidence).alias("confidence"), line.alias("line")]
     each = lines(files)
     none = F.lit(None).cast("int")
@@ -137,6 +138,7 @@ def solutions(findings: DataFrame, code: DataFrame, problem: str) -> DataFrame:
     """findings (task, description) x code of the task (task, path, code) -> changes; a file without one gets a generic change."""
     met = findings.select("task", "description").join(code, "task")
     low, c = F.lower("description"), F.col("code")
+    # fixed values: what each kind of finding asks for, and the generic change
     options = F.array(
         F.struct((low.contains("null") | low.contains("undefined")).alias("on"), F.lit("Add null-safety checks").alias("what"), F.regexp_replace(c, r"(\w+)\.(\w+)\(", "$1?.$2(").alias("after")),
         F.struct(low.contains("console.log").alias("on"), F.lit("Replace console logging with structured logger").alias("what"), F.regexp_replace(c, r"console\.(log|error)\(", "logger.info(").alias("after")),

@@ -40,16 +40,18 @@ def unwrap(url: Column) -> Column:
 def parse_page(pages: DataFrame, most: int = 5) -> DataFrame:
     """pages (query, html) -> (query, position, title, url, snippet, source, score): the first relevant results.
 
-    A page is split at the outer block of a result only, so each block keeps its snippet.
+    A page is split at the outer block of a result only, so each block keeps its snippet. The url is the one that the
+    result displays, else the one that its title leads to, which also says the source; redirects are unwrapped in both.
     """
     blocks = F.split("html", r"""<div class="result(?:\s[^"]*)?\"""")
     each = pages.select("query", F.posexplode(F.slice(blocks, F.lit(2), F.size(blocks))).alias("position", "b"))
     title = T.strip_tags(F.regexp_extract("b", r"""(?is)<a[^>]*class="result__a"[^>]*>(.*?)</a>""", 1))
     href = unwrap(T.decode_entities(F.regexp_extract("b", r"""(?is)<a[^>]*class="result__a"[^>]*href="([^"]*)\"""", 1)))
+    shown = unwrap(T.decode_entities(F.regexp_extract("b", r"""(?is)<a[^>]*class="result__url"[^>]*href="([^"]*)\"""", 1)))
     snippet = T.strip_tags(F.regexp_extract("b", r"""(?is)<(?:div|a)[^>]*class="result__snippet"[^>]*>(.*?)</(?:div|a)>""", 1))
-    rows = each.select("query", "position", title.alias("title"), href.alias("url"), snippet.alias("snippet")).where("title <> ''")
+    rows = each.select("query", "position", title.alias("title"), F.when(shown != "", shown).otherwise(href).alias("url"), snippet.alias("snippet"), source(href).alias("source")).where("title <> ''")
     rows = rows.where(relevant(F.col("query"), F.col("title"), F.col("snippet")))
-    rows = rows.withColumn("snippet", F.when(F.col("snippet") == "", F.col("title")).otherwise(F.col("snippet"))).withColumn("source", source(F.col("url"))).withColumn("score", credibility(F.col("source")))
+    rows = rows.withColumn("snippet", F.when(F.col("snippet") == "", F.col("title")).otherwise(F.col("snippet"))).withColumn("score", credibility(F.col("source")))
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("position"))).where(F.col("r") <= most).drop("r")
 
 
@@ -78,28 +80,45 @@ def by_credibility(results: DataFrame, most: int = 5) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-#: Simulated results by the words a query has to hold: any of each group.
+#: Results that stand in for a search, by the words a query has to hold, any of each group: title, url,
+#: snippet, source, score.
 SIMULATED = (
-    ((("map",), ("undefined",)), "TypeError: Cannot read property 'map' of undefined", "https://stackoverflow.com/questions/12345", "stackoverflow", 0.92),
-    ((("null", "undefined"),), "Handling null and undefined in JavaScript", "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Reference/Operators/Optional_chaining", "mdn", 0.95),
-    ((("memory leak", "cleanup"),), "React useEffect cleanup function guide", "https://react.dev/reference/react/useEffect", "react-docs", 0.90),
-    ((("async", "await", "promise"),), "JavaScript async/await error handling patterns", "https://javascript.info/async-await", "javascript-info", 0.88),
-)
+    (
+        (("map",), ("undefined",)), "TypeError: Cannot read property 'map' of undefined", "https://stackoverflow.com/questions/12345",
+        "Check if the array is defined before calling .map(). Use optional chaining: arr?.map(...) or ensure initialization.", "stackoverflow", 0.92,
+    ),
+    (
+        (("null", "undefined"),), "Handling null and undefined in JavaScript", "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Reference/Operators/Optional_chaining",
+        "The optional chaining operator (?.) enables you to read the value of a property located deep within a chain of connected objects.", "mdn", 0.95,
+    ),
+    (
+        (("memory leak", "cleanup"),), "React useEffect cleanup function guide", "https://react.dev/reference/react/useEffect",
+        "To prevent memory leaks, return a cleanup function from useEffect. This is especially important for subscriptions and timers.", "react-docs", 0.90,
+    ),
+    (
+        (("async", "await", "promise"),), "JavaScript async/await error handling patterns", "https://javascript.info/async-await",
+        "Always wrap await calls in try/catch blocks. Unhandled promise rejections can crash Node.js applications.", "javascript-info", 0.88,
+    ),
+)
+#: What stands in where no result fits; the query goes between the quotes.
+GENERIC = ("Search results for: ", "https://github.com/search", 'No specific match found. Try searching GitHub issues or Stack Overflow for "', "generic", 0.3)
 
 
 def simulate(queries: DataFrame) -> DataFrame:
-    """queries (query) -> literal results of the rules that fit; one generic result where none does."""
+    """queries (query) -> the literal results that fit, most credible first (rank from 1); a generic one where none does."""
     q = F.lower("query")
+    row = lambda *parts: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in zip(("title", "url", "snippet", "source", "score"), parts, strict=True)])
     hits = []
-    for groups, title, url, label, score in SIMULATED:
+    for groups, *parts in sorted(SIMULATED, key=lambda r: -r[-1]):
         on = F.lit(True)
         for words in groups:
             on = on & F.exists(F.array(*map(F.lit, words)), lambda w: q.contains(w))
-        hits.append(F.when(on, F.struct(F.lit(title).alias("title"), F.lit(url).alias("url"), F.lit(label).alias("source"), F.lit(score).alias("score"))))
+        hits.append(F.when(on, row(*parts)))
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    generic = F.array(F.struct(F.concat(F.lit("Search results for: "), "query").alias("title"), F.lit("https://github.com/search").alias("url"), F.lit("generic").alias("source"), F.lit(0.3).alias("score")))
-    rows = queries.where(F.trim("query") != "").select("query", F.explode(F.when(F.size(found) == 0, generic).otherwise(found)).alias("x"))
-    return rows.select("query", "x.*")
+    title, url, snippet, label, score = GENERIC
+    generic = F.array(row(F.concat(F.lit(title), "query"), url, F.concat(F.lit(snippet), "query", F.lit('".')), label, score))
+    rows = queries.where(F.trim("query") != "").select("query", F.posexplode(F.when(F.size(found) == 0, generic).otherwise(found)).alias("at", "x"))
+    return rows.select("query", (F.col("at") + 1).alias("rank"), "x.*")
 
 
 def fill(params: DataFrame, names: tuple[str, ...]) -> DataFrame:

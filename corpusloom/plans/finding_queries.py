@@ -275,20 +275,19 @@ def url_source_score(spark, d):
     return p.select("page_id", "source", search.credibility(p.source).alias("score"))
 
 
-def _block(title, url, snippet):
-    return f'<div class="result results_links"><h2 class="result__title"><a rel="x" class="result__a" href="{url}">{title}</a></h2><a class="result__url" href="{url}">u</a><div class="result__snippet">{snippet}</div></div>'
+def _block(title, url, snippet, shown):
+    return f'<div class="result results_links"><h2 class="result__title"><a rel="x" class="result__a" href="{url}">{title}</a></h2><a class="result__url" href="{shown}">u</a><div class="result__snippet">{snippet}</div></div>'
 
 
-PAGE = "<html>" + _block("Fix <b>map</b> errors", "https://stackoverflow.com/q/1", "Use &quot;?.&quot; on map") + _block("Unrelated", "https://example.org/x", "nothing") + _block("Map guide", "/l/?uddg=https%3A%2F%2Fmedium.com%2Fp&amp;rut=1", "") + _block("On github", "https://www.github.com/a", "a repo") + "</html>"
 BLOCKS = [("Fix <b>map</b> errors", "https://stackoverflow.com/q/", "Use &quot;?.&quot; on map", "map"), ("Unrelated", "https://example.org/", "nothing", "zzz"), ("Map guide", "/l/?uddg=https%3A%2F%2Fmedium.com%2Fp&amp;rut=", "", "map"), ("On github", "https://www.github.com/a", "a repo", "zzz")]
 PARSED = [("Fix map errors", "https://stackoverflow.com/q/", 'Use "?." on map', "stackoverflow", 0.95), (None, None, None, None, None), ("Map guide", "https://medium.com/p", "Map guide", "medium", 0.70), ("On github", "https://www.github.com/a", "a repo", "github", 0.88)]
 
 
-@query(f"WITH {spread_sql('r', 'title, url, snippet, source, score', PARSED)} SELECT 'map undefined ' || (p // 16) AS query, (p % 16)::INTEGER AS position, title, CASE WHEN p % 4 = 2 THEN url ELSE url || p END AS url, snippet, source, score::DOUBLE AS score FROM r WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p // 16 ORDER BY p) <= 5")
+@query(f"WITH {spread_sql('r', 'title, url, snippet, source, score', PARSED)} SELECT 'map undefined ' || (p // 16) AS query, (p % 16)::INTEGER AS position, title, CASE WHEN p % 8 = 0 THEN 'https://shown.example/' || p WHEN p % 4 = 2 THEN url ELSE url || p END AS url, snippet, source, score::DOUBLE AS score FROM r WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p // 16 ORDER BY p) <= 5")
 def parse_result_page(spark, d):
     """A page of up to 16 results for every 16 parts."""
-    b = spread(spark, d, BLOCKS, "title string, url string, snippet string, word string").select("p", F.floor(F.col("p") / 16).alias("page"), F.lit(_block("%T", "%U", "%S")).alias("form"), "title", F.concat("url", F.col("p").cast("string")).alias("url"), "snippet")
-    block = F.replace(F.replace(F.replace("form", F.lit("%T"), F.col("title")), F.lit("%U"), F.col("url")), F.lit("%S"), F.col("snippet"))
+    b = spread(spark, d, BLOCKS, "title string, url string, snippet string, word string").select("p", F.floor(F.col("p") / 16).alias("page"), F.lit(_block("%T", "%U", "%S", "%D")).alias("form"), "title", F.concat("url", F.col("p").cast("string")).alias("url"), "snippet", F.when(F.col("p") % 8 == 0, F.concat(F.lit("https://shown.example/"), F.col("p").cast("string"))).otherwise("").alias("shown"))
+    block = F.replace(F.replace(F.replace(F.replace("form", F.lit("%T"), F.col("title")), F.lit("%U"), F.col("url")), F.lit("%S"), F.col("snippet")), F.lit("%D"), F.col("shown"))
     pages = b.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", block.alias("b")))), lambda x: x["b"]), "").alias("body"))
     pages = pages.select(F.concat(F.lit("map undefined "), F.col("page").cast("string")).alias("query"), F.concat(F.lit("<html>"), "body", F.lit("</html>")).alias("html"))
     return search.parse_page(pages)
@@ -328,7 +327,13 @@ def provider_fallback(spark, d):
 ASKED = [("map of undefined",), ("memory leak",), ("async cleanup",), ("nothing known",), (" ",)]
 
 
-@query(f"WITH {spread_sql('q0', 'q', ASKED)}, q AS (SELECT CASE WHEN trim(q) = '' THEN q ELSE q || ' ' || p END AS query FROM q0), r AS (" + " UNION ALL ".join("SELECT query, " + ", ".join([literal(t) + " AS title", literal(u) + " AS url", literal(s) + " AS source", f"{c}::DOUBLE AS score"]) + " FROM q WHERE " + " AND ".join("regexp_matches(lower(query), '" + "|".join(g) + "')" for g in groups) for groups, t, u, s, c in search.SIMULATED) + ") SELECT * FROM r UNION ALL SELECT query, 'Search results for: ' || query, 'https://github.com/search', 'generic', 0.3 FROM q WHERE trim(query) <> '' AND query NOT IN (SELECT query FROM r)")
+def _simulated_sql() -> str:
+    rows = " UNION ALL ".join("SELECT query, " + ", ".join([literal(t) + " AS title", literal(u) + " AS url", literal(s) + " AS snippet", literal(c) + " AS source", f"{x}::DOUBLE AS score"]) + " FROM q WHERE " + " AND ".join("regexp_matches(lower(query), '" + "|".join(g) + "')" for g in groups) for groups, t, u, s, c, x in search.SIMULATED)
+    t, u, s, c, x = search.GENERIC
+    return f"WITH {spread_sql('q0', 'q', ASKED)}, q AS (SELECT CASE WHEN trim(q) = '' THEN q ELSE q || ' ' || p END AS query FROM q0), r AS ({rows}), a AS (SELECT * FROM r UNION ALL SELECT query, {literal(t)} || query, {literal(u)}, {literal(s)} || query || '\".', {literal(c)}, {x} FROM q WHERE trim(query) <> '' AND query NOT IN (SELECT query FROM r)) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC)::INTEGER AS rank FROM a"
+
+
+@query(_simulated_sql())
 def simulate_results(spark, d):
     return search.simulate(spread(spark, d, ASKED, "q string").select(F.when(F.trim("q") == "", F.col("q")).otherwise(F.concat_ws(" ", "q", F.col("p").cast("string"))).alias("query")))
 
