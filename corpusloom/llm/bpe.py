@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -10,6 +11,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -195,11 +198,143 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return _from_ids(encoded, path, "decoded string", lambda ids, pieces_, _: [_joined(ids, pieces_)])
 
 
-def digests(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_000) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from its ids, by one worker.
+def _packed(docs: DataFrame, cols: list[str], buckets: int, most: int) -> DataFrame:
+    """Texts in chunks of about ``most`` bytes, or one longer text. A chunk has a row a text (bucket -1): ``cols`` and, as
+    codes, the words in order of position; and a row for each bucket that one of its distinct words falls into: those words
+    and their codes. Both are compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        chunk, codes, size = TaskContext.get().partitionId() << 32, {}, 0
+        kinds = [pa.string()] * len(cols)
+
+        def rows(bucket: list[int], at: list[int], words: list[bytes | None], ids: list[bytes], carried: list[pa.Array]) -> pa.RecordBatch:
+            own = [pa.array([chunk] * len(at), pa.int64()), pa.array(bucket, pa.int32()), pa.array(at, pa.int64()), pa.array(words, pa.binary()), pa.array(ids, pa.binary())]
+            return pa.RecordBatch.from_arrays([*own, *carried], ["__chunk", "__bucket", "__at", "__words", "__codes", *cols])
+
+        def table() -> pa.RecordBatch:
+            words = list(codes)
+            of = np.array([zlib.crc32(w) % buckets for w in words])
+            order = np.argsort(of, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+            joined = [press(b"\n".join([words[i] for i in part])) for part in parts]
+            return rows([int(of[x[0]]) for x in parts], [0] * len(parts), joined, [press(x.astype("<u4").tobytes()) for x in parts], [pa.nulls(len(parts), k) for k in kinds])
+
+        at = 0
+        for batch in batches:
+            kinds = batch.schema.types[: len(cols)]
+            for part in _slices(batch, len(cols)):
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(len(cols))]
+                ids = [press(np.array([codes.setdefault(w, len(codes)) for w in t.split()], "<u4").tobytes()) for t in texts]
+                yield rows([-1] * len(texts), list(range(at, at + len(texts))), [None] * len(texts), ids, [part.column(i) for i in range(len(cols))])
+                at, size = at + len(texts), size + sum(map(len, texts))
+                if size >= most and codes:
+                    yield table()
+                    chunk, codes, size = chunk + 1, {}, 0
+        if codes:
+            yield table()
+
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
+    return docs.select(*cols, "text").mapInArrow(tidy(pack), f"__chunk long, __bucket int, __at long, __words binary, __codes binary, {kept}")
+
+
+def _bucket_ids(words: DataFrame, shared) -> DataFrame:
+    """The packed words of the chunks, dealt by bucket: each distinct word is encoded once in the corpus, and every chunk
+    gets the ids of its own. A task holds the words of one bucket."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, press, open_ = _tokenizer(shared.value), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        now, seen = None, {}
+        for batch in batches:
+            for chunk, bucket, packed, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, seen = bucket, {}
+                words = open_(packed).split(b"\n")
+                new = [w for w in words if w not in seen]
+                for w, e in zip(new, t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    seen[w] = np.array(e.ids, "<i4").tobytes()
+                ids = [seen[w] for w in words]
+                lengths = (np.array([len(x) for x in ids]) // 4).astype("<u4").tobytes()
+                columns = [pa.array([chunk]), pa.array([codes], pa.binary()), pa.array([press(lengths)], pa.binary()), pa.array([press(b"".join(ids))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["__chunk", "__codes", "__lengths", "__ids"])
+
+    dealt = words.select("__chunk", "__bucket", "__words", "__codes").repartition("__bucket").sortWithinPartitions("__bucket")
+    return dealt.mapInArrow(tidy(encode), "__chunk long, __codes binary, __lengths binary, __ids binary")
+
+
+def _met(docs: DataFrame, path: str, cols: list[str], schema: str, after, buckets: int | None = None, most: int = 16 << 20) -> DataFrame:
+    """``after`` over batches of ``cols`` and ids of every text: the words' ids come back to the positions of their chunk.
+
+    Words of a chunk meet the table of distinct words by bucket, and their ids meet the chunk's texts by chunk: two
+    equi-joins, whose groups are bounded by the chunk's size and by the words of a bucket. Only distinct words of a chunk
+    and packed positions are moved, so less than the texts.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(load(path))
+    since = held()
+    packed = store(_packed(docs, cols, buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions")), most), "bpe_packed")
+    ids = _bucket_ids(packed.where("__bucket >= 0"), shared).withColumn("__bucket", F.lit(0)).withColumn("__at", F.lit(0).cast("long"))
+    texts = packed.where("__bucket < 0").withColumn("__bucket", F.lit(1)).drop("__words")
+    both = texts.unionByName(ids, allowMissingColumns=True).select("__chunk", "__bucket", "__at", "__codes", "__lengths", "__ids", *cols)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        now, parts, table = None, [], None
+        for batch in batches:
+            chunks, kinds, codes, lengths, ids = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+            i = 0
+            while i < batch.num_rows:
+                if chunks[i] != now:
+                    now, parts, table = chunks[i], [], None
+                if kinds[i] == 0:
+                    parts.append((np.frombuffer(open_(codes[i]), "<u4"), np.frombuffer(open_(lengths[i]), "<u4"), np.frombuffer(open_(ids[i]), "<i4")))
+                    i += 1
+                    continue
+                if table is None:
+                    table = _by_code(parts)
+                    parts = []
+                rows, n, begin = [], 0, i
+                while i < batch.num_rows and chunks[i] == now and kinds[i] == 1 and n < 200_000:
+                    rows.append(np.frombuffer(open_(codes[i]), "<u4"))
+                    n, i = n + len(rows[-1]), i + 1
+                yield from after(pa.RecordBatch.from_arrays([*(batch.column(6 + k).slice(begin, i - begin) for k in range(len(cols))), _gathered(rows, *table)], [*cols, "ids"]))
+
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
+    return settle(both.repartition("__chunk").sortWithinPartitions("__chunk", "__bucket", "__at").mapInArrow(tidy(meet), f"{kept}, {schema}"), "bpe_met", since)
+
+
+def _by_code(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, begin) of the ids of each code, and all ids of a chunk's words."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    codes, lengths, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+    length, begin = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    length[codes] = lengths
+    begin[codes] = np.cumsum(lengths, dtype=np.int64) - lengths
+    return length, begin, ids
+
+
+def _gathered(rows: list[np.ndarray], length: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    """The ids of each row of codes, in order of position."""
+    codes = np.concatenate(rows).astype(np.int64)
+    n = length[codes]
+    ends = np.cumsum(n)
+    flat = ids[np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    of_row = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
+    return pa.ListArray.from_arrays(pa.array(of_row.astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def encode_joined(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """``encode`` through the table of distinct words: see ``_met``."""
+    return _met(docs, path, list(carry), "ids array<int>", lambda batch: [batch], **options)
+
+
+def digests(docs: DataFrame, path: str, **options) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded through the table of distinct words, its ids
+    joined back by position, then decoded by joining ids to pieces.
 
     Null and empty texts have no ids and decode to an empty text; repeated rows have equal results; an empty table
-    gives no row. A text of any length is hashed as it is encoded, one text at a time in memory.
+    gives no row. ``options`` are those of ``_met``: the number of buckets and the bytes of a chunk.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces(load(path)))
     tables: list[pa.Array] = []
@@ -213,7 +348,7 @@ def digests(docs: DataFrame, path: str, most: int = 131_072, local: int = 150_00
             columns = [batch.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), sha(_joined(ids, tables[1])), sha(_joined(ids, tables[0]))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _encoded(docs, path, most, local, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+    return _met(docs, path, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", digest, **options)
 
 
 def encode_by_join(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

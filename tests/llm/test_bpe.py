@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -14,18 +15,19 @@ TRICKY = [
 ]
 
 
-def check(spark, docs, **options):
+def check(spark, docs, joined=None, **options):
     t = Tokenizer.from_file(PATH)
     t.no_truncation(), t.no_padding()
     text = [r.text for r in docs.orderBy("doc_id").collect()]
-    rows = bpe.digests(docs, PATH, **options).orderBy("doc_id").collect()
+    rows = bpe.digests(docs, PATH, **(joined or {})).orderBy("doc_id").collect()
     back = bpe.decode(bpe.encode(docs, PATH, **options), PATH).orderBy("doc_id").collect()
-    assert len(rows) == len(text)
-    for s, r, b in zip(text, rows, back, strict=True):
+    met = bpe.encode_joined(docs, PATH, **(joined or {})).orderBy("doc_id").collect()
+    assert len(rows) == len(text) == len(met)
+    for s, r, b, m in zip(text, rows, back, met, strict=True):
         ids = t.encode(s or "", add_special_tokens=False).ids
         decoded = t.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), s
-        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest() and b.decoded == decoded
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest() and b.decoded == decoded and m.ids == ids
 
 
 def test_as_the_library_does(spark):
@@ -33,10 +35,21 @@ def test_as_the_library_does(spark):
     check(spark, docs.unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string")))
 
 
-def test_small_tables_do_not_change_ids(spark):
+def test_small_tables_and_chunks_do_not_change_ids(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY * 2)], "doc_id long, text string").repartition(3)
-    check(spark, docs, most=2, local=3)
-    check(spark, docs, most=0, local=1)
+    check(spark, docs, {"buckets": 1, "most": 1}, most=2, local=3)
+    check(spark, docs, {"buckets": 5, "most": 50}, most=0, local=1)
+
+
+def test_each_distinct_word_is_encoded_once(spark):
+    """However many chunks hold a word, one bucket does, and its task encodes it for all of them."""
+    docs = spark.createDataFrame([(i, f"common word{i % 7} rare{i}") for i in range(60)], "doc_id long, text string").repartition(6)
+    words = bpe._packed(docs, ["doc_id"], 4, 1).where("__bucket >= 0").select("__bucket", "__words").collect()
+    of = {}
+    for r in words:
+        for w in zstandard.ZstdDecompressor().decompress(bytes(r["__words"])).split(b"\n"):
+            of.setdefault(w, []).append(r["__bucket"])
+    assert len(of) == 68 and all(len(set(b)) == 1 for b in of.values()) and len(of[b"common"]) > 1
 
 
 def test_joins_give_the_same(spark):
