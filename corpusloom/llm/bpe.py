@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -201,11 +200,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def _packed(docs: DataFrame, cols: list[str], buckets: int, most: int) -> DataFrame:
     """Texts in chunks of about ``most`` bytes, or one longer text. A chunk has a row a text (bucket -1): ``cols`` and, as
     codes, the words in order of position; and a row for each bucket that one of its distinct words falls into: those words
-    and their codes. Both are compressed."""
+    and their codes. Both are compressed.
+
+    A chunk's name and codes follow from its input split and the order of rows in it, so rows that are made again, or
+    twice, are the same; a table that isn't read straight from files is written to the shared folder first.
+    """
+    if not docs.where(F.input_file_name() == "").select(F.lit(1)).isEmpty():
+        docs = store(docs.select(*cols, "text"), "bpe_docs")
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
-        chunk, codes, size = TaskContext.get().partitionId() << 32, {}, 0
+        name = lambda of, k: int.from_bytes(hashlib.blake2b(f"{of}:{k}".encode(), digest_size=8).digest(), "little", signed=True)
+        now, k, chunk, codes, size = None, 0, 0, {}, 0
         kinds = [pa.string()] * len(cols)
 
         def rows(bucket: list[int], at: list[int], words: list[bytes | None], ids: list[bytes], carried: list[pa.Array]) -> pa.RecordBatch:
@@ -222,20 +229,25 @@ def _packed(docs: DataFrame, cols: list[str], buckets: int, most: int) -> DataFr
 
         at = 0
         for batch in batches:
-            kinds = batch.schema.types[: len(cols)]
-            for part in _slices(batch, len(cols)):
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(len(cols))]
-                ids = [press(np.array([codes.setdefault(w, len(codes)) for w in t.split()], "<u4").tobytes()) for t in texts]
-                yield rows([-1] * len(texts), list(range(at, at + len(texts))), [None] * len(texts), ids, [part.column(i) for i in range(len(cols))])
+            kinds = batch.schema.types[1 : len(cols) + 1]
+            splits = batch.column(0).to_numpy()
+            runs = [0, *(np.flatnonzero(np.diff(splits)) + 1).tolist(), batch.num_rows]
+            for part in (x for i, j in zip(runs, runs[1:], strict=False) if j > i for x in _slices(batch.slice(i, j - i), len(cols) + 1)):
+                of = part.column(0)[0].as_py()
+                if of != now or size >= most:
+                    if codes:
+                        yield table()
+                    now, k = of, k + 1 if of == now else 0
+                    chunk, codes, size = name(now, k), {}, 0
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(len(cols) + 1)]
+                ids = [press(np.array([codes.setdefault(w, len(codes)) for w in t.split()], "<u4").view("u1").reshape(-1, 4).T.tobytes()) for t in texts]
+                yield rows([-1] * len(texts), list(range(at, at + len(texts))), [None] * len(texts), ids, [part.column(i + 1) for i in range(len(cols))])
                 at, size = at + len(texts), size + sum(map(len, texts))
-                if size >= most and codes:
-                    yield table()
-                    chunk, codes, size = chunk + 1, {}, 0
         if codes:
             yield table()
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*cols, "text").mapInArrow(tidy(pack), f"__chunk long, __bucket int, __at long, __words binary, __codes binary, {kept}")
+    return docs.select(split.alias("__split"), *cols, "text").mapInArrow(tidy(pack), f"__chunk long, __bucket int, __at long, __words binary, __codes binary, {kept}")
 
 
 def _bucket_ids(words: DataFrame, shared) -> DataFrame:
@@ -267,12 +279,12 @@ def _met(docs: DataFrame, path: str, cols: list[str], schema: str, after, bucket
 
     Words of a chunk meet the table of distinct words by bucket, and their ids meet the chunk's texts by chunk: two
     equi-joins, whose groups are bounded by the chunk's size and by the words of a bucket. Only distinct words of a chunk
-    and packed positions are moved, so less than the texts.
+    and packed positions are moved, so less than the texts; texts are read twice and written never.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(path))
     since = held()
-    packed = store(_packed(docs, cols, buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions")), most), "bpe_packed")
+    packed = _packed(docs, cols, buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions")), most)
     ids = _bucket_ids(packed.where("__bucket >= 0"), shared).withColumn("__bucket", F.lit(0)).withColumn("__at", F.lit(0).cast("long"))
     texts = packed.where("__bucket < 0").withColumn("__bucket", F.lit(1)).drop("__words")
     both = texts.unionByName(ids, allowMissingColumns=True).select("__chunk", "__bucket", "__at", "__codes", "__lengths", "__ids", *cols)
@@ -295,7 +307,7 @@ def _met(docs: DataFrame, path: str, cols: list[str], schema: str, after, bucket
                     parts = []
                 rows, n, begin = [], 0, i
                 while i < batch.num_rows and chunks[i] == now and kinds[i] == 1 and n < 200_000:
-                    rows.append(np.frombuffer(open_(codes[i]), "<u4"))
+                    rows.append(np.ascontiguousarray(np.frombuffer(open_(codes[i]), "u1").reshape(4, -1).T).view("<u4").ravel())
                     n, i = n + len(rows[-1]), i + 1
                 yield from after(pa.RecordBatch.from_arrays([*(batch.column(6 + k).slice(begin, i - begin) for k in range(len(cols))), _gathered(rows, *table)], [*cols, "ids"]))
 
