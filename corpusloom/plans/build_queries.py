@@ -35,7 +35,7 @@ def cosine_pairs_within_type(spark, d):
 
 @query(f"WITH {PAIRS}, c AS (SELECT * FROM pairs WHERE cosine >= 0.25), m AS (SELECT a AS n, b AS o, cosine FROM c UNION ALL SELECT b, a, cosine FROM c), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY n ORDER BY cosine DESC, o) <= 5) SELECT DISTINCT least(n, o) AS source, greatest(n, o) AS target, CASE WHEN cosine >= 0.4 THEN 'similar_to' ELSE 'related' END AS type, round(cosine, 6) AS weight FROM t")
 def similarity_bands_topk(spark, d):
-    best = similarity.top_neighbours(similarity.cosine_pairs(vectors(spark, d), 0.25), 5)
+    best = similarity.nearest(vectors(spark, d), 0.25, 5)
     return best.select(F.col("a").alias("source"), F.col("b").alias("target"), similarity.band(F.col("cosine"), 0.4, 0.25).alias("type"), F.round("cosine", 6).alias("weight"))
 
 
@@ -45,7 +45,7 @@ r(n, m) AS (SELECT a, a FROM s UNION SELECT r.n, s.b FROM r JOIN s ON s.a = r.m)
 
 @query(f"{REACH} SELECT cluster, member FROM k")
 def concept_clusters(spark, d):
-    return similarity.clusters(similarity.cosine_pairs(vectors(spark, d), 0.40), 0.40)
+    return similarity.grouped(similarity.linked(vectors(spark, d), 0.40))
 
 
 STOP = ", ".join(f"'{w}'" for w in CLUSTER_STOP)
@@ -53,7 +53,7 @@ STOP = ", ".join(f"'{w}'" for w in CLUSTER_STOP)
 
 @query(f"{REACH}, w AS (SELECT k.cluster, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}'), lambda x: x NOT IN ({STOP})))) AS w FROM k JOIN documents ON doc_id = k.member::BIGINT), n AS (SELECT cluster, w, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 2), b AS (SELECT cluster, w FROM n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, length(w) DESC, w) = 1) SELECT DISTINCT k.cluster, coalesce(b.w, 'cluster-' || left(k.cluster, 6)) AS name FROM k LEFT JOIN b ON b.cluster = k.cluster")
 def cluster_names(spark, d):
-    found = similarity.clusters(similarity.cosine_pairs(vectors(spark, d), 0.40), 0.40)
+    found = store(similarity.grouped(similarity.linked(vectors(spark, d), 0.40)), "concepts")
     texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("member"), "text")
     return similarity.cluster_names(found.join(texts, "member", "left").select("cluster", "text"))
 
