@@ -8,6 +8,7 @@ counts as a function, a class, an import or an export of a language is said by t
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,12 +36,13 @@ MARK = "\ue000"
 class Outline:
     """The code of a text: ``top``, what lies outside all brackets; ``strings`` (text, line); ``groups`` (start, end, own,
     inner) of the brackets on the two outer levels: lines, own text, and all text of the outermost ones. In ``top`` and
-    ``own`` a string is ``"n"`` and a bracket ``(n)``, by its place in the lists; deeper brackets are empty."""
+    ``own`` a string is ``"n"`` and a bracket ``(n)``, by its place in the lists; deeper brackets are empty. In ``inner`` a
+    bracket with brackets in it is spelt out without its number, so names in it stand alone; another is as in ``own``."""
 
     def __init__(self, text: str, dialect: str):
         self.strings: list[tuple[str, int]] = []
         self.groups: list[list] = []
-        self.line, self.flat = 1, []
+        self.line, self.flat, self.marks = 1, [], {}
         self.stack: list[tuple[str, int]] = []  # what closes it, number of the group or -1
         self.buffers: list[list[str]] = [[f"{MARK}1\n"]]
         self._scan(text, TOKENS[dialect])
@@ -63,6 +65,8 @@ class Outline:
         if kept:
             self.groups.append([self.line, self.line, "", ""])
         self._put(opener + (str(n) if kept else ""))
+        if kept:
+            self.marks[n] = len(self.flat)
         self.stack.append((closer, n))
         self.buffers.append([])
 
@@ -73,16 +77,20 @@ class Outline:
             self.groups[n][1:3] = self.line, own
             if not self.stack:
                 self.groups[n][3] = "".join(self.flat)
+            elif any("(" in s for s in self.flat[self.marks[n] :]):
+                self.flat[self.marks[n] - 1] = self.flat[self.marks[n] - 1][0]
+            else:
+                del self.flat[self.marks[n] :]
         if not self.stack:
             self.flat = []
         if closer != "`":
             self._put(closer)
 
     def _scan(self, text: str, tokens: re.Pattern) -> None:
-        at = 0
+        at, stack, search = 0, self.stack, tokens.search
         while at < len(text):
-            inside = bool(self.stack) and self.stack[-1][0] == "`"
-            m = (_TEMPLATE if inside else tokens).search(text, at)
+            inside = bool(stack) and stack[-1][0] == "`"
+            m = _TEMPLATE.search(text, at) if inside else search(text, at)
             before, token = text[at : m.start() if m else len(text)], m[0] if m else ""
             if inside:
                 self.line += before.count("\n") + token.count("\n")
@@ -91,8 +99,10 @@ class Outline:
                 elif token == "${":
                     self._push("{", "}", False)
             else:
-                self._put(before)
-                self._token(token)
+                if before:
+                    self._put(before)
+                if token:
+                    self._token(token)
             at = m.end() if m else len(text)
 
     def _token(self, token: str) -> None:
@@ -129,14 +139,21 @@ def outlines(files: DataFrame) -> DataFrame:
     ext = P.extension(F.col("path"))
     dialect = F.when(ext == ".go", "go").when(ext == ".java", "java").otherwise("js")
 
+    def arrays(found: list[Outline]) -> list[pa.Array]:
+        each = lambda rows, kind: pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32()), pa.StructArray.from_arrays([pa.array(c, kind.value_type.field(n).type) for n, c in enumerate(zip(*itertools.chain(*rows)) if any(rows) else [[]] * kind.value_type.num_fields)], fields=list(kind.value_type)))
+        return [pa.array([o.top for o in found]), each([o.strings for o in found], _STRINGS), each([o.groups for o in found], _GROUPS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of as many files as came, fewer where texts are long."""
         for batch in batches:
+            found, size, first = [], 0, 0
             for i in range(batch.num_rows):
-                text, kind = batch.column(3)[i].as_py() or "", batch.column(4)[i].as_py()
-                o = Outline(text, kind)
-                strings = pa.array([[{"text": s, "line": n} for s, n in o.strings]], _STRINGS)
-                groups = pa.array([[dict(zip(("start", "end", "own", "inner"), g, strict=True)) for g in o.groups]], _GROUPS)
-                yield pa.RecordBatch.from_arrays([batch.column(j).slice(i, 1) for j in (0, 1, 2, 4)] + [pa.array([o.top]), strings, groups], ["path", "content_hash", "total_lines", "dialect", "top", "strings", "groups"])
+                text = batch.column(3)[i].as_py() or ""
+                found.append(Outline(text, batch.column(4)[i].as_py()))
+                size += len(text)
+                if size > 1 << 22 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(j).slice(first, len(found)) for j in (0, 1, 2, 4)] + arrays(found), ["path", "content_hash", "total_lines", "dialect", "top", "strings", "groups"])
+                    found, size, first = [], 0, i + 1
 
     text = F.coalesce("content", F.lit(""))
     rows = files.select("path", F.sha2(text.cast("binary"), 256).alias("content_hash"), F.size(F.split(text, "\n", -1)).alias("total_lines"), "content", dialect.alias("dialect"))
@@ -192,8 +209,9 @@ def _none() -> Column:
 
 
 def _hits(text: Column, form: str, *groups: int) -> Column:
-    """All matches of a form as an array of structs g0, g1, ... of the groups named."""
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(form), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)])
+    """All matches of a form as an array of structs g0, g1, ... of the groups named. The text is searched once; the groups
+    are read from each match, where a form holds as well: none looks beyond its end, and it begins where a text may."""
+    return F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda m: F.struct(*[F.regexp_extract(m, form, g).alias(f"g{i}") for i, g in enumerate(groups)]))
 
 
 def _group(n: Column) -> Column:
@@ -237,10 +255,9 @@ def _js_params(n: Column) -> Column:
     return F.filter(F.transform(_listed(F.regexp_replace(_group(n)["own"], r"([\[{(])\d+", "$1")), lambda p: F.regexp_extract(p, rf"^(?:@[\w.$]+(?:\(\))?\s*)*(?:(?:public|private|protected|readonly|override)\s+)*((?:\.\.\.)?(?:{NAME}|\{{\}}|\[\]))", 1)), lambda p: p != "")
 
 
-def _js(top: Column) -> dict[str, Column]:
-    code = F.regexp_replace(top, rf"{MARK}\d+", "")
+def _js(top: Column, code: Column, fn: Column, cl: Column) -> dict[str, Column]:
     calls = lambda body: F.get(F.filter(F.array(callees(_group(body)["inner"])), lambda x: F.size(x) > 0), F.lit(0))
-    declared = F.transform(_hits(code, FUNCTION, 1, 2, 3, 4, 5, 6), lambda m: F.struct(m["g2"].alias("name"), _js_params(m["g3"]).alias("params"), _or_null(m["g4"]).alias("return_type"), (m["g0"] != "").alias("is_exported"), _begins(_group(m["g3"]), m["g1"]).alias("start_line"), _group(m["g5"])["end"].alias("end_line"), calls(m["g5"]).alias("calls")))
+    declared = F.transform(fn, lambda m: F.struct(m["g2"].alias("name"), _js_params(m["g3"]).alias("params"), _or_null(m["g4"]).alias("return_type"), (m["g0"] != "").alias("is_exported"), _begins(_group(m["g3"]), m["g1"]).alias("start_line"), _group(m["g5"])["end"].alias("end_line"), calls(m["g5"]).alias("calls")))
     number = lambda g: F.when(g != "", g.cast("int"))
 
     def arrow(m: Column) -> Column:
@@ -263,7 +280,7 @@ def _js(top: Column) -> dict[str, Column]:
         parent, interfaces = heritage(m)
         return F.struct(m["g2"].alias("name"), F.regexp_extract_all(own, F.lit(METHOD), F.lit(1)).alias("methods"), F.regexp_extract_all(own, F.lit(FIELD), F.lit(1)).alias("properties"), (m["g0"] != "").alias("is_exported"), _begins(_group(m["g4"]), m["g1"]).alias("start_line"), _group(m["g4"])["end"].alias("end_line"), parent.alias("super_class"), interfaces.alias("implements"))
 
-    classes = F.transform(_hits(code, CLASS, 1, 2, 3, 4, 5), cls)
+    classes = F.transform(cl, cls)
 
     def clause(m: Column) -> Column:
         row = lambda items, default: F.struct(_text(m["g1"]).alias("source"), items.alias("items"), F.lit(default).alias("is_default"), F.get("strings", m["g1"].cast("int"))["line"].alias("line"))
@@ -279,15 +296,13 @@ def _js(top: Column) -> dict[str, Column]:
 
     out = lambda name, kind, line: F.struct(name.alias("name"), F.lit(kind).alias("kind"), line.cast("int").alias("line"))
     said = lambda rows, kind, mark, g: F.transform(F.filter(rows, lambda m: m["g0"].rlike(mark)), lambda m: out(m["g2"], kind, _begins(_group(m[g]), m["g1"])))
-    fn, cl = _hits(code, FUNCTION, 1, 2, 3, 4), _hits(code, CLASS, 1, 2, 3, 5)
     variables = F.transform(_hits(top, VARIABLE, 2, 1), lambda m: out(m["g0"], "variable", m["g1"]))
     again = F.flatten(F.transform(F.regexp_extract_all(code, F.lit(REEXPORT), F.lit(1)), lambda n: F.transform(_listed(_group(n)["own"]), lambda x: out(F.regexp_extract(x, rf"^(?:type\s+)?({NAME})", 1), "default", _group(n)["start"]))))
-    exports = F.concat(*[x.cast(EXPORTS) for x in (said(fn, "function", "export", "g3"), said(cl, "class", "export", "g3"), variables, said(fn, "default", "default", "g3"), said(cl, "default", "default", "g3"), again)])
+    exports = F.concat(*[x.cast(EXPORTS) for x in (said(fn, "function", "export", "g3"), said(cl, "class", "export", "g4"), variables, said(fn, "default", "default", "g3"), said(cl, "default", "default", "g4"), again)])
     return {"functions": functions, "classes": classes.cast(CLASSES), "imports": imports, "exports": F.array_sort(exports, lambda a, b: a["line"] - b["line"])}
 
 
-def _go(top: Column) -> dict[str, Column]:
-    code = F.regexp_replace(top, rf"{MARK}\d+", "")
+def _go(code: Column) -> dict[str, Column]:
     param = lambda p: F.when(p.rlike(r"^\w+\s+\S"), F.concat(F.regexp_extract(p, r"^(\w+)", 1), F.lit(": "), F.regexp_extract(p, r"^\w+\s+(.*)$", 1))).otherwise(p)
     params = lambda n: F.transform(_listed(_group(n)["own"]), param)
     public = lambda name: F.substring(name, 1, 1) == F.upper(F.substring(name, 1, 1))
@@ -306,8 +321,7 @@ def _exported(rows: Column, kind: str) -> Column:
     return F.transform(F.filter(rows, lambda x: x["is_exported"]), lambda x: F.struct(x["name"].alias("name"), F.lit(kind).alias("kind"), x["start_line"].alias("line"))).cast(EXPORTS)
 
 
-def _java(top: Column) -> dict[str, Column]:
-    code = F.regexp_replace(top, rf"{MARK}\d+", "")
+def _java(top: Column, code: Column) -> dict[str, Column]:
 
     def cls(m: Column) -> Column:
         own = _group(m["g2"])["own"]
@@ -331,7 +345,11 @@ def facts(files: DataFrame) -> DataFrame:
     """
     ext = P.extension(F.col("path"))
     rows = outlines(files.where(F.coalesce(ext != ".py", F.lit(True))))
-    js, go, java = _js(F.col("top")), _go(F.col("top")), _java(F.col("top"))
+    # columns of their own, which are used more than once and so made once
+    rows = rows.withColumn("code", F.regexp_replace("top", rf"{MARK}\d+", ""))
+    braced = F.col("dialect") == "js"
+    rows = rows.withColumn("fn", F.when(braced, _hits(F.col("code"), FUNCTION, 1, 2, 3, 4, 5, 6))).withColumn("cl", F.when(braced, _hits(F.col("code"), CLASS, 1, 2, 3, 4, 5)))
+    js, go, java = _js(*map(F.col, ("top", "code", "fn", "cl"))), _go(F.col("code")), _java(F.col("top"), F.col("code"))
     pick = lambda k: F.when(F.col("dialect") == "go", go[k]).when(F.col("dialect") == "java", java[k]).otherwise(js[k]).alias(k)
     braces = rows.select("path", "content_hash", "total_lines", *[pick(k) for k in ("functions", "classes", "imports", "exports")], F.coalesce(ext.isin(*JS, ".go", ".java"), F.lit(False)).alias("has_structure"))
     return braces.unionByName(python_facts(files.where(ext == ".py")))
