@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE_CHARS, let, words
+from corpusloom.llm.common import SPACE_CHARS, let, offer, store, words
+from corpusloom.operators.metrics import exact_quantiles
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -80,18 +81,18 @@ class Ratio:
         return F.round(let(let(w, lambda x: buckets_of(x, len(self.weights))), total), 9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 13, trusted_rows: int = 20_000, prior: float = 20_000.0, shrink: float = 50.0, keep: float = 0.999, slack: float = 0.05) -> Ratio:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 13, prior: float = 20_000.0, shrink: float = 50.0, keep: float = 0.999, slack: float = 0.05) -> Ratio:
     """Fit the ratio between the trusted target and the raw corpus.
 
-    Raw counts cover every row of ``docs``. The target is the documents that ``labels`` calls good, at most
-    ``trusted_rows`` of them by hash of doc_id (a bounded sample of labelled rows, so its ids may be broadcast). Both
-    come from one pass that counts before the shuffle; what reaches the driver is one row a bucket. The target is
-    smoothed by ``prior`` n-grams of the raw corpus. The threshold lies ``slack`` under the score that the share
-    ``keep`` of the trusted documents reaches. Without trusted documents all weights and the threshold are 0.
+    Raw counts cover every row of ``docs``; the target is all documents that ``labels`` calls good. Their ids are
+    broadcast while they are few, else the texts meet them by a shuffled join. Both counts come from one pass that
+    counts before the shuffle; what reaches the driver is one row a bucket. The target is smoothed by ``prior`` n-grams
+    of the raw corpus. The threshold lies ``slack`` under the score that the share ``keep`` of all trusted documents
+    reaches, an exact quantile of their stored scores. Without trusted documents all weights and the threshold are 0.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).select("doc_id", F.lit(1).alias("trusted"))
-    marked = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(good), "doc_id", "left")
+    good = offer(good.select("doc_id", F.lit(1).alias("trusted")), 500_000)
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("trusted", words(F.col("text")).alias("w"))
     grams = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(let(F.col("w"), lambda w: buckets_of(w, buckets))).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")).collect()
     raw, target = [0] * buckets, [0] * buckets
@@ -103,8 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 13, trusted_rows
     q = [(x + 0.5) / (n_raw + 0.5 * buckets) for x in raw]
     weights = tuple(round(math.log((t + prior * p) / (n_target + prior)) - math.log(p), 9) for t, p in zip(target, q, strict=True))
     ratio = Ratio(weights, 0.0, shrink)
-    scores = docs.join(F.broadcast(good), "doc_id", "left_semi").select(ratio.score(words(F.col("text"))).alias("score"))
-    low = scores.agg(F.percentile("score", F.lit(1 - keep))).first()[0]
+    scores = store(docs.join(good, "doc_id", "left_semi").select(ratio.score(words(F.col("text"))).alias("score")), "trusted_scores")
+    low = exact_quantiles(scores, "score", [1 - keep])[0]
     return Ratio(weights, round(low - slack, 6), shrink)
 
 
