@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.model import rule_rows
-from corpusloom.shared import bucketed, store
+from corpusloom.shared import bucketed, offer, store
 
 TEST_FILE = r"\.(test|spec)\."
 
@@ -99,8 +99,26 @@ def root_causes(t: Trace) -> DataFrame:
     return t.affected.join(t.relaxed, "node_id", "left_anti").select("node_id", F.col("probability").alias("confidence"), "distance")
 
 
+def reach(nodes: DataFrame, edges: DataFrame, entry: DataFrame, direction: str = "both", depth: int = 3, min_weight: float = 0.0, include_tests: bool = False) -> DataFrame:
+    """(id): what a ``trace`` with the same limits affects, and the entry points that exist and aren't tests.
+
+    A node is affected if ``depth`` allowed steps lead to it, whatever their weights, so no walk and no probability is
+    kept: a round asks of the edges where they are read whether they begin in its front, and writes new nodes only.
+    """
+    known, steps = reachable(nodes, include_tests), allowed(edges, direction, min_weight)
+    seen = front = store(known.join(entry.select("id").distinct(), "id", "left_semi").distinct(), "starts")
+    for level in range(1, depth + 1):
+        met = steps.join(offer(front).withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        met = store(met.join(offer(seen), "id", "left_anti"), f"met_{level}")
+        front = store(known.join(offer(met), "id", "left_semi").distinct(), f"reached_{level}")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
 def recall_context(nodes: DataFrame, edges: DataFrame, entry: DataFrame, depth: int = 3, min_weight: float = 0.5) -> DataFrame:
-    """(id, type): the entry points and all that a trace both ways or upstream reaches."""
-    both = trace(nodes, edges, entry, "both", depth, min_weight).affected.select(F.col("node_id").alias("id"))
-    up = trace(nodes, edges, entry, "upstream", depth, min_weight).affected.select(F.col("node_id").alias("id"))
-    return nodes.join(entry.select("id").union(both).union(up).distinct(), "id", "left_semi").select("id", "type")
+    """(id, type): the entry points and all that a trace both ways or upstream reaches. Each step upstream is one of those
+    both ways (``allowed``), so one search finds what both traces do. Entry points that are tests are returned, too."""
+    found = reach(nodes, edges, entry, "both", depth, min_weight)
+    return nodes.join(offer(entry.select("id").union(found).distinct()), "id", "left_semi").select("id", "type")

@@ -218,4 +218,4 @@ def _recall_sql() -> str:
 
 @query(_recall_sql())
 def context_recall(spark, d):
-    return propagation.recall_context(nodes(spark, d), edges(spark, d), entry_points(spark))
+    return propagation.recall_context(nodes(spark, d), named_edges(raw_edges(spark, d)), entry_points(spark))
