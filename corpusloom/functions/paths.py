@@ -23,6 +23,17 @@ def normalise(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
+def joined(path: Column, source: Column) -> Column:
+    """The path that a relative ``source`` names from the file ``path``, normalised. Where steps up stand at its beginning
+    only, which is the rule, they are counted and so many folders are cut; other forms go step by step."""
+    folder, step, odd = dirname(path), r"^(?:\.\.?/)+", r"(?:^|/)\.{0,2}(?:/|$)"
+    rest = F.regexp_replace(source, step, "")
+    ups = F.length(F.regexp_replace(F.regexp_replace(F.regexp_extract(source, step, 0), r"(?<!\.)\./", ""), "[^/]", ""))
+    left = F.size(F.split(folder, "/")) - ups
+    kept = F.when(left > 0, F.concat(F.call_function("substring_index", folder, F.lit("/"), left), F.lit("/"), rest)).when(folder.isNotNull(), rest)
+    return F.when(folder.rlike(odd) | rest.rlike(odd), normalise(F.concat(folder, F.lit("/"), source))).otherwise(kept)
+
+
 def strip_extension(path: Column) -> Column:
     return F.regexp_replace(path, "\\.(js|jsx|mjs|cjs|ts|tsx)$", "")
 

@@ -22,9 +22,9 @@ def file_keys(files: DataFrame) -> DataFrame:
 def import_keys(imports: DataFrame) -> DataFrame:
     """imports (path, source) -> (path, source, key, base): the target of each relative import, and the target without its
     own extension, which is tried after it."""
-    target = P.normalise(F.concat(P.dirname(F.col("path")), F.lit("/"), F.col("source")))
-    keys = imports.select("path", "source").where(F.col("source").startswith(".")).distinct()
-    return keys.select("path", "source", F.posexplode(F.array_distinct(F.array(target, P.strip_extension(target)))).alias("base", "key"))
+    target = P.joined(F.col("path"), F.col("source"))
+    keys = imports.select("path", "source").where(F.col("source").startswith(".")).distinct().withColumn("target", target)
+    return keys.select("path", "source", F.posexplode(F.array_distinct(F.array("target", P.strip_extension(F.col("target"))))).alias("base", "key"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

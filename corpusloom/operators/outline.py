@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths as P
 
 JS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-_PLAIN = r"""//[^\n]*|/\*(?:.*?\*/|.*)|{extra}"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|[{{}}()\[\]\n]"""
-#: A slash begins a pattern where a value may begin: after an operator, an opening bracket or a line's beginning.
-_REGEX = r"(?<=[(,=:\[!&|?{;+\-*%~^<>\n])[ \t]{0,16}/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|`|"
+#: Code without a token, then a token if one begins there: a run is passed at once, not tried at each character.
+_PLAIN = r"""[^"'`/()\[\]{{}}]*+(//[^\n]*|/\*(?:.*?\*/|.*)|{extra}"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|[{{}}()\[\]])?"""
 TOKENS = {
-    "js": re.compile(_PLAIN.format(extra=_REGEX), re.S),
+    "js": re.compile(_PLAIN.format(extra=r"`|"), re.S),
     "go": re.compile(_PLAIN.format(extra=r"`[^`]*`?|"), re.S),
     "java": re.compile(_PLAIN.format(extra=r'"""(?:(?:\\.|.)*?"""|.*)|'), re.S),
 }
+#: A slash begins a pattern where a value may begin: after an operator, an opening bracket or a line's beginning, with at
+#: most 16 blanks between.
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*", re.S)
+_VALUES = frozenset("(,=:[!&|?{;+-*%~^<>\n")
 _TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
 CLOSE = {"(": ")", "[": "]", "{": "}"}
 #: Before a line's number at the outermost level.
@@ -45,7 +48,7 @@ class Outline:
         self.line, self.flat, self.marks = 1, [], {}
         self.stack: list[tuple[str, int]] = []  # what closes it, number of the group or -1
         self.buffers: list[list[str]] = [[f"{MARK}1\n"]]
-        self._scan(text, TOKENS[dialect])
+        self._scan(text, dialect)
         while self.stack:
             self._pop()
         self.top = "".join(self.buffers[0])
@@ -55,6 +58,22 @@ class Outline:
         if self.stack:
             self.flat.append(s)
 
+    def _text(self, s: str) -> None:
+        """Code between tokens, with its line ends."""
+        if self.stack:
+            self.buffers[-1].append(s)
+            self.flat.append(s)
+            self.line += s.count("\n")
+        elif "\n" in s:
+            first, *rest = s.split("\n")
+            out = [first]
+            for part in rest:
+                self.line += 1
+                out.append(f"{MARK}{self.line}\n{part}")
+            self.buffers[0].append("".join(out))
+        else:
+            self.buffers[0].append(s)
+
     def _string(self, body: str) -> None:
         self._put(f'"{len(self.strings)}"')
         self.strings.append((body, self.line))
@@ -86,47 +105,84 @@ class Outline:
         if closer != "`":
             self._put(closer)
 
-    def _scan(self, text: str, tokens: re.Pattern) -> None:
-        at, stack, search = 0, self.stack, tokens.search
+    def _scan(self, text: str, dialect: str) -> None:
+        at, stack = 0, self.stack
         while at < len(text):
-            inside = bool(stack) and stack[-1][0] == "`"
-            m = _TEMPLATE.search(text, at) if inside else search(text, at)
-            before, token = text[at : m.start() if m else len(text)], m[0] if m else ""
-            if inside:
-                self.line += before.count("\n") + token.count("\n")
-                if token == "`":
-                    self._pop()
-                elif token == "${":
-                    self._push("{", "}", False)
+            at = self._template(text, at) if stack and stack[-1][0] == "`" else self._code(text, at, dialect)
+
+    def _template(self, text: str, at: int) -> int:
+        """Pass over a template's text, up to its end or to code in it."""
+        while m := _TEMPLATE.search(text, at):
+            self.line += text.count("\n", at, m.end())
+            at = m.end()
+            if m[0] == "`":
+                self._pop()
+                return at
+            if m[0] == "${":
+                self._push("{", "}", False)
+                return at
+        self.line += text.count("\n", at)
+        return len(text)
+
+    def _code(self, text: str, since: int, dialect: str) -> int:
+        """Read code up to its end or to a template's text."""
+        at, end, stack, match, js = since, len(text), self.stack, TOKENS[dialect].match, dialect == "js"
+        while at < end:
+            m = match(text, at)
+            token, stop = m[1], m.end()
+            if token is None:  # a character that begins no token here, or a pattern
+                first, literal = self._pattern(text, since, stop) if js and text.startswith("/", stop) else (stop, "")
+                at = first + len(literal) if literal else stop + 1
+                if literal:
+                    if first > since:
+                        self._text(text[since:first])
+                    since = at
+                    self._string(literal)
+                continue
+            first = stop - len(token)
+            if first > since:
+                self._text(text[since:first])
+            at = since = stop
+            if token in CLOSE:
+                self._push(token, CLOSE[token], len(stack) < 2)
+            elif token in (")", "]", "}"):
+                self._close(token)
+                if stack and stack[-1][0] == "`":
+                    return at
+            elif token.startswith(("//", "/*")):
+                self.line += token.count("\n")
+                self._put(" ")
+            elif token == "`":
+                self._string("")
+                stack.append(("`", -1))
+                self.buffers.append([])
+                return at
             else:
-                if before:
-                    self._put(before)
-                if token:
-                    self._token(token)
-            at = m.end() if m else len(text)
-
-    def _token(self, token: str) -> None:
-        if token == "\n":
-            self.line += 1
-            self._put(f"{MARK}{self.line}\n" if not self.stack else "\n")
-        elif token in CLOSE:
-            self._push(token, CLOSE[token], len(self.stack) < 2)
-        elif token in (")", "]", "}"):
-            open_ = [closer for closer, _ in self.stack]
-            if token in open_ and "`" not in open_[len(open_) - open_[::-1].index(token) :]:
-                while self.stack[-1][0] != token:
-                    self._pop()
+                q = 3 if token.startswith('"""') else 1
+                self._string(token.strip()[q:-q])
+        if end > since:
+            self._text(text[since:])
+        return end
+
+    def _pattern(self, text: str, since: int, slash: int) -> tuple[int, str]:
+        """Where the blanks before a slash begin, and they with the pattern that it begins; nothing if it begins none."""
+        first = slash
+        while first > since and text[first - 1] in " \t":
+            first -= 1
+        if slash - first > 16 or not first or text[first - 1] not in _VALUES:
+            return first, ""
+        m = _REGEX.match(text, slash)
+        return first, text[first : m.end()] if m else ""
+
+    def _close(self, token: str) -> None:
+        if self.stack and self.stack[-1][0] == token:
+            self._pop()
+            return
+        open_ = [closer for closer, _ in self.stack]
+        if token in open_ and "`" not in open_[len(open_) - open_[::-1].index(token) :]:
+            while self.stack[-1][0] != token:
                 self._pop()
-        elif token.startswith(("//", "/*")):
-            self.line += token.count("\n")
-            self._put(" ")
-        elif token == "`":
-            self._string("")
-            self.stack.append(("`", -1))
-            self.buffers.append([])
-        elif token:
-            q = 3 if token.startswith('"""') else 1
-            self._string(token.strip()[q:-q] if token.lstrip()[0] != "/" else token)
+            self._pop()
 
 
 _OUTLINE = "path string, content_hash string, total_lines int, dialect string, top string, strings array<struct<text:string,line:int>>, groups array<struct<start:int,end:int,own:string,inner:string>>"
@@ -229,18 +285,23 @@ def _begins(group: Column, before: Column) -> Column:
 
 def _flat(own: Column) -> Column:
     """Without type arguments, so commas divide what they seem to."""
+    bare = own
     for _ in range(3):
-        own = F.regexp_replace(own, "<[^<>]*>", "")
-    return own
+        bare = F.regexp_replace(bare, "<[^<>]*>", "")
+    return F.when(own.contains("<"), bare).otherwise(own)
+
+
+def _bare(text: Column) -> Column:
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _listed(own: Column) -> Column:
     """The items between commas, trimmed, none empty."""
-    return F.filter(F.transform(F.split(_flat(own), ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(_flat(own), ","), _bare), lambda x: x != "")
 
 
 def _or_null(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    bare = _bare(text)
     return F.when(bare != "", bare)
 
 

@@ -41,11 +41,13 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, d: str, version: int = 0) -> DataFrame:
-    """(path, content) of every part. Version 1 is a later state: every 19th part is gone, every 5th has another comment,
-    and the exported function of every 7th has another name."""
+    """(path, content) of every part, dealt evenly to as many tasks as the session shuffles to: rows of keys are small, so by
+    their bytes they would be put together in a few tasks, which then make and read all texts. Version 1 is a later state:
+    every 19th part is gone, every 5th has another comment, and the exported function of every 7th has another name."""
     p, v = F.col("p_partkey"), F.lit(version)
     sources = relations(spark, d).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("k", "q"))).alias("to"))
-    rows = table(spark, d, "part").select("p_partkey", "p_name").join(sources, p == F.col("p"), "left").withColumn("to", F.coalesce("to", F.array().cast("array<struct<k:int,q:int>>")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, d, "part").select("p_partkey").repartition(n, "p_partkey").join(sources, p == F.col("p"), "left").withColumn("to", F.coalesce("to", F.array().cast("array<struct<k:int,q:int>>")))
     each = lambda f, sep: F.array_join(F.transform("to", lambda x: f(x["q"])), sep)
     spec = lambda q: _text("../../", _stem(q), F.when((q % 3 == 1) & (_kind(q) == "ts"), ".js").when((q % 3 == 2) & (_kind(q) == "ts"), ".ts").otherwise(""))
     made = _text(F.when((v == 1) & (p % 7 == 0), "made").otherwise("make"), p)
