@@ -107,19 +107,29 @@ def files(spark, d):
     return repositories(spark, d)
 
 
+#: The facts that edges between symbols follow from; exports are asked for by none of them.
+SYMBOLS = ("functions", "classes", "imports")
+
+
 def built(spark, d, files=None):
     """The facts of the files and their scope."""
-    facts = store(outline.facts(code_files(spark, d) if files is None else files), "facts")
+    facts = store(outline.facts(code_files(spark, d) if files is None else files).select("path", *SYMBOLS), "facts")
     return facts, layers.scope(facts)
 
 
+def imports_of(spark, d, files=None):
+    """The imports of the files, resolved: of their facts only these are made."""
+    facts = store(outline.facts(code_files(spark, d) if files is None else files).select("path", "imports"), "imports")
+    return layers.resolved(facts, facts)
+
+
 def of_type(*types):
     return f"{CODE} SELECT source, target, type, weight FROM edges WHERE type IN ({', '.join(map(literal, types))})"
 
 
 @query(f"{CODE} SELECT path, spec AS source, target AS resolved FROM r UNION ALL SELECT path, source, NULL FROM modules")
 def resolve_imports(spark, d):
-    return built(spark, d)[1].imports.select("path", "source", "resolved")
+    return imports_of(spark, d).select("path", "source", "resolved")
 
 
 @query(of_type("imports"))
@@ -159,12 +169,12 @@ def contains_edges(spark, d):
 
 @query(of_type("tested_by"))
 def tested_by(spark, d):
-    return build.tested_by(built(spark, d)[1].imports)
+    return build.tested_by(imports_of(spark, d))
 
 
 @query(of_type("depends_on"))
 def depends_on(spark, d):
-    return build.depends_on(built(spark, d)[1].imports)
+    return build.depends_on(imports_of(spark, d))
 
 
 @query(f"{CODE} SELECT 'function:' || path || ':' || name AS id FROM functions WHERE NOT exported AND NOT contains(path, '.test.') AND 'function:' || path || ':' || name NOT IN (SELECT target FROM edges WHERE type = 'calls')")

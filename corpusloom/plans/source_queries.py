@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from corpusloom.operators import generators
 from corpusloom.operators.extend import CachedService, Graph, TrigramService, enrich
-from corpusloom.plans.build_queries import ASSET_SQL, CODE, FORMS, PATHS, TEXTS, built
+from corpusloom.plans.build_queries import ASSET_SQL, CODE, FORMS, PATHS, TEXTS, built, imports_of
 from corpusloom.plans.code_files import asset_paths, code_files
 from corpusloom.plans.registry import query
 from corpusloom.plans.tables import EDGES, NODES, edges, nodes, spread, spread_sql, table
@@ -23,7 +23,7 @@ def corpus_scan(spark, d):
 @query(f"{CODE} SELECT path, target AS related, CASE kind WHEN 'ts' THEN '/* function ' WHEN 'go' THEN 'package main' ELSE 'package shop' END AS snippet FROM r")
 def related_files(spark, d):
     files = code_files(spark, d)
-    return corpus.related(built(spark, d, files)[1].imports, files, 12)
+    return corpus.related(imports_of(spark, d, files), files, 12)
 
 
 @query(f"{CODE} SELECT DISTINCT path, path IN (SELECT path FROM f) AS found FROM (SELECT path FROM functions UNION ALL SELECT replace(path, '/m', '/gone') FROM classes)")
