@@ -16,15 +16,15 @@ def file_keys(files: DataFrame) -> DataFrame:
     cut = lambda tail: F.substring(p, F.lit(1), F.length(p) - len(tail))
     named = lambda tail, rank: F.when(p.endswith(tail) & (F.length(p) > len(tail)), F.struct(cut(tail).alias("key"), F.lit(rank).alias("rank")))
     keys = [F.struct(p.alias("key"), F.lit(0).alias("rank"))] + [named(t, r) for i, x in enumerate(IMPORT_EXTENSIONS) for t, r in ((x, 2 * i + 1), ("/index" + x, 2 * i + 2))]
-    return files.select("path").distinct().select(p.alias("candidate"), F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.key", "k.rank", "candidate")
+    return files.select(p.alias("candidate"), F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.key", "k.rank", "candidate")
 
 
 def import_keys(imports: DataFrame) -> DataFrame:
-    """imports (path, source) -> (path, source, key, base): the target of each relative import, and the target without its
-    own extension, which is tried after it."""
+    """imports (path, source, ...) -> the same with (base, key): the target of each relative import, and the target without
+    its own extension, which is tried after it."""
     target = P.joined(F.col("path"), F.col("source"))
-    keys = imports.select("path", "source").where(F.col("source").startswith(".")).distinct().withColumn("target", target)
-    return keys.select("path", "source", F.posexplode(F.array_distinct(F.array("target", P.strip_extension(F.col("target"))))).alias("base", "key"))
+    keys = imports.where(F.col("source").startswith(".")).withColumn("target", target)
+    return keys.select(*imports.columns, F.posexplode(F.array_distinct(F.array("target", P.strip_extension(F.col("target"))))).alias("base", "key"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     again without its own extension. Files say what they may be called and imports what they ask for, so both meet in one
     equi-join on that name, and the soonest tried is kept.
     """
-    met = import_keys(imports).join(file_keys(files), "key")
+    met = import_keys(imports.select("path", "source").distinct()).join(file_keys(files), "key")
     found = met.groupBy("path", "source").agg(F.min_by("candidate", F.col("base") * 100 + F.col("rank")).alias("resolved"))
     return imports.join(found, ["path", "source"], "left")
 

@@ -29,44 +29,57 @@ FILE_MEMBER = r"(?<!\w)fs\.(?:promises\.)?(\w++)"
 DECLARES = {".prisma": r"(?<!\w)model\s++(\w+)\s*+\{", ".sql": r"""(?i)(?<!\w)create\s++table\s++(?:if\s++not\s++exists\s++)?["'`\[]?(\w+)"""}
 
 
-def _hits(text: Column, form: str, *groups: int) -> Column:
-    """All matches of a form as an array of structs g0, g1, ... of the groups named."""
-    every = [F.regexp_extract_all(text, F.lit(form), g).alias(f"g{i}") for i, g in enumerate(groups)]
-    return F.arrays_zip(*every)
+#: What a text tells frameworks: kind, name, type.
+MARKS = "array<struct<kind:string,name:string,type:string>>"
 
 
-def places(files: DataFrame) -> DataFrame:
-    """(path, receiver, mark, method, quote, literal, name) of every PLACE, one pass over the texts; parts that a place
-    lacks are empty."""
-    hits = files.select("path", F.explode(_hits(F.col("content"), PLACE, 1, 2, 3, 4, 5, 6)).alias("h"))
-    return hits.select("path", *[F.col(f"h.g{i}").alias(c) for i, c in enumerate(("receiver", "mark", "method", "quote", "literal", "name"))])
+def marks(text: Column) -> Column:
+    """What a text tells frameworks, as MARKS in one pass over it, as often as it is told: a route (its path; the verb), an
+    event (its name; subscribes or publishes), a use of middleware (its name) and data (filesystem or database; reads_from
+    or writes_to). Each place is found once and its parts are read from the match: no part of PLACE looks beyond its end."""
+    mark = lambda kind, name, type_: F.struct(F.lit(kind).alias("kind"), name.alias("name"), type_.alias("type"))
+    parts = lambda m: F.struct(*[F.regexp_extract(m, PLACE, g).alias(c) for g, c in ((1, "receiver"), (2, "mark"), (3, "method"), (5, "literal"), (6, "name"))])
+
+    def meant(p: Column) -> Column:
+        dotted, method = p["mark"] == ".", p["method"]
+        heard = F.when(method.isin(*SUBSCRIBE), "subscribes").when(method.isin(*PUBLISH), "publishes")
+        return F.array(
+            F.when(F.lower(method).isin(*VERBS) & p["literal"].startswith("/"), mark("route", p["literal"], F.upper(method))),
+            F.when(dotted & (p["literal"] != ""), mark("event", p["literal"], heard)),
+            F.when(dotted & p["receiver"].isin(*SERVERS) & (method == "use") & (p["name"] != ""), mark("use", p["name"], F.lit("middleware"))),
+            F.when(dotted & (p["receiver"] != "") & (method == "query"), mark("data", F.lit("database"), F.lit("reads_from"))),
+        )
+
+    touched = lambda m: mark("data", F.lit("filesystem"), F.when(m.isin(*FS_READ), "reads_from").when(m.isin(*FS_WRITE), "writes_to"))
+    said = F.flatten(F.transform(F.transform(F.regexp_extract_all(text, F.lit(PLACE), F.lit(0)), parts), meant))
+    every = F.concat(said, F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(FILE_MEMBER), F.lit(1))), touched))
+    return F.coalesce(F.filter(every, lambda x: x["type"].isNotNull()), F.array()).cast(MARKS)
+
+
+def _marked(files: DataFrame, kind: str, name: str, type_: str) -> DataFrame:
+    """(path, name, type) of one kind, each once: from the column ``marks`` where the files have it, else from their texts."""
+    every = files.select("path", F.explode(F.col("marks") if "marks" in files.columns else marks(F.col("content"))).alias("m")).where(F.col("m.kind") == kind)
+    return every.select("path", F.col("m.name").alias(name), F.col("m.type").alias(type_)).distinct()
 
 
 def routes(files: DataFrame) -> DataFrame:
     """(path, method, route): registrations by call and by decorator; the route begins with a slash."""
-    p = places(files).where(F.lower("method").isin(*VERBS) & F.col("literal").startswith("/"))
-    return p.select("path", F.upper("method").alias("method"), F.col("literal").alias("route")).distinct()
+    return _marked(files, "route", "route", "method").select("path", "method", "route")
 
 
 def events(files: DataFrame) -> DataFrame:
     """(path, event, type): subscribes and publishes with a literal name."""
-    kind = F.when(F.col("method").isin(*SUBSCRIBE), "subscribes").when(F.col("method").isin(*PUBLISH), "publishes")
-    return places(files).where((F.col("mark") == ".") & (F.col("literal") != "")).select("path", F.col("literal").alias("event"), kind.alias("type")).where("type is not null").distinct()
+    return _marked(files, "event", "event", "type")
 
 
 def middleware(files: DataFrame) -> DataFrame:
     """(path, name): bare identifiers that a server-like receiver uses."""
-    used = (F.col("mark") == ".") & F.col("receiver").isin(*SERVERS) & (F.col("method") == "use") & (F.col("name") != "")
-    return places(files).where(used).select("path", "name").distinct()
+    return _marked(files, "use", "name", "type").select("path", "name")
 
 
 def data_access(files: DataFrame) -> DataFrame:
     """(path, resource, type): reads_from and writes_to the file system, and reads_from databases: what has a query."""
-    member = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(FILE_MEMBER), F.lit(1)))).alias("m"))
-    kind = F.when(F.col("m").isin(*FS_READ), "reads_from").when(F.col("m").isin(*FS_WRITE), "writes_to")
-    of_files = member.select("path", F.lit("filesystem").alias("resource"), kind.alias("type")).where("type is not null")
-    asked = places(files).where((F.col("mark") == ".") & (F.col("receiver") != "") & (F.col("method") == "query"))
-    return of_files.union(asked.select("path", F.lit("database"), F.lit("reads_from"))).distinct()
+    return _marked(files, "data", "resource", "type")
 
 
 def schema_tables(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -190,8 +190,10 @@ _STRINGS = pa.list_(pa.struct([("text", pa.string()), ("line", pa.int32())]))
 _GROUPS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("own", pa.string()), ("inner", pa.string())]))
 
 
-def outlines(files: DataFrame) -> DataFrame:
-    """files (path, content) with a dialect -> their outlines, one row a file, in the files' own partitions."""
+def outlines(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """files (path, content) with a dialect -> their outlines, one row a file, in the files' own partitions; the columns
+    ``keep`` pass through."""
+    columns = ["path", "content_hash", "total_lines", "dialect", "top", "strings", "groups", *keep]
     ext = P.extension(F.col("path"))
     dialect = F.when(ext == ".go", "go").when(ext == ".java", "java").otherwise("js")
 
@@ -208,12 +210,13 @@ def outlines(files: DataFrame) -> DataFrame:
                 found.append(Outline(text, batch.column(4)[i].as_py()))
                 size += len(text)
                 if size > 1 << 22 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(j).slice(first, len(found)) for j in (0, 1, 2, 4)] + arrays(found), ["path", "content_hash", "total_lines", "dialect", "top", "strings", "groups"])
+                    as_it_is = [batch.column(j).slice(first, len(found)) for j in (0, 1, 2, *range(4, batch.num_columns))]
+                    yield pa.RecordBatch.from_arrays(as_it_is[:4] + arrays(found) + as_it_is[4:], columns)
                     found, size, first = [], 0, i + 1
 
     text = F.coalesce("content", F.lit(""))
-    rows = files.select("path", F.sha2(text.cast("binary"), 256).alias("content_hash"), F.size(F.split(text, "\n", -1)).alias("total_lines"), "content", dialect.alias("dialect"))
-    return rows.mapInArrow(run, _OUTLINE)
+    rows = files.select("path", F.sha2(text.cast("binary"), 256).alias("content_hash"), F.size(F.split(text, "\n", -1)).alias("total_lines"), "content", dialect.alias("dialect"), *keep)
+    return rows.mapInArrow(run, ", ".join([_OUTLINE, *[f"{k} {files.schema[k].dataType.simpleString()}" for k in keep]]))
 
 
 # ---- what the languages write, over the outline
@@ -396,24 +399,24 @@ def _java(top: Column, code: Column) -> dict[str, Column]:
 COLUMNS = ("path", "content_hash", "total_lines", "functions", "classes", "imports", "exports", "has_structure")
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """files (path, content) -> one row a file of COLUMNS: functions, classes, imports and exports as arrays of structs in
     order of lines; no shuffle.
 
     Only declarations of the outermost level count, and members of classes. Python is read by its own parser; a file
     that it can't read, and files of languages without patterns (read as JavaScript is), have no structure.
-    Null and empty contents have none of them; other columns are left out; repeated paths are rows of their own.
+    Null and empty contents have none of them; columns but ``keep`` are left out; repeated paths are rows of their own.
     """
     ext = P.extension(F.col("path"))
-    rows = outlines(files.where(F.coalesce(ext != ".py", F.lit(True))))
+    rows = outlines(files.where(F.coalesce(ext != ".py", F.lit(True))), keep)
     # columns of their own, which are used more than once and so made once
     rows = rows.withColumn("code", F.regexp_replace("top", rf"{MARK}\d+", ""))
     braced = F.col("dialect") == "js"
     rows = rows.withColumn("fn", F.when(braced, _hits(F.col("code"), FUNCTION, 1, 2, 3, 4, 5, 6))).withColumn("cl", F.when(braced, _hits(F.col("code"), CLASS, 1, 2, 3, 4, 5)))
     js, go, java = _js(*map(F.col, ("top", "code", "fn", "cl"))), _go(F.col("code")), _java(F.col("top"), F.col("code"))
     pick = lambda k: F.when(F.col("dialect") == "go", go[k]).when(F.col("dialect") == "java", java[k]).otherwise(js[k]).alias(k)
-    braces = rows.select("path", "content_hash", "total_lines", *[pick(k) for k in ("functions", "classes", "imports", "exports")], F.coalesce(ext.isin(*JS, ".go", ".java"), F.lit(False)).alias("has_structure"))
-    return braces.unionByName(python_facts(files.where(ext == ".py")))
+    braces = rows.select("path", "content_hash", "total_lines", *[pick(k) for k in ("functions", "classes", "imports", "exports")], F.coalesce(ext.isin(*JS, ".go", ".java"), F.lit(False)).alias("has_structure"), *keep)
+    return braces.unionByName(python_facts(files.where(ext == ".py"), keep))
 
 
 def python_outline(text: str) -> dict[str, list]:
@@ -438,10 +441,10 @@ def python_outline(text: str) -> dict[str, list]:
     return out
 
 
-def python_facts(files: DataFrame) -> DataFrame:
-    """``facts`` of Python files, in Arrow batches."""
+def python_facts(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``facts`` of Python files, in Arrow batches, through which the columns ``keep`` pass as JSON."""
     kinds = {"functions": FUNCTIONS, "classes": CLASSES, "imports": IMPORTS, "exports": EXPORTS}
-    schema = "path string, content_hash string, total_lines int, " + ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", has_structure boolean"
+    schema = "path string, content_hash string, total_lines int, " + ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", has_structure boolean" + "".join(f", {k} string" for k in keep)
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
@@ -453,7 +456,7 @@ def python_facts(files: DataFrame) -> DataFrame:
                     found.append({k: [] for k in kinds} | {"has_structure": False})
             for k in (*kinds, "has_structure"):
                 pdf[k] = [x[k] for x in found]
-            yield pdf.drop(columns="content")
+            yield pdf.drop(columns="content")[[*COLUMNS, *keep]]
 
     text = F.coalesce("content", F.lit(""))
-    return files.select("path", F.sha2(text.cast("binary"), 256).alias("content_hash"), F.size(F.split(text, "\n", -1)).alias("total_lines"), "content").mapInPandas(run, schema)
+    return files.select("path", F.sha2(text.cast("binary"), 256).alias("content_hash"), F.size(F.split(text, "\n", -1)).alias("total_lines"), "content", *[F.to_json(k).alias(k) for k in keep]).mapInPandas(run, schema).select(*COLUMNS, *[F.from_json(k, files.schema[k].dataType).alias(k) for k in keep])
