@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 
 from corpusloom.functions import tokens, vector
 from corpusloom.operators.caches import probe
-from corpusloom.operators.graph import merge
+from corpusloom.operators.graph import merged
 
 
 @dataclass
@@ -31,12 +31,16 @@ class Enricher(Protocol):
 
 
 def enrich(graph: Graph, enrichers: Sequence[Enricher], inputs: dict[str, DataFrame], layers: Sequence[str] = "ABCD") -> Graph:
-    """Run the enrichers of the layers asked for, in order; earlier rows win. Others take no part in the plan."""
+    """Run the enrichers of the layers asked for, in order; earlier rows win. Others take no part in the plan. What they add
+    meets in one aggregation, whatever their number; a table to which none adds stays as it is."""
+    nodes, edges = [graph.nodes], [graph.edges]
     for e in sorted(enrichers, key=lambda e: e.layer):
         if e.layer not in layers or any(n not in inputs for n in e.needs):
             continue
-        nodes, edges = e.enrich(graph, inputs)
-        graph = Graph(merge(graph.nodes, nodes) if nodes is not None else graph.nodes, merge(graph.edges, edges) if edges is not None else graph.edges)
+        for parts, part in zip((nodes, edges), e.enrich(graph, inputs), strict=True):
+            if part is not None:
+                parts.append(part)
+        graph = Graph(merged(nodes), merged(edges))
     return graph
 
 

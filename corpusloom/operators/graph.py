@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,14 @@ def merge(base: DataFrame, more: DataFrame) -> DataFrame:
     return first_write(both, "id", F.col("_p")).drop("_p")
 
 
+def merged(parts: Sequence[DataFrame]) -> DataFrame:
+    """``merge`` of tables one after the other, by one aggregation; of one table, the table."""
+    if len(parts) == 1:
+        return parts[0]
+    both = functools.reduce(DataFrame.unionByName, (p.withColumn("_p", F.lit(i)) for i, p in enumerate(parts)))
+    return first_write(both, "id", F.col("_p")).drop("_p")
+
+
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends both exist."""
     ids = nodes.select("id")
